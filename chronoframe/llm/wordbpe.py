@@ -17,8 +17,6 @@ from chronoframe.llm.wordcache import SegmentEncoder, byte_table, splice
 #: The vocabulary file of the token-id operators; a parameter everywhere.
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
-#: Pieces that one Python worker remembers.
-MOST_PIECES = 200_000
 
 #: A segment of lower-case Latin letters, digits and ASCII signs, and its pieces by the file's own pattern.
 _SIMPLE = re.compile(r"[!-@\[-~ß-öø-ÿ]+")
@@ -41,17 +39,10 @@ class WordEncoder:
         chars = byte_table()
         self.to_chars = {chr(c): "".join(chars[b] for b in chr(c).encode()) for c in range(33, 256)}
         self.segments = SegmentEncoder(self._new)
-        self.pieces: dict[str, list[int]] = {}
 
     def _piece(self, piece: str) -> list[int]:
-        known = self.pieces.get(piece)
-        if known is not None:
-            return known
-        if len(self.pieces) >= MOST_PIECES:
-            self.pieces.clear()
         text = piece if piece.isascii() else "".join(map(self.to_chars.__getitem__, piece))
-        self.pieces[piece] = found = [t.id for t in self.tokenizer.model.tokenize(text)]
-        return found
+        return [t.id for t in self.tokenizer.model.tokenize(text)]
 
     def _new(self, segments: list[bytes]) -> list[list[int] | None]:
         out: list[list[int] | None] = []
