@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,7 +111,7 @@ def ordinal_starts(kept: DataFrame, part: str, local: str, size: str, start: str
 def slices(texts: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive runs of texts with about ``most`` bytes each (one text at least)."""
     n = len(texts)
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)) if n else np.zeros(0, np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
     ends = np.cumsum(size)
     at = 0
     while at < n:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import langid, packing
+from chronoframe.llm import bytebpe, langid, ogg, packing
 from chronoframe.llm.common import in_fold
 
 
@@ -23,6 +23,33 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    decoded = bytebpe.decode(bytebpe.encode(_table(spark, sf_dir, "documents")))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as Ogg samples and read back."""
+    loaded = ogg.load(ogg.store(_table(spark, sf_dir, "documents")))
+    return loaded.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        "damage",
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 4096 ids, with the ids' checksum instead of the ids."""
     pieces = packing.pack(_table(spark, sf_dir, "documents"))
@@ -31,6 +58,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op6_ogg_media": op6_ogg_media,
     "op7_packing": op7_packing,
 }
 
