@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bytebpe, langid, ogg, packing
+from chronoframe.llm import bytebpe, langid, linededup, ogg, packing
 from chronoframe.llm.common import in_fold
 
 
@@ -34,6 +34,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its later repeated runs of lines."""
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as Ogg samples and read back."""
     loaded = ogg.load(ogg.store(_table(spark, sf_dir, "documents")))
@@ -59,8 +64,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_line_dedup": op3_line_dedup,
     "op6_ogg_media": op6_ogg_media,
     "op7_packing": op7_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": linededup.ORACLE,
+}
