@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bytebpe, langid, linededup, ogg, packing
+from chronoframe.llm import bytebpe, langid, linededup, ngramjoin, ogg, packing
 from chronoframe.llm.common import in_fold
 
 
@@ -61,14 +61,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of near duplicates of every document."""
+    return ngramjoin.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op6_ogg_media": op6_ogg_media,
     "op7_packing": op7_packing,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": linededup.ORACLE,
+    "op9_ngram_join": ngramjoin.ORACLE,
 }
