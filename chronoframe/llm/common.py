@@ -80,6 +80,12 @@ def bounded_sample(rows: DataFrame, label: str, key: str, most: int) -> DataFram
     return rows.filter(unit < share)
 
 
+def sampled(docs: DataFrame, labels: DataFrame, key: str, label: str, most: int) -> DataFrame:
+    """(text, label) of a bounded sample of the labelled rows; a key with one label twice counts once."""
+    rows = labels.select(key, F.col(label).cast("int").alias("label")).filter("label in (0, 1)").distinct()
+    return docs.select(key, "text").join(F.broadcast(bounded_sample(rows, "label", key, most)), key).select("text", "label")
+
+
 def hot_aware_join(rows: DataFrame, unique: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``unique`` (one row a key, ``count`` = its rows in ``rows``).
 

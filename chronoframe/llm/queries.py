@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bytebpe, langid, linededup, ngramjoin, ogg, packing
+from chronoframe.llm import bytebpe, langid, linededup, ngramjoin, ogg, packing, quality
 from chronoframe.llm.common import in_fold
 
 
@@ -66,6 +66,13 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document: doc_id, held_out, score, predicted."""
+    docs = _table(spark, sf_dir, "documents")
+    machine = quality.fit(docs, _table(spark, sf_dir, "labels").filter(~in_fold(F.col("doc_id"), 4, 2)))
+    return quality.score(docs, machine).select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ogg_media": op6_ogg_media,
     "op7_packing": op7_packing,
     "op9_ngram_join": op9_ngram_join,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
