@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bytebpe, langid, linededup, ngramjoin, ogg, packing, quality
+from chronoframe.llm import bytebpe, langid, linededup, ngramjoin, ogg, packing, quality, toxicity
 from chronoframe.llm.common import in_fold
 
 
@@ -61,6 +61,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document: doc_id, held_out, score, predicted."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").filter(~in_fold(F.col("doc_id"), 3, 1)))
+    return toxicity.score(docs, model).select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of near duplicates of every document."""
     return ngramjoin.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op6_ogg_media": op6_ogg_media,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
 }
