@@ -16,10 +16,11 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from chronoframe.llm.common import slices
-from chronoframe.llm.wordcache import SegmentEncoder, byte_table, splice
+from chronoframe.llm.wordcache import SegmentEncoder, byte_table, segments_of, splice
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -80,6 +81,9 @@ class ByteBpe:
         for k, segment in enumerate(segments):
             first = segment[:1] == b" "
             word = segment[first:].decode("utf-8")
+            if first and not word:  # an empty text
+                out[k] = []
+                continue
             if simple := _SIMPLE.fullmatch(word):
                 letters, signs = simple.groups()
                 out[k] = self._piece(letters if first else f" {letters}") + (self._piece(signs) if signs else [])
@@ -90,17 +94,24 @@ class ByteBpe:
                 out[k] = found.ids
         return out
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids in order, how many each text has). A single space between two other characters always starts a piece, so texts are cut there; texts with longer white space go to the library whole."""
-        cut = []
-        for t in texts:
-            words = t.split(b" ") if t else []
-            if words:
-                words[0] = b" " + words[0]
-            cut.append(words)
-        ids, sizes, whole = self.segments.encode(cut)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids in order, how many each text has) of an array of strings without nulls.
+
+        A single space between two other characters always starts a piece, so texts are cut there;
+        texts with longer white space go to the library whole.
+        """
+        lists = pc.split_pattern(texts, " ")
+        distinct, index, bound = segments_of(lists)
+        filled = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+        # The first segment of a text has no space before it: it gets a number of its own.
+        first = [b" " + distinct[k] for k in index[bound[filled]].tolist()]
+        index = index.astype(np.int64)
+        index[bound[filled]] = len(distinct) + np.arange(len(filled))
+        empty = np.setdiff1d(np.arange(len(texts)), filled)
+        index[bound[empty]] = len(distinct) + len(first)
+        ids, sizes, whole = self.segments.encode([*distinct, *first, b" "], index, bound)
         if whole:
-            found = self.tokenizer.encode_batch_fast([texts[k].decode("utf-8") for k in whole], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False)
             ids, sizes = splice(ids, sizes, {k: f.ids for k, f in zip(whole, found, strict=True)})
         return ids, sizes
 
@@ -135,13 +146,13 @@ def encode(docs: DataFrame, key: str = "doc_id", file: str = RANK_FILE, offsets:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(file)
         for batch in batches:
-            column = batch.column("text").cast(pa.binary())
+            column = pc.fill_null(batch.column("text"), "")
             for at, to in slices(column):
-                texts = [t or b"" for t in column.slice(at, to - at).to_pylist()]
-                ids, sizes = bpe.encode(texts)
+                ids, sizes = bpe.encode(column.slice(at, to - at))
                 out = [batch.column(0).slice(at, to - at), _lists(sizes, ids)]
                 if offsets:
                     ends = np.cumsum(sizes)
+                    texts = column.slice(at, to - at).cast(pa.binary()).to_pylist()
                     spans = [bpe.offsets(t, ids[e - n : e]) for t, e, n in zip(texts, ends, sizes, strict=True)]
                     out += [_lists(sizes, np.concatenate([s[k] for s in spans])) for k in (0, 1)]
                 yield pa.record_batch(out, names=[key, "ids", "char_start", "char_end"][: len(out)])

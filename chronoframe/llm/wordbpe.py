@@ -10,9 +10,10 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from chronoframe.llm.common import slices
-from chronoframe.llm.wordcache import SegmentEncoder, byte_table, splice
+from chronoframe.llm.wordcache import SegmentEncoder, byte_table, segments_of, splice
 
 #: The vocabulary file of the token-id operators; a parameter everywhere.
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +39,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(file)
         chars = byte_table()
         self.to_chars = {chr(c): "".join(chars[b] for b in chr(c).encode()) for c in range(33, 256)}
+        self.stops = {ord(c): self._piece(c) for c in ".,;:!?"}
         self.segments = SegmentEncoder(self._new)
 
     def _piece(self, piece: str) -> list[int]:
@@ -47,7 +49,17 @@ class WordEncoder:
     def _new(self, segments: list[bytes]) -> list[list[int] | None]:
         out: list[list[int] | None] = []
         rest: list[tuple[int, str]] = []
+        tokenize = self.tokenizer.model.tokenize
         for k, segment in enumerate(segments):
+            if segment.isalpha():  # ASCII letters only: one piece
+                out.append([t.id for t in tokenize(segment.decode("ascii"))])
+                continue
+            if not segment:
+                out.append([])
+                continue
+            if segment[-1] in self.stops and segment[:-1].isalpha():  # a word and a stop: two pieces
+                out.append([t.id for t in tokenize(segment[:-1].decode("ascii"))] + self.stops[segment[-1]])
+                continue
             word = segment.decode("utf-8")
             if _SIMPLE.fullmatch(word):
                 out.append([i for piece in _PIECE.findall(word) for i in self._piece(piece)])
@@ -59,13 +71,13 @@ class WordEncoder:
                 out[k] = found.ids
         return out
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids in order, how many each text has)."""
-        whole = [k for k, t in enumerate(texts) if b"<|" in t]
-        skip = set(whole)
-        ids, sizes, _ = self.segments.encode([[] if k in skip else t.lower().split() for k, t in enumerate(texts)])
-        instead = {k: self.tokenizer.encode(texts[k].decode("utf-8"), add_special_tokens=False).ids for k in whole}
-        return splice(ids, sizes, instead)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids in order, how many each text has) of an array of strings without nulls."""
+        special = pc.match_substring(texts, "<|")
+        lowered = pc.ascii_lower(pc.if_else(special, "", texts))
+        ids, sizes, _ = self.segments.encode(*segments_of(pc.ascii_split_whitespace(lowered)))
+        whole = np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist()
+        return splice(ids, sizes, {k: self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids for k in whole})
 
 
 @cache
@@ -77,10 +89,10 @@ def encoded(batches: Iterator[pa.RecordBatch], file: str, end: int | None) -> It
     """(slice, all its ids as int32, ids of each row), with ``end`` after each text; a null text counts as empty."""
     encoder = word_encoder(file)
     for batch in batches:
-        column = batch.column("text").cast(pa.binary())
+        column = pc.fill_null(batch.column("text"), "")
         for at, to in slices(column):
             part = batch.slice(at, to - at)
-            ids, sizes = encoder.encode([t or b"" for t in column.slice(at, to - at).to_pylist()])
+            ids, sizes = encoder.encode(column.slice(at, to - at))
             if end is not None:
                 ids = np.insert(ids, np.cumsum(sizes), end).astype(np.int32)
                 sizes = sizes + 1

@@ -8,11 +8,14 @@ batch of texts is encoded by gathering from it; only new segments go through the
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Segments and ids that one Python worker remembers before it starts afresh: bounds its memory (about 150 MB).
-MOST_SEGMENTS, MOST_IDS = 400_000, 4_000_000
+#: Segments and ids that one Python worker remembers before it starts afresh: bounds its memory (about 200 MB).
+MOST_SEGMENTS, MOST_IDS = 700_000, 6_000_000
 
 
 class _Numbering(dict):
@@ -52,23 +55,22 @@ class SegmentEncoder:
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         while n > len(self.first):
             self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.count))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids if x for i in x), np.int32, total)
+        self.flat[self.used : self.used + total] = np.array(list(chain.from_iterable(x or () for x in ids)), np.int32)
         self.first[n - len(new) : n] = self.used + np.cumsum(added) - added
         self.count[n - len(new) : n] = size
         self.used += total
 
-    def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """(all ids, ids of each text, texts that hold a segment which can't be cut; those have no ids here)."""
+    def encode(self, distinct: list[bytes], index: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Ids of texts whose segments are ``distinct[index]``, from ``bound[k]`` to ``bound[k + 1]`` for text k.
+
+        (all ids, ids of each text, texts that hold a segment which can't be cut; those have no ids here.)
+        """
         if len(self.number) > MOST_SEGMENTS or self.used > MOST_IDS:
             self._fresh()
-        look: list[int] = []
-        bounds = [0]
-        for segments in texts:
-            look.extend(map(self.number.__getitem__, segments))
-            bounds.append(len(look))
+        numbers = np.array(list(map(self.number.__getitem__, distinct)), np.int64)
         if self.number.new:
             self._learn()
-        at, bound = np.array(look, np.int64), np.array(bounds, np.int64)
+        at = numbers[index]
         count = self.count[at]
         bad: list[int] = []
         if (count < 0).any():
@@ -82,6 +84,13 @@ class SegmentEncoder:
         return ids, np.diff(upto), bad
 
 
+def segments_of(lists: pa.ListArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct values, index of each value, bounds of the lists) of an array of lists of strings."""
+    bound = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy(), bound
+
+
 def splice(ids: np.ndarray, sizes: np.ndarray, instead: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Puts the ids of the texts in ``instead`` in their places."""
     if not instead:
