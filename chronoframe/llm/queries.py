@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bytebpe, langid, linededup, ngramjoin, ogg, packing, quality, toxicity
-from chronoframe.llm.common import in_fold
+from chronoframe.llm import bytebpe, langid, linededup, ngramjoin, ogg, packing, quality, tokenstore, toxicity
+from chronoframe.llm.common import Scratch, in_fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts' ids written to a content-addressed store and read back: doc_id, start, n_tokens, ids_crc32."""
+    path = Scratch(spark).path("store")
+    tokenstore.write(_table(spark, sf_dir, "documents"), path)
+    return tokenstore.checksums(spark, path)
+
+
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as Ogg samples and read back."""
     loaded = ogg.load(ogg.store(_table(spark, sf_dir, "documents")))
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
+    "op4_token_store": op4_token_store,
     "op6_ogg_media": op6_ogg_media,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
