@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bytebpe, langid, linededup, ngramjoin, ogg, packing, quality, tokenstore, toxicity
+from chronoframe.llm import bytebpe, embeddedup, langid, linededup, ngramjoin, ogg, packing, quality, tokenstore, toxicity
 from chronoframe.llm.common import Scratch, in_fold
 
 
@@ -46,6 +46,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.checksums(spark, path)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and decision of every vector."""
+    return embeddedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as Ogg samples and read back."""
     loaded = ogg.load(ogg.store(_table(spark, sf_dir, "documents")))
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_store": op4_token_store,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_ogg_media": op6_ogg_media,
     "op7_packing": op7_packing,
     "op8_toxicity": op8_toxicity,
@@ -101,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": linededup.ORACLE,
+    "op5_embedding_dedup": embeddedup.ORACLE,
     "op9_ngram_join": ngramjoin.ORACLE,
 }

@@ -33,7 +33,7 @@ def grouped(
     Spark's for each of very many small ones. ``run`` yields tuples of equally long integer arrays.
     """
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
-    chosen = [*keys, "id", "left", *payload]
+    chosen = list(dict.fromkeys([*keys, "id", "left", *payload]))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
