@@ -93,7 +93,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS
     scratch = Scratch(docs.sparkSession)
     runs = scratch.keep(repeated_runs(docs, key, min_words, scratch), "runs")
     held = docs.select(F.struct("*").alias("row"), F.col(key).alias("dk"), F.xxhash64("text").alias("dt"))
-    joined = held.join(runs, F.col("dk").eqNullSafe(F.col("k")) & (F.col("dt") == F.col("t")), "left")
+    # The spans have no bound on their size, so the texts are always shuffled to them.
+    joined = held.join(runs.hint("merge"), F.col("dk").eqNullSafe(F.col("k")) & (F.col("dt") == F.col("t")), "left")
     lines = F.split("row.text", "\n")
     left = F.filter(lines, lambda _, i: ~F.exists("spans", lambda s: (s.a <= i) & (i <= s.b)))
     joined = joined.withColumn("left", F.when(F.col("spans").isNotNull(), left))
