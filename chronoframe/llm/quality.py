@@ -150,3 +150,15 @@ def score(docs: DataFrame, machine: FactorisationMachine, key: str = "doc_id") -
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, "text").mapInArrow(scored, f"`{key}` {kind}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts are predicted to be of quality."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches):
+            s = shared.value.score(features(texts))
+            yield part.filter(pa.array(s >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
