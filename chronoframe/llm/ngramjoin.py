@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", threshold: float = THR
 
     # Exact verification within the candidates' components.
     suspects = scratch.keep(standing.select("node", "id", "copies").join(candidates, "node"), "suspects")
-    texts = named.join(suspects, "id").select("node", "component", "copies", "text")
+    # The suspects have no bound on their number, so the texts are always shuffled to them.
+    texts = named.join(suspects.hint("merge"), "id").select("node", "component", "copies", "text")
     sets = texts.mapInArrow(_sets, "node long, component long, copies long, hi long, lo long, set binary")
     sets = sets.filter(F.xxhash64("hi", "lo") == F.col("node")).dropDuplicates(["node"]).select("node", "component", "copies", "set")
     sets = scratch.keep(sets, "sets")
@@ -240,6 +241,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", threshold: float = THR
     return told.select("id", "class_id", "n_links").unionByName(alone).withColumnRenamed("id", key)
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each class of near duplicates: that of the smallest key.
+
+    Texts without a word have no near duplicates and stay, and so do rows without a key. Of rows that repeat key
+    and text one stays.
+    """
+    kept = near_duplicates(docs.select(key, "text"), key, threshold).filter(F.col(key) == F.col("class_id")).select(key).distinct()
+    chosen = docs.join(kept.hint("merge"), key, "left_semi").withColumn("text_hash_", F.xxhash64("text")).dropDuplicates([key, "text_hash_"])
+    return chosen.drop("text_hash_").select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, texts in text_slices(batches):
         sets = shingle_sets(texts)
