@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def banded(df: DataFrame, part: str, order: str, reach: int, right: DataFrame, right_order: str) -> DataFrame:
-    """Pairs of rows of a part whose orders differ by at most ``reach``.
+def banded(df: DataFrame, part: list[str], order: str, reach: int, right: DataFrame, right_order: str) -> DataFrame:
+    """Pairs of rows with equal keys ``part`` whose orders differ by at most ``reach``.
 
     Rows are joined on buckets of the band's width, the left ones also on the buckets beside their
     own, so that a long part does not pair all its rows.
@@ -18,14 +18,14 @@ def banded(df: DataFrame, part: str, order: str, reach: int, right: DataFrame, r
     bucket = F.floor(F.col(order) / F.lit(size))
     left = df.withColumn("bucket_", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
     other = right.withColumn("bucket_", F.floor(F.col(right_order) / F.lit(size)))
-    return left.join(other, [part, "bucket_"]).filter(F.abs(F.col(order) - F.col(right_order)) <= reach).drop("bucket_")
+    return left.join(other, [*part, "bucket_"]).filter(F.abs(F.col(order) - F.col(right_order)) <= reach).drop("bucket_")
 
 
 def gaussian_vote(df: DataFrame, part: str, order: str, label: str, reach: int, sigma: float) -> DataFrame:
     """The label with the most Gaussian weight within ``reach`` rows; the first by name on ties."""
     rows = df.select(part, order)
     votes = df.select(part, F.col(order).alias("voter_"), label)
-    paired = banded(rows, part, order, reach, votes, "voter_")
+    paired = banded(rows, [part], order, reach, votes, "voter_")
     gap = F.col(order) - F.col("voter_")
     weighed = paired.groupBy(part, order, label).agg(F.sum(F.exp(-(gap * gap) / F.lit(2 * sigma * sigma))).alias("weight"))
     best = Window.partitionBy(part, order).orderBy(F.round("weight", 9).desc(), label)
