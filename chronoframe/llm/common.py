@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters handled at once inside a task: bounds the numpy temporaries (about 100 bytes a character).
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 400_000
 #: A key is hot when it holds more than one row in HOT_SHARE; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 
