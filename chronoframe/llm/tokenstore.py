@@ -36,20 +36,20 @@ REMEMBERED = 50_000
 WIDTHS = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end. Several documents' ids may lie end to end: a window reaches back less than LEAST."""
     value = mix(ids.astype(np.uint64) + np.uint64(1))
     # Rolling sum over WINDOW ids of their mixed values, each turned by its age in the window.
-    rolling = np.zeros(n, np.uint64)
-    for age in range(min(WINDOW, n)):
-        turned = (value << np.uint64(age)) | (value >> np.uint64(64 - age)) if age else value
-        rolling[age:] += turned[: n - age]
-    places = np.flatnonzero((mix(rolling) & np.uint64(MEAN - 1)) == MEAN - 1) + 1
+    rolling = value.copy()
+    for age in range(1, min(WINDOW, len(ids))):
+        rolling[age:] += ((value << np.uint64(age)) | (value >> np.uint64(64 - age)))[:-age]
+    return np.flatnonzero((mix(rolling) & np.uint64(MEAN - 1)) == MEAN - 1) + 1
+
+
+def ends_of(places: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a document of n ids that has these marks."""
     out, at = [], 0
-    for place in places.tolist():
+    for place in places:
         while place - at > MOST:
             at += MOST
             out.append(at)
@@ -64,6 +64,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one document's ids."""
+    return ends_of(marks(ids).tolist(), len(ids))
+
+
 def address(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -96,11 +101,12 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", file: str = WORD_FILE
         for rows, ids, sizes in encoded(batches, file, end):
             bounds = np.concatenate(([0], np.cumsum(sizes)))
             recipes, roots, new = [], [], []
-            for k in range(len(sizes)):
-                own = ids[bounds[k] : bounds[k + 1]]
-                raw, recipe, at = own.astype(dtype).tobytes(), [], 0
-                for to in cuts(own):
-                    data = raw[width * at : width * to]
+            raw, places = ids.astype(dtype).tobytes(), marks(ids)
+            upto = np.searchsorted(places, bounds, side="right").tolist()
+            for k, (first, last) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                recipe, at = [], 0
+                for to in ends_of((places[upto[k] : upto[k + 1]] - first).tolist(), last - first):
+                    data = raw[width * (first + at) : width * (first + to)]
                     chunk = address(data)
                     recipe.append({"chunk": chunk, "n_ids": to - at})
                     if chunk in sent:

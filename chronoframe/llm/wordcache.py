@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Segments and ids that one Python worker remembers before it starts afresh: bounds its memory (about 60 MB).
-MOST_SEGMENTS, MOST_IDS = 200_000, 2_000_000
+#: Segments and ids that one Python worker remembers before it starts afresh: bounds its memory (about 120 MB).
+MOST_SEGMENTS, MOST_IDS = 450_000, 4_000_000
 
 
 class _Numbering(dict):
