@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoframe.functions.boxes import box, point_distance
 from chronoframe.operators import predictors, series
 from chronoframe.plans.registry import query
-from chronoframe.plans.views import BOXES, EPISODE, FRAMES, OBJECT, boxes, frames
+from chronoframe.plans.views import BOXES, episode, FRAMES, per_object, boxes, frames
 
 E = "PARTITION BY episode_id ORDER BY frame_idx"
 
@@ -44,7 +44,7 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
         "episode_id", "object", "frame_idx", F.col("k").cast("double").alias("px"), (F.col("event_id") % 100).cast("double").alias("py"),
         F.when(F.col("shown") == F.col("object"), F.struct("x1", "y1", "x2", "y2")).alias("b"),
     )
-    grid = grid.withColumn("b", F.last("b", ignorenulls=True).over(series.earlier(OBJECT))).filter("b is not null")
+    grid = grid.withColumn("b", F.last("b", ignorenulls=True).over(series.earlier(per_object()))).filter("b is not null")
     return grid.select("episode_id", "object", "frame_idx", point_distance(F.col("px"), F.col("py"), box("b.")).alias("distance"))
 
 
@@ -78,7 +78,7 @@ runs AS (SELECT *, sum(c) OVER ({E}) AS island FROM changed)"""
 @query(f"""WITH {MOVES} SELECT episode_id, min(frame_idx) AS "start", max(frame_idx) AS frame_idx, (max(frame_idx) - min(frame_idx)) / 8 AS score
 FROM runs WHERE flag GROUP BY episode_id, island HAVING count(*) >= 2""")
 def movement_iqr_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = frames(spark, sf_dir).withColumn("movement", F.abs(F.col("value") - F.lag("value").over(EPISODE)))
+    moved = frames(spark, sf_dir).withColumn("movement", F.abs(F.col("value") - F.lag("value").over(episode())))
     return predictors.movement_runs(moved, ["episode_id"], "frame_idx", "movement", 0.015, F.lit(4000.0))
 
 
@@ -92,7 +92,7 @@ segments AS (SELECT *, sum(fell) OVER ({E}) AS segment FROM fell)"""
 FROM segments GROUP BY episode_id, segment HAVING count(*) >= 4""")
 def camera_monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments in which the blended camera signal does not fall by more than 0.03."""
-    smooth = frames(spark, sf_dir).withColumn("a", series.rolling_mean(F.col("value"), EPISODE, 3, 0))
+    smooth = frames(spark, sf_dir).withColumn("a", series.rolling_mean(F.col("value"), episode(), 3, 0))
     part = Window.partitionBy("episode_id")
     signal = F.round(0.8 * series.minmax(F.col("a"), part) + 0.2 * F.least(F.col("value") / 100, F.lit(1.0)), 9)
     return predictors.monotone_segments(smooth.withColumn("signal", signal), "episode_id", "frame_idx", "signal", 0.03, 4, 2)
@@ -117,7 +117,7 @@ STATES = f"""{FRAMES}, marked AS (SELECT episode_id, frame_idx, state, last_valu
 @query(f"""WITH {STATES} SELECT episode_id, (frame_idx - hidden // 3)::INTEGER AS frame_idx, old, state AS "new",
   CASE WHEN hidden = 0 THEN 1.0 ELSE greatest(15.0 / (hidden + 1), 1.0) END::DOUBLE AS score FROM marked WHERE holds AND old <> state""")
 def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predictors.state_changes(frames(spark, sf_dir), EPISODE, ["episode_id"], "frame_idx", "state", 1)
+    return predictors.state_changes(frames(spark, sf_dir), episode(), ["episode_id"], "frame_idx", "state", 1)
 
 
 @query(f"""WITH {FRAMES}, intervals AS (SELECT episode_id, frame_idx AS "start", lead(frame_idx) OVER ({E}) AS "end" FROM frames WHERE object = 'purchase')
@@ -125,5 +125,5 @@ SELECT i.episode_id, i."start", i."end", arg_min(f.state, f.frame_idx) AS first_
 FROM intervals i JOIN frames f ON i.episode_id = f.episode_id AND f.frame_idx BETWEEN i."start" AND i."end" WHERE i."end" IS NOT NULL AND f.state IS NOT NULL GROUP BY 1, 2, 3""")
 def state_change_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
-    intervals = f.filter("object = 'purchase'").select("episode_id", F.col("frame_idx").alias("start"), F.lead("frame_idx").over(EPISODE).alias("end")).filter("end is not null")
+    intervals = f.filter("object = 'purchase'").select("episode_id", F.col("frame_idx").alias("start"), F.lead("frame_idx").over(episode()).alias("end")).filter("end is not null")
     return predictors.boundary_states(intervals, f.select("episode_id", "frame_idx", "state"), "episode_id", "start", "end", "frame_idx", "state")

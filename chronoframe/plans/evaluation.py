@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.operators import metrics, predictors
 from chronoframe.plans.registry import query
-from chronoframe.plans.views import EPISODE, FRAMES, frames
+from chronoframe.plans.views import episode, FRAMES, frames
 
 E = "PARTITION BY episode_id ORDER BY frame_idx"
 TOLERANCES = [0, 1, 2, 4, 8]
@@ -49,7 +49,7 @@ def running_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT episode_id, round(avg((pred = object)::INTEGER), 6) AS accuracy, count(*) AS n FROM l WHERE pred IS NOT NULL GROUP BY 1""")
 def strict_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of frames whose label the frame before predicts."""
-    rows = frames(spark, sf_dir).withColumn("pred", F.lag("object").over(EPISODE)).filter("pred is not null")
+    rows = frames(spark, sf_dir).withColumn("pred", F.lag("object").over(episode())).filter("pred is not null")
     return rows.groupBy("episode_id").agg(F.round(F.avg((F.col("pred") == F.col("object")).cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
 
 
@@ -63,7 +63,7 @@ preds AS (SELECT episode_id AS video, min(frame_idx) AS p_start, max(frame_idx)
 def segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Truths: from a signup to the next purchase. Predictions: runs of hot frames with their mean value."""
     f = frames(spark, sf_dir)
-    later = F.min(F.when(F.col("object") == "purchase", F.col("frame_idx"))).over(EPISODE.rowsBetween(1, Window.unboundedFollowing))
+    later = F.min(F.when(F.col("object") == "purchase", F.col("frame_idx"))).over(episode().rowsBetween(1, Window.unboundedFollowing))
     truths = f.withColumn("t_end", later).filter("object = 'signup' and t_end is not null").select(F.col("episode_id").alias("video"), F.col("frame_idx").alias("t_start"), "t_end")
     hot = predictors.runs_of(f, F.col("value") > 40, ["episode_id"], "frame_idx", 1)
     scored = hot.join(f, "episode_id").filter(F.col("frame_idx").between(F.col("start"), F.col("end")))

@@ -10,7 +10,7 @@ from chronoframe.operators import detections as dt
 from chronoframe.operators import graphs
 from chronoframe.plans.geometry import DETS, GROUP, detections
 from chronoframe.plans.registry import query
-from chronoframe.plans.views import EPISODE, FRAMES, frames
+from chronoframe.plans.views import episode, FRAMES, frames
 
 OVER = "(least(a.x2, b.x2) > greatest(a.x1, b.x1) AND least(a.y2, b.y2) > greatest(a.y1, b.y1))"
 EDGES = f"""{DETS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY episode_id, g, object ORDER BY score DESC, event_id) AS r FROM dets),
@@ -123,7 +123,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY episode_id, s ORDER BY scor
 def short_horizon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The object of each interval with the best sum of movement, size, relation and state evidence."""
     f = frames(spark, sf_dir)
-    ends = f.filter("object = 'purchase'").select("episode_id", F.col("frame_idx").alias("start"), F.lead("frame_idx").over(EPISODE).alias("end")).filter("end is not null")
+    ends = f.filter("object = 'purchase'").select("episode_id", F.col("frame_idx").alias("start"), F.lead("frame_idx").over(episode()).alias("end")).filter("end is not null")
     inside = ends.join(f, "episode_id").filter(F.col("frame_idx").between(F.col("start"), F.col("end")))
     facts = inside.groupBy("episode_id", "start", "end", "object").agg(
         F.abs(F.max_by("value", "frame_idx") - F.min_by("value", "frame_idx")).alias("move"), F.count("*").alias("n"), F.max("k").alias("size")

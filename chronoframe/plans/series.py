@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.operators import nearest, series
 from chronoframe.plans.registry import query
-from chronoframe.plans.views import EPISODE, FRAMES, frames
+from chronoframe.plans.views import episode, FRAMES, frames
 
 E = "PARTITION BY episode_id ORDER BY frame_idx"
 HOT = f"""{FRAMES}, flagged AS (SELECT episode_id, frame_idx, value > 40 AS flag FROM frames),
@@ -22,18 +22,18 @@ def hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {HOT}, sized AS (SELECT *, count(*) OVER (PARTITION BY episode_id, island) AS n, max(flag::INTEGER) OVER ({E}) AS led FROM runs)
 SELECT episode_id, frame_idx, flag, flag OR (n < 3 AND led = 1) AS filled FROM sized""")
 def fill_false_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.fill_false_runs(hot(spark, sf_dir), "flag", 3, ["episode_id"], EPISODE, "filled")
+    return series.fill_false_runs(hot(spark, sf_dir), "flag", 3, ["episode_id"], episode(), "filled")
 
 
 @query(f"""WITH {HOT}, sized AS (SELECT *, count(*) OVER (PARTITION BY episode_id, island) AS n FROM runs)
 SELECT episode_id, frame_idx, flag, flag AND n >= 2 AS kept FROM sized""")
 def keep_true_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.keep_true_runs(hot(spark, sf_dir), "flag", 2, ["episode_id"], EPISODE, "kept")
+    return series.keep_true_runs(hot(spark, sf_dir), "flag", 2, ["episode_id"], episode(), "kept")
 
 
 @query(f"""WITH {HOT} SELECT episode_id, flag, min(frame_idx) AS "start", max(frame_idx) AS "end", count(*) AS length FROM runs GROUP BY episode_id, island, flag""")
 def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.run_lengths(hot(spark, sf_dir), ["episode_id"], "flag", "frame_idx", EPISODE).drop("island")
+    return series.run_lengths(hot(spark, sf_dir), ["episode_id"], "flag", "frame_idx", episode()).drop("island")
 
 
 @query(f"""WITH {FRAMES}, changed AS (SELECT episode_id, frame_idx, gripper, CASE WHEN gripper = lag(gripper) OVER ({E}) THEN 0 ELSE 1 END AS c FROM frames),
@@ -76,15 +76,15 @@ def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SPARSE} SELECT episode_id, frame_idx, v, round(CASE WHEN v IS NOT NULL THEN v WHEN frame_idx - b_at <= 2
   THEN CASE WHEN a_at IS NULL THEN b ELSE b + (a - b) * (frame_idx - b_at) / (a_at - b_at) END END, 6) AS filled FROM known""")
 def interpolate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = series.interpolated(sparse(spark, sf_dir), "v", "frame_idx", EPISODE, 2, "filled")
+    filled = series.interpolated(sparse(spark, sf_dir), "v", "frame_idx", episode(), 2, "filled")
     return filled.withColumn("filled", F.round("filled", 6))
 
 
 @query(f"""WITH {SPARSE} SELECT episode_id, frame_idx, CASE WHEN a_at IS NULL OR frame_idx - b_at <= a_at - frame_idx THEN b ELSE a END AS nearest,
   CASE WHEN least(frame_idx - b_at, a_at - frame_idx) <= 1 THEN CASE WHEN a_at IS NULL OR frame_idx - b_at <= a_at - frame_idx THEN b ELSE a END END AS within_one FROM known""")
 def nearest_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = series.nearest_known(sparse(spark, sf_dir), "v", "frame_idx", EPISODE, "nearest")
-    near = series.nearest_known(near, "v", "frame_idx", EPISODE, "within_one", reach=1)
+    near = series.nearest_known(sparse(spark, sf_dir), "v", "frame_idx", episode(), "nearest")
+    near = series.nearest_known(near, "v", "frame_idx", episode(), "within_one", reach=1)
     return near.select("episode_id", "frame_idx", "nearest", "within_one")
 
 
@@ -94,8 +94,8 @@ def rolling_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).select(
         "episode_id",
         "frame_idx",
-        F.round(series.rolling_mean(F.col("value"), EPISODE, 2, 2), 6).alias("centred"),
-        F.round(series.rolling_mean(F.col("value"), EPISODE, 3, 0), 6).alias("trailing"),
+        F.round(series.rolling_mean(F.col("value"), episode(), 2, 2), 6).alias("centred"),
+        F.round(series.rolling_mean(F.col("value"), episode(), 3, 0), 6).alias("trailing"),
     )
 
 
@@ -122,8 +122,8 @@ r AS (SELECT f.episode_id, f.frame_idx, arg_min(k.state, k.at) AS right_state FR
 SELECT f.episode_id, f.frame_idx, left_state, right_state FROM frames f LEFT JOIN l USING (episode_id, frame_idx) LEFT JOIN r USING (episode_id, frame_idx)""")
 def closest_state_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last state up to two frames ahead, and the first from two frames back."""
-    back = EPISODE.rowsBetween(Window.unboundedPreceding, 2)
-    ahead = EPISODE.rowsBetween(-2, Window.unboundedFollowing)
+    back = episode().rowsBetween(Window.unboundedPreceding, 2)
+    ahead = episode().rowsBetween(-2, Window.unboundedFollowing)
     return frames(spark, sf_dir).select(
         "episode_id",
         "frame_idx",

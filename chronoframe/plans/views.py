@@ -6,14 +6,22 @@ gripper state are derived from a row's own columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-EPISODE = Window.partitionBy("episode_id").orderBy("frame_idx")
-OBJECT = Window.partitionBy("episode_id", "object").orderBy("frame_idx")
 OBJECTS = ("click", "error", "purchase", "signup", "view")
 
 
+def episode() -> WindowSpec:
+    """An episode's frames in order (made when asked for, as a window needs a session)."""
+    return Window.partitionBy("episode_id").orderBy("frame_idx")
+
+
+def per_object() -> WindowSpec:
+    """The same for each object of an episode."""
+    return Window.partitionBy("episode_id", "object").orderBy("frame_idx")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
