@@ -9,6 +9,8 @@ import corpus_pipeline
 from chronoframe.llm.common import Scratch
 from tests.llm.test_duplicates import brute_near
 
+LARGER = "/root/testdata/sf0.01"
+
 
 @pytest.fixture(scope="module")
 def stages(spark, small):
@@ -22,6 +24,17 @@ def stages(spark, small):
     return out
 
 
+@pytest.fixture(scope="module")
+def filtered(spark):
+    """The two filters on tables with enough labels to learn from."""
+    scratch, out = Scratch(spark), {}
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        after = scratch.keep(stage(spark, docs, LARGER), name)
+        out[name], docs = (docs, after), after
+    return out
+
+
 def test_columns(stages, spark, small):
     columns = spark.read.parquet(f"{small}/documents.parquet").columns
     *first, _ = stages.values()
@@ -29,10 +42,10 @@ def test_columns(stages, spark, small):
 
 
 @pytest.mark.parametrize(("name", "label", "bad"), [("toxicity", "toxic", 1), ("quality", "quality", 0)])
-def test_filters_reject_few_good_and_most_bad(stages, spark, small, name, label, bad):
-    before, after = (df.select("doc_id") for df in stages[name])
+def test_filters_reject_few_good_and_most_bad(filtered, spark, name, label, bad):
+    before, after = (df.select("doc_id") for df in filtered[name])
     assert after.join(before, "doc_id", "left_anti").isEmpty()
-    labels = spark.read.parquet(f"{small}/labels.parquet").select("doc_id", label).filter(f"{label} is not null")
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").select("doc_id", label).filter(f"{label} is not null")
     share = {}
     for value in (0, 1):
         there = labels.filter(f"{label} = {value}").join(before, "doc_id", "left_semi")
