@@ -68,6 +68,8 @@ class ByteBpe:
         for token, i in vocabulary.items():
             self.token_bytes[i] = bytes(back[c] for c in token)
         self.token_size = np.array([len(t) for t in self.token_bytes], np.int64)
+        self.flat = np.frombuffer(b"".join(self.token_bytes), np.uint8)
+        self.first = np.cumsum(self.token_size) - self.token_size
         self.to_chars = {chr(c): spell(chr(c).encode()) for c in range(32, 256)}
         self.segments = SegmentEncoder(self._new)
 
@@ -115,8 +117,15 @@ class ByteBpe:
             ids, sizes = splice(ids, sizes, {k: f.ids for k, f in zip(whole, found, strict=True)})
         return ids, sizes
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
+        """The bytes of all tokens in order, gathered from the byte table in bounded blocks."""
+        ids, parts = np.asarray(ids, np.int64), []
+        for at in range(0, len(ids), 100_000):
+            some = ids[at : at + 100_000]
+            size = self.token_size[some]
+            before = np.cumsum(size) - size
+            parts.append(self.flat[np.repeat(self.first[some] - before, size) + np.arange(int(size.sum()))].tobytes())
+        return b"".join(parts)
 
     def offsets(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first character, end character) of each token; a character that is split lies in each of its tokens."""
@@ -174,7 +183,12 @@ def decode(encoded: DataFrame, key: str = "doc_id", file: str = RANK_FILE) -> Da
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.slice(at, 500)
-                out = [None if ids is None else bpe.decode(ids) for ids in part.column(1).to_pylist()]
+                lists = part.column(1)
+                ids = lists.flatten().to_numpy()
+                count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                ends = np.concatenate(([0], np.cumsum(bpe.token_size[ids])))[np.concatenate(([0], np.cumsum(count)))].tolist()
+                data, given = bpe.decode(ids), lists.is_valid().to_pylist()
+                out = [data[a:b] if there else None for a, b, there in zip(ends[:-1], ends[1:], given, strict=True)]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(out, pa.binary())], names=[key, "ids", "decoded"])
 
     kind = encoded.schema[key].dataType.simpleString()
