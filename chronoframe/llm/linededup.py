@@ -12,6 +12,9 @@ so no run of ``min_words`` words escapes (the guarantee of winnowing).
 as wholes (hash of all their lines) with their first occurrence. The union of the repeated ones is
 the run's full extent: a line less than ``min_words`` from the run's start lies in its first forward
 window, any other in the backward window that ends with it.
+
+``dedup_lines`` has whole lines as units, as its SQL does. ``dedup_passages`` has the pieces of lines, cut at places
+that the words alone decide, so a passage inside longer lines holds the same pieces wherever it stands.
 """
 
 from __future__ import annotations
@@ -22,17 +25,22 @@ from pyspark.sql import functions as F
 from chronoframe.llm.common import Scratch, hot_aware_join
 
 MIN_WORDS = 30
+#: Where texts are cut into units, as regular expressions of Java: lines, without their line feeds; or pieces, which
+#: together are the text. A piece ends with its line, or with a single space after a mark of a sentence's end or
+#: after two characters that stand for a hash of the word: a vowel or digit, then one whose code leaves 4 modulo 8 or one of another script's.
+LINES = "\n"
+PIECES = r"(?<=\n)|(?:(?<=[.!?…。] )|(?<=[aeiou0-9][4<DLTdt¤¬´¼ÄÌÔÜäìôü] )|(?<=[Ͱ-ӿ][яйтος] ))(?! )"
 
 
-def line_windows(docs: DataFrame, key: str, min_words: int) -> DataFrame:
+def line_windows(docs: DataFrame, key: str, min_words: int, units: str = LINES) -> DataFrame:
     """(k, t, a, b, fp, at, whole): windows of lines a to b, their fingerprint with its position's hash, the hash of all their lines.
 
     A line counts without the spaces around it; its words are its stretches between single spaces. Blank
     lines have no words and are passed over.
     """
     lines = docs.select(
-        F.col(key).alias("k"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "line")
-    ).select("k", "t", "pos", F.trim("line").alias("line"))
+        F.col(key).alias("k"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", units)).alias("pos", "line")
+    ).select("k", "t", "pos", F.trim(F.rtrim("line", F.lit("\n"))).alias("line"))
     lines = lines.filter("line <> ''").select(
         "k", "t", "pos", F.xxhash64("line").alias("h"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long").alias("w")
     )
@@ -61,9 +69,9 @@ def line_windows(docs: DataFrame, key: str, min_words: int) -> DataFrame:
     )
 
 
-def repeated_runs(docs: DataFrame, key: str, min_words: int, scratch: Scratch) -> DataFrame:
+def repeated_runs(docs: DataFrame, key: str, min_words: int, scratch: Scratch, units: str = LINES) -> DataFrame:
     """(k, t, spans): for each document with repeated runs, the maximal spans of lines to delete in ascending order."""
-    windows = scratch.keep(line_windows(docs, key, min_words), "windows")
+    windows = scratch.keep(line_windows(docs, key, min_words, units), "windows")
     # min <> max of the position hashes: selected at two positions or more. Sums are made before the shuffle.
     found = windows.groupBy("fp").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo <> hi").select("fp", "n")
     shared = scratch.keep(found, "fingerprints")
@@ -106,6 +114,39 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS
     return joined.select(*kept, n_lines.cast("int").alias("n_lines"), n_removed.cast("int").alias("n_removed"))
 
 
+def dedup_passages(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with later repeated runs of pieces of lines cut out of ``text``, and n_removed (pieces) added.
+
+    Every row stays. Rows of one text all come back as the first of them does: which of them stay is not
+    asked here. Of a passage the pieces that it holds whole are its extent; the rest of a piece at either end
+    stays. A line feed stays where a run is cut from the middle of a line to its end. Null texts and null keys
+    are as in ``dedup_lines``. A column n_removed of the input is replaced.
+    """
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select(F.col(key).alias("k"), F.xxhash64("text").alias("t"), "text").filter("text is not null")
+    firsts = texts.groupBy("t").agg(F.count("*").alias("n"), F.min(F.struct("k")).alias("first"))
+    firsts = scratch.keep(firsts.select("t", "n", "first.k"), "firsts")
+    here = F.col("r.t").eqNullSafe(F.col("f.t")) & F.col("r.k").eqNullSafe(F.col("f.k"))
+    once = texts.alias("r").join(firsts.select("t", "k").alias("f").hint("merge"), here, "left_semi")
+    runs = repeated_runs(once.select("k", "text"), "k", min_words, scratch, PIECES).select("t", "spans")
+    runs = scratch.keep(runs.join(firsts.select("t", "n").hint("merge"), "t"), "runs")
+    # Spans are dealt to the copies by keys alone; then the texts are shuffled once to their own.
+    named = docs.select(F.col(key).alias("k"), F.xxhash64("text").alias("t"))
+    cuts = hot_aware_join(named, runs, "t", "n", docs.count()).select("k", "t", "spans").dropDuplicates(["k", "t"])
+    cuts = scratch.keep(cuts, "cuts")
+    held = docs.select(F.struct("*").alias("row"), F.col(key).alias("dk"), F.xxhash64("text").alias("dt"))
+    joined = held.join(cuts.hint("merge"), F.col("dk").eqNullSafe(F.col("k")) & (F.col("dt") == F.col("t")), "left")
+    pieces = F.split("row.text", PIECES)
+    feed = lambda p: F.endswith(p, F.lit("\n"))
+    inside = lambda s, p, i: (s.b == i) & (s.a > 0) & feed(p) & ~feed(F.get(pieces, s.a - 1))
+    gone = lambda p, i: F.when(F.exists("spans", lambda s: inside(s, p, i)), F.lit("\n")).otherwise(F.lit(""))
+    left = F.transform(pieces, lambda p, i: F.when(F.exists("spans", lambda s: (s.a <= i) & (i <= s.b)), gone(p, i)).otherwise(p))
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.array_join(left, ""))
+    n = F.coalesce(F.aggregate("spans", F.lit(0), lambda x, s: x + (s.b - s.a + 1)), F.lit(0))
+    kept = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c != "n_removed"]
+    return joined.select(*kept, n.alias("n_removed"))
+
+
 ORACLE = f"""
 WITH lines AS (
   SELECT doc_id, i - 1 AS pos, trim(line) AS line FROM (

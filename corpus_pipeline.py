@@ -30,8 +30,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their later repeated runs of lines; n_chars follows the text where it is cut."""
-    cut = linededup.dedup_lines(docs)
+    """All documents, without their later repeated passages; n_chars follows the text where it is cut."""
+    cut = linededup.dedup_passages(docs)
     if "n_chars" in docs.columns:
         count = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))

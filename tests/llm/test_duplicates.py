@@ -147,6 +147,31 @@ def test_line_dedup_awkward(awkward, nothing):
     assert linededup.dedup_lines(nothing).count() == 0
 
 
+def test_passage_in_the_middle_of_lines_goes(spark):
+    passage = prose(60, 77)
+    ends = [[prose(40, 10 * d + side) for side in (1, 2)] for d in range(3)]
+    texts = {d: f"{a} {passage} {b}" for d, (a, b) in enumerate(ends)}
+    texts[2] = f"{ends[2][0]} {passage}\n{ends[2][1]}"
+    texts |= {3: texts[1], 4: texts[0] + "\n" + texts[0], 5: None, 6: "", 7: prose(90, 99), 8: lines_fixture()[0], 9: lines_fixture()[1]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_passages(docs).collect()}
+    for d in (0, 5, 6, 7, 8):
+        assert found[d] == (texts[d], 0)
+    middle = " ".join(passage.split()[20:40])
+    for d in (1, 2, 3):
+        (a, b), left = ends[1 if d == 3 else d], found[d][0]
+        assert left.startswith(a) and left.endswith(b) and middle not in left and ("\n" in left) == (d == 2)
+    assert found[3] == found[1] and found[4][0].strip() == ""
+    assert "\n".join(prose(12, s) for s in range(6)) not in found[9][0] and found[9][0].endswith(texts[9].split("\n")[-1])
+
+
+def test_passages_awkward(awkward, nothing):
+    cut = linededup.dedup_passages(awkward)
+    assert cut.columns == [*awkward.columns, "n_removed"]
+    assert cut.count() == awkward.count()
+    assert linededup.dedup_passages(nothing).count() == 0
+
+
 def vectors() -> list[tuple]:
     rng = np.random.default_rng(11)
     rows, n = [], 0
