@@ -244,11 +244,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", threshold: float = THR
 def one_of_each(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class of near duplicates: that of the smallest key.
 
-    Texts without a word have no near duplicates and stay, and so do rows without a key. Of rows that repeat key
-    and text one stays.
+    Of equal texts without a word (null and empty ones are two such texts) one stays too. Rows without a key
+    stay. Of rows that repeat key and text one stays.
     """
     kept = near_duplicates(docs.select(key, "text"), key, threshold).filter(F.col(key) == F.col("class_id")).select(key).distinct()
-    chosen = docs.join(kept.hint("merge"), key, "left_semi").withColumn("text_hash_", F.xxhash64("text")).dropDuplicates([key, "text_hash_"])
+    hashed = docs.withColumn("text_hash_", F.xxhash64("text"))
+    firsts = hashed.select(key, "text_hash_").join(kept.hint("merge"), key, "left_semi").groupBy("text_hash_").agg(F.min(key).alias(key))
+    # By key and hash, so that the rows of a common text don't meet in one task.
+    chosen = hashed.join(firsts.hint("merge"), [key, "text_hash_"], "left_semi").dropDuplicates([key, "text_hash_"])
     return chosen.drop("text_hash_").select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
 
 

@@ -172,6 +172,12 @@ def test_passages_awkward(awkward, nothing):
     assert linededup.dedup_passages(nothing).count() == 0
 
 
+def test_one_of_equal_wordless_texts_stays(spark):
+    texts = ["", "", None, None, "?!", "?!", "👩 !", "", "👩 !", "?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in ngramjoin.one_of_each(docs).collect()} == {0, 2, 4, 6, 9}
+
+
 def vectors() -> list[tuple]:
     rng = np.random.default_rng(11)
     rows, n = [], 0

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from chronoframe.llm.common import Scratch
+from tests.llm.conftest import prose
 from tests.llm.test_duplicates import brute_near
 
 LARGER = "/root/testdata/sf0.01"
@@ -72,3 +73,13 @@ def test_packing_holds_all_that_is_left(stages):
     filled = pieces.groupby("sequence_id").length.sum()
     assert (filled[filled.index < filled.index.max()] == 4096).all()
     assert (np.array([len(x) for x in pieces.ids]) == 4 * pieces.length).all()
+
+
+def test_copies_end_as_one_document(spark, small):
+    """A group of exact copies, and documents that others hold as a whole, from the line dedup to the packing."""
+    base = prose(80, 7)
+    texts = [base + " " + prose(50, 8)] + [prose(120, 9)] * 40 + [base] * 30 + [prose(70, 11)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        docs = Scratch(spark).keep(stage(spark, docs, small), "copies")
+    assert {r.doc_id for r in docs.select("doc_id").collect()} == {0, 1, 41, 71}
