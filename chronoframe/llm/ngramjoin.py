@@ -1,11 +1,10 @@
-"""Join of near duplicates by the Jaccard similarity of their word five-grams, through a MinHash LSH forest.
+"""Join of near duplicates by the Jaccard similarity of their word five-grams, through banded MinHash LSH.
 
 1. Every text becomes its set of shingles, a signature and a fingerprint of the set. Texts with equal
    sets are one class, for which its smallest key stands from here on.
-2. The forest: tree t sorts the texts by the t-th stretch of the signature. Two texts
-   meet in a tree where they share a prefix; prefixes start at full depth and are shortened until texts at
-   the threshold meet in some tree with the target recall. Texts that meet, and whose whole
-   signatures don't rule the threshold out, are candidates.
+2. Bands: the signature has 20 stretches (trees), and of each the first values, as many as ``depth_for``
+   gives for all data alike (4), are hashed into one bucket. Two texts meet where they share a bucket of a tree.
+   Texts that meet, and whose whole signatures don't rule the threshold out, are candidates.
 3. Components of the candidates are verified exactly: all pairs in a component are compared by their
    sets, so that nothing found by a detour is lost. Components and buckets of any size are cut into tiles
    of bounded size, and each task sees two tiles at most; it sends on counts and a spanning forest, never
@@ -197,7 +196,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", threshold: float = THR
     )
     standing = scratch.keep(classes.select(F.xxhash64("hi", "lo").alias("node"), "id", "copies", "s.prefixes", "s.sign"), "standing")
 
-    # The forest: rows by tree and prefix. Texts alone in theirs are done with, and of several buckets with the same rows one is enough.
+    # The bands: rows by tree and prefix. Texts alone in theirs are done with, and of several buckets with the same rows one is enough.
     leaves = standing.select("node", F.posexplode("prefixes").alias("tree", "prefix"))
     buckets = leaves.groupBy("tree", "prefix").agg(
         F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("mark")
