@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +20,22 @@ from pyspark.sql import functions as F
 
 #: Characters handled at once inside a task: bounds the numpy temporaries (about 100 bytes a character).
 SLICE_CHARS = 400_000
+#: Texts handled at once at most: bounds the numpy tables with a row for each text.
+SLICE_ROWS = 1000
 #: A key is hot when it holds more than one row in HOT_SHARE; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session, or one of our own where none is set (tests on one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("chronoframe.scratch", None)
+    """The shared folder that the session names in spark.checkpoint.dir.
+
+    Where none is named, a folder of this machine will do if all of Spark runs on it (a local master, as in
+    tests); on a cluster that is an error, for executors would write to disks that others can't read.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("chronoframe.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="chronoframe-")
@@ -36,16 +43,39 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_SCOPES: list[list[Scratch]] = []
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Removes, at its end, all scratch tables that were begun inside: for steps whose result has been written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for scratch in _SCOPES.pop():
+            scratch.drop()
+
+
 class Scratch:
     """Written tables of one query under the shared checkpoint folder.
 
     ``keep(df, name)`` runs ``df`` once, writes it as Parquet and returns a reader of the
-    files: later jobs neither repeat the work nor depend on executors that may be lost.
+    files: later jobs neither repeat the work nor depend on executors that may be lost. ``drop`` removes what
+    nothing will read any more; the rest goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/tables-{uuid.uuid4().hex}"
+        self._files(self.root, "mkdirs")
+        self._files(self.root, "deleteOnExit")
+        if _SCOPES:
+            _SCOPES[-1].append(self)
+
+    def _files(self, path: str, what: str, *more: bool) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        getattr(at.getFileSystem(self.spark._jsc.hadoopConfiguration()), what)(at, *more)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -54,10 +84,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Removes the tables named, or all."""
+        for path in map(self.path, names) if names else [self.root]:
+            self._files(path, "delete", True)
 
 
 def in_fold(key: Column, modulus: int, rest: int) -> Column:
@@ -65,37 +95,41 @@ def in_fold(key: Column, modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
-    """About ``most`` rows of each label value (all of them where there are fewer), chosen by a hash of the key.
+def bounded_sample(rows: DataFrame, label: str, key: list[str], most: int, total: int | None = None) -> DataFrame:
+    """About ``most`` different rows of each label value and ``total`` together (all where there are fewer), chosen by a hash of ``key``.
 
-    The share is computed from the label counts (one aggregated row for each label), so the
-    choice is repeatable, needs no sort, and is the same for every partitioning. A label may get a
-    few more rows than ``most``; it never gets more than twice as many but by a freak of the hash.
+    ``key`` names the columns that tell rows apart. The share is computed from the label counts (one aggregated
+    row for each label), so the choice is repeatable, needs no sort, and is the same for every partitioning. Rows
+    that repeat label and key are one. A label may get a few more rows than ``most``; it never gets more than
+    twice as many but by a freak of the hash.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    most = most if total is None else max(1, min(most, total // max(1, len(counts))))
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
-    unit = F.pmod(F.xxhash64(F.col(key), F.lit("bounded sample")), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    return rows.filter(unit < share)
+    unit = F.pmod(F.xxhash64(*key, F.lit("bounded sample")), F.lit(1 << 24)) / F.lit(float(1 << 24))
+    return rows.filter(unit < share).dropDuplicates([label, *key])
 
 
 def sampled(docs: DataFrame, labels: DataFrame, key: str, label: str, most: int) -> DataFrame:
-    """(text, label) of a bounded sample of the labelled rows; a key with one label twice counts once."""
-    rows = labels.select(key, F.col(label).cast("int").alias("label")).filter("label in (0, 1)").distinct()
-    return docs.select(key, "text").join(F.broadcast(bounded_sample(rows, "label", key, most)), key).select("text", "label")
+    """(text, label) of a bounded sample of the labelled keys; a key with one label twice counts once, null keys don't."""
+    rows = labels.select(F.col(key).alias("key_"), F.col(label).cast("int").alias("label")).filter("label in (0, 1) and key_ is not null")
+    chosen = F.broadcast(bounded_sample(rows, "label", ["key_"], most))
+    return docs.select(F.col(key).alias("key_"), "text").join(chosen, "key_").dropDuplicates(["key_", "label", "text"]).select("text", "label")
 
 
-def hot_aware_join(rows: DataFrame, unique: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``unique`` (one row a key, ``count`` = its rows in ``rows``).
+def hot_aware_join(rows: DataFrame, unique: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (``how``: inner or left) of ``rows`` with ``unique`` (one row a key, ``count`` = its rows in ``rows``).
 
     Keys with more than ``total / HOT_SHARE`` rows number at most HOT_SHARE: they are broadcast
     and joined where their rows lie. The others, none of which can swamp a task, are shuffled.
     """
     most = max(1, total // HOT_SHARE)
     hot, cold = unique.filter(F.col(count) > most), unique.filter(F.col(count) <= most)
-    near = rows.join(F.broadcast(hot), key)
-    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    keys = [key] if isinstance(key, str) else key
+    near = rows.join(F.broadcast(hot), keys)
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
     return near.unionByName(far)
 
 
@@ -115,14 +149,14 @@ def ordinal_starts(kept: DataFrame, part: str, local: str, size: str, start: str
 
 
 def slices(texts: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive runs of texts with about ``most`` bytes each (one text at least)."""
+    """Bounds of consecutive runs of texts with about ``most`` bytes and SLICE_ROWS texts each at most (one text at least)."""
     n = len(texts)
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
     ends = np.cumsum(size)
     at = 0
     while at < n:
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        to = min(max(at + 1, int(np.searchsorted(ends, done + most, side="right"))), at + SLICE_ROWS)
         yield at, to
         at = to
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import Scratch
+from chronoframe.llm.common import Scratch, hot_aware_join
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -13,21 +13,25 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
 
     ``edges`` has long columns a and b; null ends and loops are ignored, repeats are harmless,
     an empty table gives an empty result. Each round is two shuffles of the edges with
-    map-side minima and a written table, so that a lost executor costs one round at most. Rounds end
-    when the edges are stars around their minima; their number grows with the logarithm of the
-    longest chain.
+    map-side minima and a written table, so that a lost executor costs one round at most; the edges of
+    a hub stay where they lie. Rounds end when the edges are stars around their minima; their number grows
+    with the logarithm of the longest chain.
     """
+
+    def minima(rows: DataFrame, label: str) -> DataFrame:
+        return scratch.keep(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{name}-{label}")
+
     now = scratch.keep(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0"
     )
-    turn = 0
-    while True:
+    turn, total = 0, now.count()
+    while total:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.keep(large, f"{name}-large-{turn}")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = minima(both, "least").select("u", F.least("u", "m").alias("m"), "n")
+        large = hot_aware_join(both, least, "u", "n", 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.keep(large, f"{name}-large")
+        least = minima(large, "least")
+        joined = hot_aware_join(large, least, "u", "n", total)
         small = (
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u <> v")
@@ -38,9 +42,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         # Stars only: no node is both a leaf and a centre, and no leaf has two centres.
         state = small.agg(F.count("*").alias("n"), F.countDistinct("u").alias("leaves")).first()
         done = state.n == state.leaves and small.select(F.col("u").alias("w")).join(small.select(F.col("v").alias("w")).distinct(), "w", "left_semi").isEmpty()
-        scratch.drop(f"{name}-{turn}")
-        scratch.drop(f"{name}-large-{turn}")
-        now, turn = small, turn + 1
+        scratch.drop(f"{name}-{turn}", f"{name}-large", f"{name}-least")
+        now, turn, total = small, turn + 1, state.n
         if done:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

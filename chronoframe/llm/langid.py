@@ -32,8 +32,8 @@ FAMILIES = {
 
 #: Hash buckets of the n-grams.
 DIMENSIONS = 4096
-#: Labelled rows of each language that the classifiers are fitted on, at most (about): a documented bound.
-SAMPLE_PER_LANGUAGE = 800
+#: Labelled rows that the classifiers are fitted on, at most (about), of each language and of all together: documented bounds.
+SAMPLE_PER_LANGUAGE, SAMPLE = 800, 16_000
 #: Full-gradient steps and regularisation of each SVM.
 STEPS, DECAY = 120, 1e-4
 
@@ -148,11 +148,12 @@ def fit(labelled: DataFrame, key: str = "doc_id", most: int = SAMPLE_PER_LANGUAG
     """Fit on ``labelled`` (key, text, lang).
 
     Rows with a null lang or no letter teach nothing. About ``most`` rows of each language are
-    used, chosen by a hash of the key; their features (8 KB each) are what reaches the driver.
+    used, fewer where there are more languages than SAMPLE has room for, chosen by a hash of key and text (null
+    keys are like any other); rows that repeat both count once. Their features (8 KB each) are what reaches the driver.
     No rows at all give a model that answers ``und``.
     """
-    rows = labelled.filter("lang is not null and text is not null")
-    sample = bounded_sample(rows, "lang", key, most).select("text", "lang")
+    rows = labelled.filter("lang is not null and text is not null").select(F.col(key).alias("key_"), F.xxhash64("text").alias("hash_"), "text", "lang")
+    sample = bounded_sample(rows, "lang", ["key_", "hash_"], most, SAMPLE).select("text", "lang")
     got = sample.mapInArrow(_sampled_features, "lang string, x binary").toPandas()
     got = got.sort_values(["lang", "x"], ignore_index=True)
     x = np.frombuffer(b"".join(got.x), np.float16).reshape(len(got), DIMENSIONS).astype(np.float32)

@@ -1,10 +1,14 @@
-"""Join of near duplicates by the Jaccard similarity of their word five-grams, through banded MinHash LSH.
+"""Join of near duplicates by the Jaccard similarity of their word five-grams, through a MinHash LSH forest.
 
 1. Every text becomes its set of shingles, a signature and a fingerprint of the set. Texts with equal
    sets are one class, for which its smallest key stands from here on.
-2. Bands: the signature has 20 stretches (trees), and of each the first values, as many as ``depth_for``
-   gives for all data alike (4), are hashed into one bucket. Two texts meet where they share a bucket of a tree.
-   Texts that meet, and whose whole signatures don't rule the threshold out, are candidates.
+2. The forest: each of TREES tries holds a stretch of every signature, as a table sorted by the stretches. Texts
+   meet where they share a prefix of a tree. Matching begins at full depth; prefixes are then shortened by one value at
+   a time, for each text until the chance to meet the least similar text that may still link with it reaches RECALL
+   (``depth_for``: a text of few shingles can have no link right at the threshold and ends deeper). A prefix whose
+   texts deeper levels have all brought together is not matched again, and a text
+   without company at the shortest prefix is done with at once. Texts that meet, and whose whole signatures don't
+   rule the threshold out, are candidates.
 3. Components of the candidates are verified exactly: all pairs in a component are compared by their
    sets, so that nothing found by a detour is lost. Components and buckets of any size are cut into tiles
    of bounded size, and each task sees two tiles at most; it sends on counts and a spanning forest, never
@@ -14,11 +18,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm.common import Scratch, code_points, hot_aware_join, kinds, mix, run_hashes, text_slices, word_runs
@@ -26,22 +33,44 @@ from chronoframe.llm.graph import connected_components
 from chronoframe.llm.tiles import forest, grouped, tiled
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Trees of the forest, values in a tree's full stretch, and the recall wanted for a pair right at the threshold.
+#: Trees of the forest, values in a tree's full stretch, and the recall wanted for the least similar pair that links.
 TREES, DEPTH, RECALL = 20, 6, 0.9999
 #: A pair whose signatures agree in less than this share of places is no candidate: at the threshold that has a chance of about 1e-9.
 FLOOR = 0.55
 #: Rows of one side in a comparison.
 TILE = 1024
 SIGNATURE = TREES * DEPTH
-
-
-def depth_for(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with the wanted recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+#: Sets of more shingles than this are taken to have links right at the threshold.
+SMALL = 200
+
+
+def least_similarity(n: int, threshold: float) -> float:
+    """The smallest Jaccard similarity of ``threshold`` or more that a set of n can have with another set; 1 where there is none below."""
+    if n > SMALL:
+        return threshold
+    least = 1.0
+    for m in range(math.ceil(threshold * n - 1e-9), int(n / threshold + 1e-9) + 1):
+        both = math.ceil(threshold * (n + m) / (1 + threshold) - 1e-9)
+        if both <= min(n, m) and n + m > 2 * both:
+            least = min(least, both / (n + m - both))
+    return least
+
+
+def depth_for(similarity: float) -> int:
+    """The longest prefix at which a pair of this similarity meets in some tree with the wanted recall."""
+    depth = DEPTH
+    while depth > 1 and 1 - (1 - similarity**depth) ** TREES < RECALL:
         depth -= 1
     return depth
 
 
+@lru_cache(maxsize=1024)
+def last_depth(n: int, threshold: float) -> int:
+    """Where the shortening ends for a set of n; DEPTH + 1 if none but equal sets can link with it."""
+    least = least_similarity(n, threshold)
+    return depth_for(least) if least < 1 else DEPTH + 1
+
+
 _A = (mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, 1001 + SIGNATURE, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -90,21 +119,18 @@ def digests(sets: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array(both[:, k].copy()) for k in (0, 1)]
 
 
-def _signed(docs: DataFrame, depth: int) -> DataFrame:
+def _signed(docs: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
             sets = shingle_sets(texts)
-            signs = np.stack([signature(s) for s in sets])
-            prefix = np.zeros((len(sets), TREES), np.uint64)
-            for d in range(depth):
-                prefix = mix(prefix + signs.reshape(-1, TREES, DEPTH)[:, :, d].astype(np.uint64) + np.uint64(1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * TREES, pa.int32()), pa.array(prefix.view(np.int64).ravel()))
+            size = [len(s) for s in sets]
+            last = [last_depth(min(n, SMALL + 1), threshold) for n in size]
             yield pa.record_batch(
-                [part.column(0), *digests(sets), pa.array([len(s) for s in sets], pa.int64()), lists, pa.array([m.tobytes() for m in signs], pa.binary())],
-                names=["id", "hi", "lo", "shingles", "prefixes", "sign"],
+                [*(part.column(k) for k in range(3)), *digests(sets), pa.array(size, pa.int64()), pa.array(last, pa.int32()), pa.array([signature(s).tobytes() for s in sets], pa.binary())],
+                names=["id", "t1", "t2", "hi", "lo", "shingles", "last", "sign"],
             )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, hi long, lo long, shingles long, prefixes array<long>, sign binary")
+    return docs.select("id", "t1", "t2", "text").mapInArrow(run, "id long, t1 long, t2 long, hi long, lo long, shingles long, last int, sign binary")
 
 
 def _candidates(group: dict[str, np.ndarray], cross: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -175,44 +201,64 @@ def _verified(threshold: float) -> Callable:
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """(key, class_id, n_links) of every row of ``docs`` (key, text).
-
-    n_links counts the other rows whose shingle set has a Jaccard similarity of ``threshold`` or more with
-    the row's own, copies included; class_id is the smallest key that links lead to, the row's own if
-    none. Texts without a word (null, empty) link with nothing, copies of each other included. Rows
-    with a null key are left out, for they have no identity; rows that repeat a key are copies
-    or not like any others, with equal class for equal texts. Other columns are not read.
-    """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    depth = depth_for(threshold, TREES, DEPTH, RECALL)
-    named = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "text")
-    signed = scratch.keep(_signed(named, depth), "signed")
+def text_hash() -> list[Column]:
+    """128 bits of the text, as two columns."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2")]
+
+
+def _prefix(depth: int) -> Column:
+    return F.xxhash64(F.substring("stretch", 1, 4 * depth)).alias("prefix")
+
+
+def forest_components(standing: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(node, component) of the texts of ``standing`` (node, last, sign) that have candidates."""
+    final = depth_for(threshold)
+    stretch = F.expr(f"substring(sign, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
+    leaves = standing.filter(F.col("last") <= DEPTH).select("node", "last", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    leaves = leaves.select("node", "last", "tree", stretch.alias("stretch")).withColumn("prefix", _prefix(final))
+    company = scratch.keep(leaves.groupBy("tree", "prefix").agg(F.count("*").alias("n")).filter("n > 1"), "company")
+    total = company.agg(F.sum("n")).first()[0] or 0
+    # The tries: their leaves in order, so that the texts of any prefix, of whatever depth, lie together.
+    tries = hot_aware_join(leaves, company, ["tree", "prefix"], "n", total).select("tree", "stretch", "node", "last")
+    tries = scratch.keep(tries.repartitionByRange("tree", "stretch", "node").sortWithinPartitions("tree", "stretch", "node"), "tries")
+    united = scratch.spark.createDataFrame([], "node long, component long")
+    for depth in range(DEPTH, final - 1, -1):
+        now = tries.filter(F.col("last") <= depth).select("tree", _prefix(depth), "node")
+        known = now.join(united, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        buckets = known.groupBy("tree", "prefix").agg(
+            F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"),
+            F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("mark"),
+        )
+        # Of several buckets with the same texts one is enough.
+        apart = buckets.filter("c0 <> c1").groupBy("n", "lo", "hi", "mark").agg(F.min(F.struct("tree", "prefix")).alias("b"))
+        crowded = scratch.keep(apart.select("b.tree", "b.prefix", "n"), "crowded")
+        met = tiled(now, crowded, ["tree", "prefix"], "node", TILE).join(standing.select("node", "sign"), "node").withColumnRenamed("node", "id")
+        edges = scratch.keep(grouped(met, ["tree", "prefix", "tile", "other"], {"sign": "binary"}, _candidates, "a long, b long"), f"edges-{depth}")
+        if not edges.isEmpty():
+            stars = united.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            united = scratch.keep(connected_components(edges.unionByName(stars), scratch, f"rounds-{depth}"), f"united-{depth}")
+    return united
+
+
+def _classed(docs: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(id, t1, t2, root, class_id, n_links) of every row of ``docs`` with a key; root tells classes apart, null for texts without a word."""
+    scratch = Scratch(docs.sparkSession)
+    named = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *text_hash(), "text")
+    signed = scratch.keep(_signed(named, threshold), "signed")
     total = signed.count()
-    # A class for each set of shingles: its smallest key, its rows, one row's signature. Told by a hash of the
-    # set, not by the key, for repeated keys may have different texts.
+    # A class for each set of shingles: its smallest key, its rows, one row's signature. Told by a fingerprint of the
+    # set, not by the key, for repeated keys may have different texts; numbered by where it is written.
     classes = signed.filter("shingles > 0").groupBy("hi", "lo").agg(
-        F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by(F.struct("prefixes", "sign"), "id").alias("s")
+        F.min("id").alias("id"), F.count("*").alias("copies"), F.min_by(F.struct("last", "sign"), "id").alias("s")
     )
-    standing = scratch.keep(classes.select(F.xxhash64("hi", "lo").alias("node"), "id", "copies", "s.prefixes", "s.sign"), "standing")
-
-    # The bands: rows by tree and prefix. Texts alone in theirs are done with, and of several buckets with the same rows one is enough.
-    leaves = standing.select("node", F.posexplode("prefixes").alias("tree", "prefix"))
-    buckets = leaves.groupBy("tree", "prefix").agg(
-        F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("mark")
-    )
-    same = buckets.filter("n > 1").groupBy("n", "lo", "hi", "mark").agg(F.min(F.struct("tree", "prefix")).alias("b"))
-    crowded = scratch.keep(same.select("b.tree", "b.prefix", "n"), "crowded")
-    met = tiled(leaves, crowded, ["tree", "prefix"], "node", TILE).join(standing.select("node", "sign"), "node").withColumnRenamed("node", "id")
-    met = grouped(met, ["tree", "prefix", "tile", "other"], {"sign": "binary"}, _candidates, "a long, b long")
-    candidates = connected_components(met, scratch, "candidates")
+    standing = scratch.keep(classes.select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "id", "copies", "s.last", "s.sign"), "standing")
+    candidates = forest_components(standing, threshold, scratch)
 
     # Exact verification within the candidates' components.
-    suspects = scratch.keep(standing.select("node", "id", "copies").join(candidates, "node"), "suspects")
+    suspects = scratch.keep(standing.select("node", "hi", "lo", "id", "copies").join(candidates, "node"), "suspects")
     # The suspects have no bound on their number, so the texts are always shuffled to them.
-    texts = named.join(suspects.hint("merge"), "id").select("node", "component", "copies", "text")
-    sets = texts.mapInArrow(_sets, "node long, component long, copies long, hi long, lo long, set binary")
-    sets = sets.filter(F.xxhash64("hi", "lo") == F.col("node")).dropDuplicates(["node"]).select("node", "component", "copies", "set")
+    texts = named.join(suspects.hint("merge"), "id").select("node", "component", "copies", "hi", "lo", "text")
+    sets = texts.mapInArrow(_sets, "node long, component long, copies long, set binary").dropDuplicates(["node"])
     sets = scratch.keep(sets, "sets")
     sizes = scratch.keep(sets.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     pairs = tiled(sets, sizes, ["component"], "node", TILE).withColumnRenamed("node", "id")
@@ -229,38 +275,58 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", threshold: float = THR
     joined = connected_components(verified.filter("a <> b").select("a", "b"), scratch, "joined")
     least = joined.withColumnRenamed("component", "root").join(standing.select("node", "id"), "node")
     roots = least.groupBy("root").agg(F.min("id").alias("class_id"))
-    linked = least.join(roots, "root").select("node", "class_id").join(linked, "node", "left")
-    answer = standing.select("node", "id", "copies").join(linked, "node", "left").select(
-        "node", "copies", F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
+    linked = least.join(roots, "root").select("node", "root", "class_id").join(linked, "node", "left")
+    answer = standing.select("node", "hi", "lo", "id", "copies").join(linked, "node", "left").select(
+        "hi", "lo", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "id").alias("class_id"),
+        (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
     answer = scratch.keep(answer, "answer")
-    members = signed.filter("shingles > 0").select("id", F.xxhash64("hi", "lo").alias("node"))
-    told = hot_aware_join(members, answer, "node", "copies", total)
-    alone = signed.filter("shingles = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return told.select("id", "class_id", "n_links").unionByName(alone).withColumnRenamed("id", key)
+    members = scratch.keep(signed.select("id", "t1", "t2", "hi", "lo", "shingles"), "members")
+    scratch.drop("signed", "standing", "company", "tries", "crowded", "suspects", "sets", "sizes", "verified", *(f"{t}-{d}" for t in ("edges", "united") for d in range(DEPTH + 1)))
+    told = hot_aware_join(members.filter("shingles > 0"), answer, ["hi", "lo"], "copies", total)
+    alone = members.filter("shingles = 0").select("*", F.lit(None).cast("long").alias("root"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    columns = ["id", "t1", "t2", "root", "class_id", "n_links"]
+    return told.select(*columns).unionByName(alone.select(*columns))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """(key, class_id, n_links) of every row of ``docs`` (key, text).
+
+    n_links counts the other rows whose shingle set has a Jaccard similarity of ``threshold`` or more with
+    the row's own, copies included; class_id is the smallest key that links lead to, the row's own if
+    none. Texts without a word (null, empty) link with nothing, copies of each other included. Rows
+    with a null key have no identity: they link with nothing and have a null class. Rows that repeat a key are copies
+    or not like any others, with equal class for equal texts. Other columns are not read.
+    """
+    told = _classed(docs, key, threshold).select(F.col("id").alias(key), "class_id", "n_links")
+    nobody = F.lit(None).cast("long")
+    return told.unionByName(docs.filter(F.col(key).isNull()).select(nobody.alias(key), nobody.alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class of near duplicates: that of the smallest key.
+    """``docs`` with one row of each class of near duplicates: that of the smallest key, then text hash.
 
     Of equal texts without a word (null and empty ones are two such texts) one stays too. Rows without a key
-    stay. Of rows that repeat key and text one stays.
+    stay. Of rows that repeat key and text one stays; of rows with one key and different texts each is judged by its
+    text.
     """
-    kept = near_duplicates(docs.select(key, "text"), key, threshold).filter(F.col(key) == F.col("class_id")).select(key).distinct()
-    hashed = docs.withColumn("text_hash_", F.xxhash64("text"))
-    firsts = hashed.select(key, "text_hash_").join(kept.hint("merge"), key, "left_semi").groupBy("text_hash_").agg(F.min(key).alias(key))
+    rows = _classed(docs.select(key, "text"), key, threshold)
+    row = F.min(F.struct("id", "t1", "t2")).alias("first")
+    firsts = rows.filter("root is not null").groupBy("root").agg(row).unionByName(rows.filter("root is null").groupBy(F.hash("t1", "t2").cast("long").alias("root"), "t1", "t2").agg(row).select("root", "first"))
+    hashed = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("id"), *text_hash())
     # By key and hash, so that the rows of a common text don't meet in one task.
-    chosen = hashed.join(firsts.hint("merge"), [key, "text_hash_"], "left_semi").dropDuplicates([key, "text_hash_"])
-    return chosen.drop("text_hash_").select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
+    chosen = hashed.join(firsts.select("first.*").hint("merge"), ["id", "t1", "t2"], "left_semi").dropDuplicates(["id", "t1", "t2"])
+    return chosen.select("row.*").unionByName(docs.filter(F.col(key).isNull()))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the texts that have the fingerprints asked for (another text under the same key has not)."""
     for part, texts in text_slices(batches):
         sets = shingle_sets(texts)
-        yield pa.record_batch(
-            [*(part.column(k) for k in range(3)), *digests(sets), pa.array([s.tobytes() for s in sets], pa.binary())],
-            names=["node", "component", "copies", "hi", "lo", "set"],
-        )
+        hi, lo = digests(sets)
+        wanted = pc.and_(pc.equal(hi, part.column("hi")), pc.equal(lo, part.column("lo")))
+        found = pa.record_batch([*(part.column(k) for k in range(3)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "component", "copies", "set"])
+        yield found.filter(wanted)
 
 
 ORACLE = f"""

@@ -1,7 +1,7 @@
 """Toxicity scores from a learned lexicon, matched with misspellings, and the context of the matches.
 
 The lexicon is learned: words and word beginnings that occur in toxic training texts after many
-different words, and hardly in others. Texts that are copies of each other repeat their neighbours, so that
+different words, and hardly in others; that rule alone bounds it. Texts that are copies of each other repeat their neighbours, so that
 words of copied texts don't get in. Matches between quotation marks count apart from the others,
 and so do the closest crowd of matches and their share of the words; a logistic model weighs them all.
 """
@@ -9,8 +9,10 @@ and so do the closest crowd of matches and their share of the words; a logistic
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,10 @@ SAMPLE_PER_LABEL = 3000
 LEAST_TEXTS, MOST_CLEAN = 3, 0.02
 #: Of an entry's toxic texts at least this share have different words before it.
 LEAST_VARIETY = 0.5
-#: Lengths of stems; entries in the lexicon at most.
-STEMS, MOST_ENTRIES = (4, 5, 6), 256
+#: Lengths of stems.
+STEMS = (4, 5, 6)
+#: A misspelling of an entry shorter than this counts for its own weight only, not as a match of any kind.
+SURE_FROM = 5
 #: Words that a crowd of matches spans; characters to the quotation marks around a match, at most.
 CROWD, QUOTE = 12, 200
 THRESHOLD = 0.7
@@ -40,13 +44,21 @@ INSIDE = "@$*"
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(code points, bounds of texts, starts and ends of words, limits of each text's words) of the lower-cased texts."""
+    """(code points, bounds of texts, starts and ends of words, limits of each text's words) of the lower-cased texts.
+
+    Words are runs of letters and digits, and of masking signs where they stand between such; text that is written
+    without spaces is one word up to its next mark.
+    """
     codes, bounds = code_points([t.lower() for t in texts])
     kind = kinds(codes)
     inside = (kind == 1) | (kind == 2)
-    sign = np.isin(codes, [ord(c) for c in INSIDE])
-    sign[1:-1] &= inside[:-2] & inside[2:]
-    starts, ends = word_runs(inside | sign)
+    first, last = word_runs(np.isin(codes, [ord(c) for c in INSIDE]))
+    between = (first > 0) & (last < len(codes))
+    first, last = first[between], last[between]
+    between = inside[first - 1] & inside[last]
+    level = np.zeros(len(codes) + 1, np.int8)
+    level[first[between]], level[last[between]] = 1, -1
+    starts, ends = word_runs(inside | (np.cumsum(level[:-1]) > 0))
     return codes, bounds, starts, ends, np.searchsorted(starts, bounds)
 
 
@@ -56,31 +68,50 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
 
-    def features(self, texts: list[str]) -> np.ndarray:
-        """(rows x 2 * entries + 6): matches to the letter and misspelt by entry, then any of each, quoted ones, crowd, share of words, and crowd to the letter."""
+    @property
+    def width(self) -> int:
+        return 2 * len(self.automaton.entries) + 6
+
+    def cells(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, column, value) of all features that are not zero.
+
+        Columns: matches to the letter and misspelt by entry, then any of each, quoted ones, crowd, share of
+        words, and crowd to the letter.
+        """
         codes, bounds, starts, ends, limits = words_of(texts)
-        n, entries = len(texts), len(self.automaton.entries)
-        x = np.zeros((n, 2 * entries + 6), np.float32)
+        n, first = len(texts), self.width - 6
         result = self.automaton.run(codes, starts, ends)
         hit = np.flatnonzero(result >= 0)
         if not len(hit):
-            return x
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
         text = np.searchsorted(limits, hit, side="right") - 1
         quoted = self._quoted(codes, bounds, text, starts[hit], ends[hit])
-        plain, code = ~quoted, result[hit]
-        counts = np.zeros((n, 2 * entries), np.float32)
-        np.add.at(counts, (text[plain], code[plain]), 1)
-        x[:, : 2 * entries] = np.minimum(counts, 1)
-        exact, near = counts[:, 0::2].sum(axis=1), counts[:, 1::2].sum(axis=1)
-        x[:, -6], x[:, -5] = exact > 0, near > 0
-        np.add.at(x[:, -4], text[quoted], 1)
-        x[:, -4] = np.log1p(x[:, -4])
-        for column, some in ((-3, plain), (-1, plain & (code & 1 == 0))):
+        plain, code = ~quoted, result[hit].astype(np.int64)
+        length = np.array([len(e.text) for e in self.automaton.entries])[code >> 1]
+        sure = plain & ((code & 1 == 0) | (length >= SURE_FROM))
+        own = np.unique(text[plain] * first + code[plain])
+        dense = np.zeros((n, 6), np.float32)
+        exact, near = (np.bincount(text[sure & (code & 1 == k)], minlength=n) for k in (0, 1))
+        dense[:, 0], dense[:, 1] = exact > 0, near > 0
+        dense[:, 2] = np.log1p(np.bincount(text[quoted], minlength=n))
+        for column, some in ((3, sure), (5, plain & (code & 1 == 0))):
             at, of = hit[some], text[some]
             # Matches from each one on that lie within CROWD words of it, in its own text.
             crowd = np.minimum(np.searchsorted(at, at + CROWD), np.searchsorted(of, of, side="right")) - np.arange(len(at))
-            np.maximum.at(x[:, column], of, np.log1p(crowd).astype(np.float32))
-        x[:, -2] = np.sqrt((exact + near) / np.maximum(np.diff(limits), 1))
+            np.maximum.at(dense[:, column], of, np.log1p(crowd).astype(np.float32))
+        dense[:, 4] = np.sqrt((exact + near) / np.maximum(np.diff(limits), 1))
+        rows, columns = np.nonzero(dense)
+        return (
+            np.concatenate((own // max(first, 1), rows)),
+            np.concatenate((own % max(first, 1), first + columns)),
+            np.concatenate((np.ones(len(own), np.float32), dense[rows, columns])),
+        )
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """The same as a table (rows x width)."""
+        x = np.zeros((len(texts), self.width), np.float32)
+        rows, columns, values = self.cells(texts)
+        x[rows, columns] = values
         return x
 
     @staticmethod
@@ -101,75 +132,96 @@ class ToxicityModel:
         return inner & (opens | ((codes[b] == ord(EITHER)) & (codes[a] == ord(EITHER)) & odd))
 
     def score(self, texts: list[str]) -> np.ndarray:
-        z = self.features(texts) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
+        rows, columns, values = self.cells(texts)
+        z = np.full(len(texts), self.bias)
+        if len(rows):
+            z += np.bincount(rows, values * self.weights[columns], minlength=len(texts))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _terms(batches: Iterator[pa.RecordBatch], known: frozenset | None) -> Iterator[pa.RecordBatch]:
-    """Distinct (term, stem) of each text with a hash of the word before; only ``known`` ones if given."""
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (term, stem) of each text with a hash of the word before its first."""
+    types = (pa.int32(), pa.string(), pa.bool_(), pa.int64())
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["label", "term", "stem", "previous"])
+
     for part, texts in text_slices(batches):
         rows: list[tuple[int, str, bool, int]] = []
         for label, text in zip(part.column("label").to_pylist(), texts, strict=True):
-            codes, _, starts, ends, _ = words_of([text])
+            _, _, starts, ends, _ = words_of([text])
             lower = text.lower()
             words = [lower[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             seen: set[tuple[str, bool]] = set()
             for previous, word in zip(["", *words], words, strict=False):
                 for term in ((word, False), *((word[:k], True) for k in STEMS if len(word) > k)):
-                    if term not in seen and len(word) > 3 and (known is None or term in known):
+                    if term not in seen:
                         seen.add(term)
                         rows.append((label, *term, zlib.crc32(previous.encode())))
-        for at in range(0, len(rows), 100_000):
-            columns = list(zip(*rows[at : at + 100_000], strict=True))
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.bool_(), pa.int64()), strict=True)], names=["label", "term", "stem", "previous"])
+            if len(rows) > 100_000:
+                yield sent(rows)
+                rows = []
+        if rows:
+            yield sent(rows)
 
 
 def learn_lexicon(sample: DataFrame) -> list[Entry]:
-    """Entries from (label, text) of the bounded sample; see the module's text for the rule."""
-    schema = "label int, term string, stem boolean, previous long"
+    """Entries from (label, text) of the bounded sample; see the module's text for the rule.
+
+    Of a word and its inflections the stem stays, and beside a stem that is too short to be matched
+    with an edit the words that are long enough.
+    """
     sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return []
-    found = sample.filter("label = 1").mapInArrow(lambda b: _terms(b, None), schema).groupBy("term", "stem").agg(
-        F.count("*").alias("n"), F.countDistinct("previous").alias("variety")
-    )
+    schema = "label int, term string, stem boolean, previous long"
+    found = sample.filter("label = 1").mapInArrow(_terms, schema).groupBy("term", "stem").agg(F.count("*").alias("n"), F.countDistinct("previous").alias("variety"))
     found = found.filter((F.col("n") >= LEAST_TEXTS) & (F.col("variety") >= LEAST_VARIETY * F.col("n")))
-    top = found.orderBy(F.desc("n"), "term", "stem").limit(40 * MOST_ENTRIES).collect()
-    known = frozenset((r.term, r.stem) for r in top)
-    others = sample.filter("label = 0").mapInArrow(lambda b: _terms(b, known), schema).groupBy("term", "stem").count()
-    innocent = {(r[0], r[1]): r[2] for r in others.collect()}
-    kept: list[tuple[int, str, bool]] = []
-    for r in sorted(top, key=lambda r: (-r.n, -len(r.term), r.stem, r.term)):
-        if innocent.get((r.term, r.stem), 0) / clean > MOST_CLEAN * r.n / toxic:
+    others = sample.filter("label = 0").mapInArrow(_terms, schema).groupBy("term", "stem").agg(F.count("*").alias("innocent"))
+    rule = F.coalesce("innocent", F.lit(0)) / F.lit(clean) <= MOST_CLEAN * F.col("n") / F.lit(toxic)
+    kept: list[Entry] = []
+    words: list[tuple[str, int]] = []  # terms kept, sorted, with their texts
+    stems: set[str] = set()
+    for r in sorted(found.join(others, ["term", "stem"], "left").filter(rule).collect(), key=lambda r: (-r.n, -len(r.term), r.stem, r.term)):
+        entry = Entry(r.term, r.stem)
+        over = [r.term[:k] for k in STEMS if r.term[:k] in stems]
+        if any(entry.edits <= Entry(t, True).edits for t in over):
+            continue
+        at = bisect_left(words, (r.term, 0))
+        if r.stem and any(r.n <= 1.05 * n for _, n in takewhile(lambda w: w[0].startswith(r.term), islice(words, at, None))):
             continue
-        related = [(n, t) for n, t, stem in kept if (stem and r.term.startswith(t)) or (r.stem and t.startswith(r.term) and r.n <= 1.05 * n)]
-        if not related:
-            kept.append((r.n, r.term, r.stem))
-        if len(kept) == MOST_ENTRIES:
-            break
-    return [Entry(t, stem) for _, t, stem in kept]
+        kept.append(entry)
+        insort(words, (r.term, r.n))
+        if r.stem:
+            stems.add(r.term)
+    return kept
 
 
 def _featured(model: ToxicityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
-            x = model.features(texts).astype(np.float16)
-            yield pa.record_batch([part.column("label"), pa.array([row.tobytes() for row in x], pa.binary())], names=["label", "x"])
+            rows, columns, values = model.cells(texts)
+            order = np.lexsort((columns, rows))
+            bounds = np.searchsorted(rows[order], np.arange(len(texts) + 1)).tolist()
+            c, v = columns[order].astype(np.int32), values[order].astype(np.float32)
+            pairs = [[a[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:], strict=True)] for a in (c, v)]
+            yield pa.record_batch([part.column("label"), *(pa.array(p, pa.binary()) for p in pairs)], names=["label", "columns", "x"])
 
     return run
 
 
-def train(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam, with both labels weighted alike; (0, -30) where there is one label or none."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    if not len(x) or y.min() == y.max():
+def train(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam on (row, column, value) features, with both labels weighted alike; (0, -30) where there is one label or none."""
+    w, b = np.zeros(width), 0.0
+    if not len(y) or y.min() == y.max():
         return w, -30.0
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    m, v = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, STEPS + 1):
-        g = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) * weight
-        grad = np.concatenate((x.T @ g + DECAY * w, [g.sum()]))
+        z = b + np.bincount(rows, values * w[columns], minlength=len(y))
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
+        grad = np.concatenate((np.bincount(columns, values * g[rows], minlength=width) + DECAY * w, [g.sum()]))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -185,10 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "t
     """
     sample = sampled(docs, labels, key, label, most)
     model = ToxicityModel(LexiconAutomaton(learn_lexicon(sample)), np.zeros(0), -30.0)
-    got = sample.mapInArrow(_featured(model), "label int, x binary").toPandas().sort_values(["label", "x"], ignore_index=True)
-    width = 2 * len(model.automaton.entries) + 6
-    x = np.frombuffer(b"".join(got.x), np.float16).reshape(len(got), width).astype(np.float64)
-    model.weights, model.bias = train(x, got.label.to_numpy())
+    got = sample.mapInArrow(_featured(model), "label int, columns binary, x binary").toPandas().sort_values(["label", "columns", "x"], ignore_index=True)
+    columns, values = np.frombuffer(b"".join(got["columns"]), np.int32), np.frombuffer(b"".join(got.x), np.float32)
+    rows = np.repeat(np.arange(len(got)), got.x.map(len).to_numpy(np.int64) // 4)
+    model.weights, model.bias = train(rows, columns, values.astype(np.float64), got.label.to_numpy(), model.width)
     return model
 
 

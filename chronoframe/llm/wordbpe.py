@@ -19,7 +19,8 @@ from chronoframe.llm.wordcache import SegmentEncoder, byte_table, segments_of, s
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 
-#: A segment of lower-case Latin letters, digits and ASCII signs, and its pieces by the file's own pattern.
+#: A segment of lower-case Latin letters, digits and ASCII signs, and its pieces by the vocabulary
+#: file's own public pattern, narrowed to these characters. A fast path; other segments go through the library.
 _SIMPLE = re.compile(r"[!-@\[-~ß-öø-ÿ]+")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
 from chronoframe.llm import langid, quality, queries, toxicity
 from chronoframe.llm.automaton import Entry, LexiconAutomaton
 from chronoframe.llm.toxicity import words_of
+from tests.llm.conftest import prose
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -63,12 +66,14 @@ def test_awkward_rows_are_scored(spark, awkward, nothing, module):
 
 
 def plain_distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Edits from a to b: one character changed, put in or left out, or two neighbours exchanged."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
 
 
 def plain_match(word: str, entries: list[Entry]) -> set[int]:
@@ -86,13 +91,16 @@ def test_automaton_against_plain_distances():
     entries = [Entry("stupid", False), Entry("moron", False), Entry("idio", True), Entry("vermin", True), Entry("rat", False)]
     machine = LexiconAutomaton(entries)
     rng = np.random.default_rng(4)
-    words = ["rat", "rats", "idiot", "idio", "vermn", "verminous", "vermim", "stupdi", "stpid", "stuppid", "mor0n", "moroon", "x"]
+    words = ["rat", "rats", "idiot", "idio", "vermn", "verminous", "vermim", "stupdi", "stpid", "stuppid", "mor0n", "moroon", "x", "omron", "mornow", "vremin", "art"]
     for entry in entries:
         for _ in range(150):
             w = list(entry.text)
             for _ in range(int(rng.integers(0, 3))):
                 k = int(rng.integers(0, len(w) + 1))
-                kind = rng.integers(0, 3)
+                kind = rng.integers(0, 4)
+                if kind == 3:
+                    w[k : k + 2] = w[k : k + 2][::-1]
+                    continue
                 if kind == 0:
                     w.insert(k, chr(97 + int(rng.integers(0, 26))))
                 elif len(w) > 1 and k < len(w):
@@ -103,6 +111,46 @@ def test_automaton_against_plain_distances():
         assert result in plain_match(word, entries), word
 
 
+def test_words_hold_masks():
+    codes, _, starts, ends, _ = words_of(["f**k a*b *c* d$$ 5@@x"])
+    assert ["".join(map(chr, codes[a:b])) for a, b in zip(starts, ends, strict=True)] == ["f**k", "a*b", "c", "d", "5@@x"]
+
+
+def test_lexicon_has_no_cap_and_short_terms(spark):
+    """300 terms of different lengths, each in enough toxic texts after different words, are all learned."""
+    rng = np.random.default_rng(8)
+    name = lambda k, n: "".join(chr(97 + int(c)) for c in np.random.default_rng(k).integers(0, 26, n))
+    terms = ["zug", "qax"] + sorted({name(k, 5 + k % 5) for k in range(300)})
+    calm = [name(5000 + k, 7) for k in range(400)]
+    say = lambda: " ".join(calm[int(i)] for i in rng.integers(0, 400, 6))
+    toxic = [f"{say()} {t} {say()}" for t in terms for _ in range(4)]
+    docs = [(i, t, 1) for i, t in enumerate(toxic)] + [(10_000 + i, f"{say()} {say()}", 0) for i in range(1200)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, toxic int").repartition(4)
+    entries = {e.text for e in toxicity.learn_lexicon(table.selectExpr("toxic AS label", "text"))}
+    missed = [t for t in terms if t not in entries and not any(t[:k] in entries for k in toxicity.STEMS)]
+    assert len(entries) > 256 and {"zug", "qax"} <= entries and len(missed) <= 3
+
+
+def plain_toxicity(model: toxicity.ToxicityModel, text: str) -> float:
+    """A text's score by one word after the other, without quotations."""
+    words = re.findall(r"[^\W_]+(?:[@$*]+[^\W_]+)*", text.lower())
+    found = [(k, m) for k, m in ((k, min(plain_match(w, model.automaton.entries))) for k, w in enumerate(words)) if m >= 0]
+    entries, w = model.automaton.entries, model.weights
+    sure = [(k, m) for k, m in found if not m % 2 or len(entries[m // 2].text) >= toxicity.SURE_FROM]
+    crowd = lambda some: max((np.log1p(sum(k <= j < k + toxicity.CROWD for j, _ in some)) for k, _ in some), default=0.0)
+    z = model.bias + sum(w[m] for m in {m for _, m in found})
+    z += w[-6] * any(m % 2 == 0 for _, m in sure) + w[-5] * any(m % 2 for _, m in sure) + w[-3] * crowd(sure)
+    z += w[-2] * np.sqrt(len(sure) / max(1, len(words))) + w[-1] * crowd([f for f in found if f[1] % 2 == 0])
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_toxicity_scores_equal_a_plain_version(awkward_texts):
+    entries = [Entry("moron", False), Entry("scum", False), Entry("vermin", True), Entry("zug", False)]
+    model = toxicity.ToxicityModel(LexiconAutomaton(entries), np.random.default_rng(1).normal(size=2 * len(entries) + 6), -0.3)
+    texts = [t or "" for t in awkward_texts] + ["you morons, moron!", "sucm and scum", "verminous zug zugs " * 9, "a m*ron here", prose(200, 3) + " omron vermni"]
+    assert np.allclose(model.score(texts), [plain_toxicity(model, t) for t in texts], atol=1e-6)
+
+
 def test_quoted_matches_count_apart():
     model = toxicity.ToxicityModel(LexiconAutomaton([Entry("moron", False)]), np.zeros(8), 0.0)
     open_, quoted, neither = model.features(["you moron, go", 'he said "you moron" and left', "calm words"])

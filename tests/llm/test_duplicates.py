@@ -84,10 +84,40 @@ def test_one_of_each_keeps_the_first(spark, awkward, nothing):
     assert ngramjoin.one_of_each(nothing).count() == 0
 
 
-def test_forest_depth_meets_the_recall():
-    depth = ngramjoin.depth_for(0.8, ngramjoin.TREES, ngramjoin.DEPTH, ngramjoin.RECALL)
-    assert 1 - (1 - 0.8**depth) ** ngramjoin.TREES >= ngramjoin.RECALL
-    assert ngramjoin.depth_for(0.8, 4, 6, 0.999999) == 1
+def test_prefixes_are_shortened_until_the_recall():
+    for n in (1, 3, 4, 6, 11, 40, 150, 5000):
+        least, last = ngramjoin.least_similarity(n, 0.8), ngramjoin.last_depth(min(n, 201), 0.8)
+        possible = [o / (n + m - o) for m in range(1, 2 * n + 2) for o in range(1, min(n, m) + 1) if 0.8 <= o / (n + m - o) + 1e-9 < 1] if n <= 150 else [0.8]
+        assert least == (min(possible) if possible else 1.0)
+        assert last == ngramjoin.DEPTH + 1 if not possible else 1 - (1 - least**last) ** ngramjoin.TREES >= ngramjoin.RECALL
+    assert ngramjoin.last_depth(6, 0.8) > ngramjoin.last_depth(201, 0.8)
+
+
+def test_forest_matches_at_full_depth_first_and_then_shortens(spark, monkeypatch):
+    """Close copies are together after the first level; of what shorter prefixes are asked for only the others are left."""
+    asked = []
+    plain = ngramjoin.tiled
+    monkeypatch.setattr(ngramjoin, "tiled", lambda rows, sizes, keys, *more: (asked.append((keys[0], sizes.count())), plain(rows, sizes, keys, *more))[1])
+    base = [prose(200, 500 + g).split() for g in range(6)]
+    texts = {10 * g + i: " ".join([*b[: 200 - i], *(["x"] * i)]) for g, b in enumerate(base) for i in range(8)}
+    far = prose(60, 900).split()
+    texts |= {100: " ".join(far), 101: " ".join([*far[:14], "x", *far[15:44], "y", *far[45:]])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.class_id, r.n_links) for r in ngramjoin.near_duplicates(docs).collect()}
+    levels = [n for name, n in asked if name == "tree"]
+    assert len(levels) == 3 and levels[0] > 0 and levels[1] < levels[0] and levels[2] < levels[0]
+    assert found == brute_near(texts)
+
+
+def test_repeated_and_null_keys(spark):
+    same, other, third = prose(40, 1), prose(40, 2), prose(40, 3)
+    rows = [(1, same), (5, other), (5, same), (5, same), (7, third), (9, third + " more"), (5, third), (None, same), (None, None), (8, None), (8, None)]
+    docs = spark.createDataFrame([(k, t, i, "x") for i, (k, t) in enumerate(rows)], "doc_id long, text string, t1 int, row string").repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in ngramjoin.one_of_each(docs).collect()), key=repr)
+    assert kept == sorted([(1, same), (5, other), (5, third), (8, None), (None, same), (None, None)], key=repr)
+    found = sorted(((r.doc_id, r.class_id, r.n_links) for r in ngramjoin.near_duplicates(docs).collect()), key=repr)
+    linked = [(1, 1, 2), (5, 1, 2), (5, 1, 2), (5, 5, 0), (5, 5, 2), (7, 5, 2), (9, 5, 2), (8, 8, 0), (8, 8, 0), (None, None, 0), (None, None, 0)]
+    assert found == sorted(linked, key=repr)
 
 
 def test_tiles_cover_every_pair_once(spark):
