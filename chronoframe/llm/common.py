@@ -95,6 +95,11 @@ def in_fold(key: Column, modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
+def text_hash() -> list[Column]:
+    """128 bits of the text, as two columns: one seed is not the other's."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2")]
+
+
 def bounded_sample(rows: DataFrame, label: str, key: list[str], most: int, total: int | None = None) -> DataFrame:
     """About ``most`` different rows of each label value and ``total`` together (all where there are fewer), chosen by a hash of ``key``.
 

@@ -2,23 +2,28 @@
 
 Unit vectors with cosine c are sqrt(2 - 2c) apart. After a rotation, the same for all, a vector is cut into BLOCKS
 blocks of few dimensions. If two vectors are within the budget as wholes, then in at least one block they are
-within that block's share of the squared budget. So each block is range-joined by itself: its first
-GRID dimensions are cut into cells wider than the radius, and a vector goes to its own cell and to each
-neighbouring cell, in forward direction only, from which it is less than the radius away. What meets in a cell
-and is within the block's budget is verified by the exact cosine of the original vectors.
+within that block's share of the squared budget. So each block is range-joined by itself, on the block's few
+numbers alone:
+
+1. The first GRID dimensions are cut into cells wider than the radius, and a vector goes to its own cell and to each
+   neighbouring cell, in forward direction only, from which it is less than the radius away. A cell of more than SPLIT
+   vectors is cut in the same way by the block's next GRID dimensions, and so on while there are any.
+2. Within a cell those vectors go on that have another within the block's budget.
+3. Only these are joined with their vectors, and verified by the exact cosine. A pair belongs to the first block that
+   is within its budget, and there to the one cell in which either of them is at home on every level.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import Scratch, hot_aware_join
+from chronoframe.llm.common import Scratch, hot_aware_join, mix, passing
 from chronoframe.llm.graph import connected_components
 from chronoframe.llm.tiles import forest, grouped, tiled
 
@@ -26,10 +31,10 @@ COSINE = 0.98
 BLOCKS, GRID = 8, 3
 #: Width of a cell in radii of a block.
 WIDTH = 3.0
-#: Rows of one side in a comparison.
-TILE = 1024
-#: Added to squared budgets: far above the rounding of double precision, far below the distances that matter.
-SLACK = 1e-9
+#: Vectors that a cell may hold before it is cut by further dimensions of its block, and rows of one side in a comparison.
+SPLIT, TILE = 512, 1024
+#: Added to squared budgets: far above the rounding of double (single) precision, far below the distances that matter.
+SLACK, COARSE = 1e-9, 1e-6
 SEED = 20240601
 #: Neighbours in forward direction: the first step that is not zero goes up.
 FORWARD = [d for d in product((-1, 0, 1), repeat=GRID) if any(d) and next(x for x in d if x) > 0]
@@ -57,9 +62,8 @@ def budgets(width: int, cosine: float) -> list[float]:
     return [(2 - 2 * cosine) * len(b) / width + SLACK for b in blocks_of(width)]
 
 
-def cells(turned: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, cell coordinates, whether at home) of the places that each row of one block goes to."""
-    grid = turned[:, :GRID]
+def cells(grid: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, cell coordinates, whether at home) of the places that each row of up to GRID coordinates goes to."""
     grid = np.concatenate((grid, np.zeros((len(grid), GRID - grid.shape[1]))), axis=1)
     width = WIDTH * radius
     home = np.floor(grid / width).astype(np.int64)
@@ -74,7 +78,41 @@ def cells(turned: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.nd
         yield rows, home[rows] + np.array(step), np.zeros(len(rows), bool)
 
 
-def _dealt(cosine: float):
+def _named(seed: int, columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit name of the places that the columns tell."""
+    h = np.full(len(columns[0]), np.uint64(seed))
+    for c in columns:
+        h = mix(h + mix(c.astype(np.int64).view(np.uint64) + np.uint64(seed)))
+    return h.view(np.int64)
+
+
+#: A vector in a cell: the cell's name (128 bits), how often it was cut, the levels on which the vector is at home (bits), its block's numbers.
+PLACE = "id long, h1 long, h2 long, level int, home int, width int, block int, numbers binary"
+
+
+def _places(ids: np.ndarray, above: list[np.ndarray], level: int, home: np.ndarray, width: int, block: int, numbers: np.ndarray, cosine: float) -> Iterator[pa.RecordBatch]:
+    """The places of the next level of vectors whose cells ``above`` tells; dimensions from GRID * level on."""
+    radius = (budgets(width, cosine)[block] + COARSE) ** 0.5
+    for rows, cell, own in cells(numbers[:, GRID * level : GRID * (level + 1)].astype(np.float64), radius):
+        if not len(rows):
+            continue
+        told = [*(c[rows] for c in above), *(cell[:, k] for k in range(GRID))]
+        names = (_named(seed, [np.full(len(rows), 1000 * width + 10 * block + level), *told]) for seed in (17, 90001))
+        size = 4 * numbers.shape[1]
+        raw = np.ascontiguousarray(numbers[rows]).tobytes()
+        yield pa.record_batch(
+            [
+                pa.array(ids[rows]), *map(pa.array, names), *(pa.array(np.full(len(rows), v, np.int32)) for v in (level,)),
+                pa.array((home[rows] | (own.astype(np.int32) << level)).astype(np.int32)), *(pa.array(np.full(len(rows), v, np.int32)) for v in (width, block)),
+                pa.array([raw[k * size : (k + 1) * size] for k in range(len(rows))], pa.binary()),
+            ],
+            names=["id", "h1", "h2", "level", "home", "width", "block", "numbers"],
+        )
+
+
+def _dealt(cosine: float) -> Callable:
+    """The first level, from (id, label, vector)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, label = batch.column("id").to_numpy(), batch.column("label").to_numpy()
@@ -83,33 +121,71 @@ def _dealt(cosine: float):
             for width in np.unique(size):
                 rows = np.flatnonzero(size == width)
                 v = unit(np.frombuffer(b"".join(raw[r] for r in rows), np.float64).reshape(len(rows), -1))
-                n = v.shape[1]
-                turned = v @ rotation_of(n)
-                for b, (columns, budget) in enumerate(zip(blocks_of(n), budgets(n, cosine), strict=True)):
-                    for found, cell, home in cells(turned[:, columns], budget**0.5):
-                        at = rows[found]
-                        yield pa.record_batch(
-                            [
-                                pa.array(ids[at]), pa.array(label[at]), pa.array(np.full(len(at), n, np.int32)), pa.array(np.full(len(at), b, np.int32)),
-                                *(pa.array(cell[:, k]) for k in range(GRID)), pa.array(home),
-                            ],
-                            names=["id", "label", "width", "block", *(f"c{k}" for k in range(GRID)), "home"],
-                        )
+                turned = v @ rotation_of(v.shape[1])
+                for b, columns in enumerate(blocks_of(v.shape[1])):
+                    numbers = turned[:, columns].astype(np.float32)
+                    yield from _places(ids[rows], [label[rows]], 0, np.zeros(len(rows), np.int32), v.shape[1], b, numbers, cosine)
+
+    return run
+
+
+def _cut(cosine: float) -> Callable:
+    """The next level of the places that come in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, h1, h2, level, home, width, block = (batch.column(k).to_numpy() for k in range(7))
+            raw = batch.column("numbers").to_pylist()
+            for kind in np.unique(np.stack((level, width, block), axis=1), axis=0) if len(ids) else []:
+                rows = np.flatnonzero((level == kind[0]) & (width == kind[1]) & (block == kind[2]))
+                numbers = np.frombuffer(b"".join(raw[r] for r in rows), np.float32).reshape(len(rows), -1)
+                yield from _places(ids[rows], [h1[rows], h2[rows]], int(kind[0]) + 1, home[rows], int(kind[1]), int(kind[2]), numbers, cosine)
 
     return run
 
 
-def _verified(cosine: float):
+def _meet(home: np.ndarray, level: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether two vectors of a cell belong to it as a pair: on every level one of them is at home."""
+    all_ = (2 << level) - 1
+    return lambda rows, others: (home[rows][:, None] | home[others][None, :]) == all_
+
+
+def _near_in_block(cosine: float) -> Callable:
+    """Rows of a cell that have another within the block's budget."""
+
+    def run(group: dict[str, np.ndarray], cross: bool) -> Iterator[tuple]:
+        x = np.frombuffer(b"".join(group["numbers"]), np.float32).reshape(len(group["id"]), -1)
+        meet, square = _meet(group["home"], int(group["level"][0])), (x * x).sum(axis=1)
+        budget = budgets(int(group["width"][0]), cosine)[int(group["block"][0])] + COARSE
+        sides = (np.flatnonzero(group["left"]), np.flatnonzero(~group["left"])) if cross else (np.arange(len(x)),) * 2
+        some = np.zeros(len(x), bool)
+        for at in range(0, len(sides[0]), 256):
+            rows = sides[0][at : at + 256]
+            hit = square[rows][:, None] + square[sides[1]][None, :] - 2 * (x[rows] @ x[sides[1]].T) <= budget
+            hit &= meet(rows, sides[1])
+            if not cross:
+                hit[np.arange(len(rows)), rows] = False
+            some[rows] |= hit.any(axis=1)
+            some[sides[1]] |= hit.any(axis=0)
+        some = np.flatnonzero(some)
+        if len(some):
+            yield tuple(group[c][some] for c in ("id", "h1", "h2", "level", "home", "block"))
+
+    return run
+
+
+def _verified(cosine: float) -> Callable:
     def run(group: dict[str, np.ndarray], cross: bool) -> Iterator[tuple]:
         raw = np.frombuffer(b"".join(group["vector"]), np.float64).reshape(len(group["id"]), -1)
-        v, home, block, copies = unit(raw), group["home"], int(group["block"][0]), group["copies"]
+        v, block, copies = unit(raw), int(group["block"][0]), group["copies"]
+        meet = _meet(group["home"], int(group["level"][0]))
         columns, budget = blocks_of(v.shape[1]), budgets(v.shape[1], cosine)
         turned = v @ rotation_of(v.shape[1])
         links = np.zeros(len(v), np.int64)
 
         def near(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
             hit = v[rows] @ v[others].T >= cosine - 1e-12
-            hit &= home[rows][:, None] | home[others][None, :]  # guests meet each other where one is at home
+            hit &= meet(rows, others)
             r, c = np.nonzero(hit)
             if len(r):
                 a, b = rows[r], others[c]
@@ -155,46 +231,82 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("vec_id"), batch.column("label"), pa.array(out, pa.binary())], names=["vec_id", "label", "vector"])
 
 
+def _vector_hash() -> list[Column]:
+    """128 bits of label and vector, as two columns."""
+    return [F.xxhash64("label", "vector").alias("v1"), F.xxhash64(F.lit("second"), "label", "vector").alias("v2")]
+
+
+def candidates(classes: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
+    """(id, h1, h2, level, home, block): places of vectors of ``classes`` (id, label, vector) in which another is within the block's budget."""
+    cell = ["h1", "h2"]
+    places = scratch.keep(classes.mapInArrow(_dealt(cosine), PLACE), "places-0")
+    deepest = F.ceil(F.ceil(F.col("width") / F.lit(float(BLOCKS))) / F.lit(float(GRID))) - 1
+    found, level = None, 0
+    while True:
+        sizes = places.groupBy(*cell).agg(F.count("*").alias("n"), F.max("home").alias("h"), F.max("width").alias("width")).filter(f"n > 1 and h >= {1 << level}")
+        sizes = scratch.keep(sizes.withColumn("whole", (F.col("n") <= SPLIT) | (F.lit(level) >= deepest)), f"sizes-{level}")
+        total = places.count()
+        met = tiled(places, sizes.filter("whole"), cell, "id", TILE, total)
+        payload = {"numbers": "binary", "home": "int", "level": "int", "width": "int", "block": "int", "h1": "long", "h2": "long"}
+        near = grouped(met, [*cell, "tile", "other"], payload, _near_in_block(cosine), "id long, h1 long, h2 long, level long, home long, block long")
+        near = scratch.keep(near.distinct(), f"near-{level}")
+        found = near if found is None else found.unionByName(near)
+        wide = sizes.filter("not whole").select(*cell, "n")
+        if wide.isEmpty():
+            return found
+        level += 1
+        crowded = hot_aware_join(places, wide, cell, "n", total).select(*places.columns)
+        places = scratch.keep(crowded.mapInArrow(_cut(cosine), PLACE), f"places-{level}")
+
+
 def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``rows`` (vec_id, embedding, label).
 
     Vectors link if their labels are equal and not null, they have the same dimensions, and their cosine in double
     precision is ``cosine`` or more. Null, empty and zero vectors, and those with null, infinite or undefined components,
     link with nothing. n_links counts the other vectors linked directly, equal ones included;
-    component_id is the smallest vec_id that links lead to, the vector's own if none. Rows without a vec_id are left out;
-    rows that repeat one are vectors like any others. Other columns are not read.
+    component_id is the smallest vec_id that links lead to, the vector's own if none. Rows without a vec_id link with
+    nothing, have a null component and are kept; rows that repeat one are vectors like any others. Other columns are not read.
     """
+    last = Scratch(rows.sparkSession)
+    with passing():
+        packed, answer = _answered(rows, cosine, last)
+    able = packed.filter("vector is not null and label is not null")
+    told = hot_aware_join(able.select("vec_id", *_vector_hash()), answer, ["v1", "v2"], "copies", packed.count()).select("vec_id", "n_links", "component_id")
+    nothing = F.lit(0).cast("long").alias("n_links")
+    alone = packed.filter("vector is null or label is null").select("vec_id", nothing, F.col("vec_id").alias("component_id"))
+    nobody = F.lit(None).cast("long")
+    unnamed = rows.filter("vec_id is null").select(nobody.alias("vec_id"), nothing, nobody.alias("component_id"))
+    return told.unionByName(alone).unionByName(unnamed).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _answered(rows: DataFrame, cosine: float, last: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Written tables: the vectors as bytes, and what each different one's component and links are."""
     scratch = Scratch(rows.sparkSession)
     named = rows.filter("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
-    packed = scratch.keep(named.mapInArrow(_packed, "vec_id long, label long, vector binary"), "packed")
+    packed = last.keep(named.mapInArrow(_packed, "vec_id long, label long, vector binary"), "packed")
     able = packed.filter("vector is not null and label is not null")
-    total = packed.count()
-    # Equal vectors under one label are one, told by a hash of both, and counted.
-    node = F.xxhash64("label", "vector", F.crc32("vector")).alias("node")
+    # Equal vectors under one label are one, and counted; numbered by where they are written.
     classes = able.groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    classes = scratch.keep(classes.select(node, "label", "vector", "first", "copies"), "classes")
+    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("node"), *_vector_hash(), "label", "vector", "first", "copies"), "classes")
 
-    keys = ["label", "width", "block", *(f"c{k}" for k in range(GRID))]
-    schema = ", ".join(["id long", "label long", "width int", "block int", *(f"c{k} long" for k in range(GRID)), "home boolean"])
-    dealt = scratch.keep(classes.select(F.col("node").alias("id"), "label", "vector").mapInArrow(_dealt(cosine), schema), "dealt")
-    sizes = dealt.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.col("home").cast("int")).alias("h")).filter("n > 1 and h = 1")
-    sizes = scratch.keep(sizes.drop("h"), "sizes")
-    met = tiled(dealt, sizes, keys, "id", TILE).join(classes.select(F.col("node").alias("id"), "vector", "copies"), "id")
-    payload = {"vector": "binary", "home": "boolean", "block": "int", "copies": "long"}
-    verified = scratch.keep(grouped(met, [*keys, "tile", "other"], payload, _verified(cosine), "a long, b long, n long"), "verified")
+    named = classes.select(F.col("node").alias("id"), "label", "vector")
+    near = scratch.keep(candidates(named, cosine, scratch), "near")
+    cell = ["h1", "h2"]
+    sizes = scratch.keep(near.groupBy(*cell).agg(F.count("*").alias("n")), "sizes")
+    met = tiled(near, sizes, cell, "id", TILE, near.count()).join(classes.select(F.col("node").alias("id"), "vector", "copies"), "id")
+    payload = {"vector": "binary", "home": "long", "level": "long", "block": "long", "copies": "long"}
+    verified = scratch.keep(grouped(met, [*cell, "tile", "other"], payload, _verified(cosine), "a long, b long, n long"), "verified")
 
     linked = verified.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     joined = connected_components(verified.filter("a <> b").select("a", "b"), scratch, "joined").withColumnRenamed("component", "root")
     joined = joined.join(classes.select("node", "first"), "node")
     roots = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = joined.join(roots, "root").select("node", "component_id").join(linked, "node", "left")
-    answer = classes.select("node", "first", "copies").join(linked, "node", "left").select(
-        "node", "copies", F.coalesce("component_id", "first").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    answer = classes.select("node", "v1", "v2", "first", "copies").join(linked, "node", "left").select(
+        "v1", "v2", "copies", F.coalesce("component_id", "first").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    answer = scratch.keep(answer, "answer")
-    told = hot_aware_join(able.select("vec_id", node), answer, "node", "copies", total).select("vec_id", "n_links", "component_id")
-    alone = packed.filter("vector is null or label is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return told.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return packed, last.keep(answer, "answer")
 
 
 ORACLE = f"""

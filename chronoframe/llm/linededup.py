@@ -3,26 +3,29 @@
 A run of whole lines goes where it has at least ``min_words`` words and the same lines in the same order
 occur earlier (by key, then text hash, then position). The first occurrence stays.
 
-*Windows.* From each line a window reaches forward, and one backward, over as many lines as
-are needed to hold ``min_words`` words. The smallest line hash of a window is its fingerprint. A
-repeated run holds a whole window of each kind at its ends, with the same minimum in either place,
+*Fingerprints.* From each line a window reaches forward over as many lines as are needed to hold
+``min_words`` words. The smallest line hash of a window is selected, with its position, once for all windows
+that select it. A repeated run holds a whole window at its start, with the same minimum in either place,
 so no run of ``min_words`` words escapes (the guarantee of winnowing).
-*Join.* Fingerprints selected at two positions or more are kept; all others are done with.
-*Extension.* The windows over a kept fingerprint, which reach from it to both sides, are compared
-as wholes (hash of all their lines) with their first occurrence. The union of the repeated ones is
-the run's full extent: a line less than ``min_words`` from the run's start lies in its first forward
-window, any other in the backward window that ends with it.
+*Positions.* Fingerprints selected at one position only are done with; the others' positions are the matches
+to extend.
+*Extension.* From the lines around a shared position windows of ``min_words`` words reach both ways,
+forward from a line and backward from a line; those that hold a shared position are compared as wholes (128 bits of all
+their lines' hashes) with their first occurrence. The union of the repeated ones is the run's full extent: a line less
+than ``min_words`` from the run's start lies in its first forward window, any other in the backward window that
+ends with it.
 
 ``dedup_lines`` has whole lines as units, as its SQL does. ``dedup_passages`` has the pieces of lines, cut at places
-that the words alone decide, so a passage inside longer lines holds the same pieces wherever it stands.
+that the words alone decide, so a passage inside longer lines holds the same pieces wherever it stands. Words are
+stretches between single spaces: of a script without spaces a line is one word, and a run needs ``min_words`` lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import Scratch, hot_aware_join
+from chronoframe.llm.common import Scratch, hot_aware_join, passing, text_hash
 
 MIN_WORDS = 30
 #: Where texts are cut into units, as regular expressions of Java: lines, without their line feeds; or pieces, which
@@ -32,61 +35,90 @@ LINES = "\n"
 PIECES = r"(?<=\n)|(?:(?<=[.!?…。] )|(?<=[aeiou0-9][4<DLTdt¤¬´¼ÄÌÔÜäìôü] )|(?<=[Ͱ-ӿ][яйтος] ))(?! )"
 
 
-def line_windows(docs: DataFrame, key: str, min_words: int, units: str = LINES) -> DataFrame:
-    """(k, t, a, b, fp, at, whole): windows of lines a to b, their fingerprint with its position's hash, the hash of all their lines.
+def unit_lines(docs: DataFrame, document: Column, units: str = LINES) -> DataFrame:
+    """(d, pos, h, g, w): document, position, two hashes and words of each line that is not blank.
 
     A line counts without the spaces around it; its words are its stretches between single spaces. Blank
-    lines have no words and are passed over.
+    lines have no words and are passed over. Rows of the same document may repeat its lines.
     """
-    lines = docs.select(
-        F.col(key).alias("k"), F.xxhash64("text").alias("t"), F.posexplode(F.split("text", units)).alias("pos", "line")
-    ).select("k", "t", "pos", F.trim(F.rtrim("line", F.lit("\n"))).alias("line"))
-    lines = lines.filter("line <> ''").select(
-        "k", "t", "pos", F.xxhash64("line").alias("h"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long").alias("w")
-    )
-    text = Window.partitionBy("k", "t")
-    order = text.orderBy("pos")
-    # Rows that repeat key and text are one document: their equal positions fold into one.
-    lines = lines.withColumn("again", F.lag("pos").over(order)).filter("again is null or again <> pos").drop("again")
-    lines = lines.withColumn("upto", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("w"))
-    forward = text.orderBy("before").rangeBetween(0, min_words - 1)
-    backward = text.orderBy("upto").rangeBetween(1 - min_words, 0)
-    both = lines
-    for side, frame in (("f", forward), ("b", backward)):
-        both = both.withColumn(
+    lines = docs.select(document.alias("d"), F.posexplode(F.split("text", units)).alias("pos", "line"))
+    lines = lines.select("d", "pos", F.trim(F.rtrim("line", F.lit("\n"))).alias("line")).filter("line <> ''")
+    words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return lines.select("d", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"), words.cast("long").alias("w"))
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Adds the words up to each line (``upto``) and before it."""
+    order = Window.partitionBy("d").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumn("upto", F.sum("w").over(order)).withColumn("before", F.col("upto") - F.col("w"))
+
+
+def _forward(min_words: int) -> WindowSpec:
+    return Window.partitionBy("d").orderBy("before").rangeBetween(0, min_words - 1)
+
+
+def _backward(min_words: int) -> WindowSpec:
+    return Window.partitionBy("d").orderBy("upto").rangeBetween(1 - min_words, 0)
+
+
+def fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
+    """(d, pos, h): the selected minima, each position once."""
+    # Rows that repeat a document fold before the shuffle: their equal positions are one.
+    lines = lines.groupBy("d", "pos").agg(F.min("h").alias("h"), F.min("w").alias("w"))
+    frame = _forward(min_words)
+    seen = _placed(lines).select("d", F.min(F.struct("h", "pos")).over(frame).alias("least"), F.sum("w").over(frame).alias("words"))
+    return seen.filter(F.col("words") >= min_words).select("d", "least.pos", "least.h").distinct()
+
+
+def extensions(lines: DataFrame, hits: DataFrame, min_words: int) -> DataFrame:
+    """(d, a, b, whole): the windows of lines a to b, both ways, that hold a position of ``hits``, with 128 bits of all their lines."""
+    nothing = F.lit(None).cast("long")
+    marks = hits.select("d", "pos", nothing.alias("h"), nothing.alias("g"), nothing.alias("w"), F.lit(1).alias("hit"))
+    lines = lines.withColumn("hit", F.lit(0)).unionByName(marks).groupBy("d", "pos").agg(*(F.max(c).alias(c) for c in ("h", "g", "w", "hit")))
+    whole = Window.partitionBy("d").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lines = _placed(lines.withColumn("some", F.max("hit").over(whole)).filter("some = 1"))
+    for side, frame in (("f", _forward(min_words)), ("b", _backward(min_words))):
+        lines = lines.withColumn(
             side,
             F.struct(
-                F.min("pos").over(frame).alias("a"),
-                F.max("pos").over(frame).alias("b"),
-                F.min(F.struct("h", "pos")).over(frame).alias("least"),
-                F.collect_list("h").over(frame).alias("all"),
-                F.sum("w").over(frame).alias("words"),
+                F.min("pos").over(frame).alias("a"), F.max("pos").over(frame).alias("b"), F.max("hit").over(frame).alias("hit"),
+                F.sum("w").over(frame).alias("words"), F.collect_list("h").over(frame).alias("h"), F.collect_list("g").over(frame).alias("g"),
             ),
-        )
-    windows = both.select("k", "t", F.explode(F.array("f", "b")).alias("x")).filter(F.col("x.words") >= min_words)
-    return windows.select(
-        "k", "t", "x.a", "x.b", F.col("x.least.h").alias("fp"), F.xxhash64("k", "t", "x.least.pos").alias("at"), F.xxhash64("x.all").alias("whole")
-    )
-
-
-def repeated_runs(docs: DataFrame, key: str, min_words: int, scratch: Scratch, units: str = LINES) -> DataFrame:
-    """(k, t, spans): for each document with repeated runs, the maximal spans of lines to delete in ascending order."""
-    windows = scratch.keep(line_windows(docs, key, min_words, units), "windows")
-    # min <> max of the position hashes: selected at two positions or more. Sums are made before the shuffle.
-    found = windows.groupBy("fp").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo <> hi").select("fp", "n")
-    shared = scratch.keep(found, "fingerprints")
-    total = windows.count()
-    covering = scratch.keep(hot_aware_join(windows, shared, "fp", "n", total).select("k", "t", "a", "b", "whole"), "covering")
-    place = F.struct("k", "t", "a")
+        )
+    windows = lines.select("d", F.explode(F.array("f", "b")).alias("x")).filter((F.col("x.words") >= min_words) & (F.col("x.hit") == 1))
+    return windows.select("d", "x.a", "x.b", F.struct(F.xxhash64("x.h").alias("h"), F.xxhash64("x.g").alias("g")).alias("whole"))
+
+
+def repeated_runs(lines: DataFrame, min_words: int, scratch: Scratch, keys: DataFrame | None = None) -> DataFrame:
+    """(d, spans): for each document with repeated runs, the maximal spans of lines to delete in ascending order.
+
+    Documents come in the order of ``keys`` (d, k), where given, then of d.
+    """
+    minima = scratch.keep(fingerprints(lines, min_words), "minima")
+    shared = scratch.keep(minima.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    hits = scratch.keep(hot_aware_join(minima, shared, "h", "n", minima.count()).select("d", "pos"), "hits")
+    covering = extensions(lines, hits, min_words)
+    if keys is None:
+        covering = covering.withColumn("k", F.lit(None).cast("long"))
+    else:
+        covering = covering.join(keys.select("d", "k").hint("merge"), "d")
+    covering = scratch.keep(covering, "covering")
+    place = F.struct("k", "d", "a")
     first = scratch.keep(covering.groupBy("whole").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"), "first")
-    later = hot_aware_join(covering, first, "whole", "n", total).filter(~place.eqNullSafe(F.col("first")))
+    later = hot_aware_join(covering, first, "whole", "n", covering.count()).filter(~place.eqNullSafe(F.col("first")))
     # Overlapping and adjoining spans become one: gaps and islands over each document's own spans.
-    document = Window.partitionBy("k", "t")
+    document = Window.partitionBy("d")
     seen = F.max("b").over(document.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
-    spans = later.select("k", "t", "a", "b").distinct().withColumn("new", F.when(F.col("a") <= seen + 1, 0).otherwise(1))
+    spans = later.select("d", "a", "b").distinct().withColumn("new", F.when(F.col("a") <= seen + 1, 0).otherwise(1))
     spans = spans.withColumn("island", F.sum("new").over(document.orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("k", "t", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return spans.groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    spans = spans.groupBy("d", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return spans.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+
+
+def _with_spans(docs: DataFrame, document: Column, runs: DataFrame) -> DataFrame:
+    """(row, spans): each row with its document's spans of ``runs`` (d, n rows of the document, spans), null without."""
+    held = docs.select(F.struct("*").alias("row"), document.alias("d"))
+    return hot_aware_join(held, runs, "d", "n", docs.count(), "left").select("row", "spans")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
@@ -98,11 +130,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS
     document and share its result. Null keys come first. Columns n_lines and n_removed of the
     input are replaced; all others are carried along.
     """
-    scratch = Scratch(docs.sparkSession)
-    runs = scratch.keep(repeated_runs(docs, key, min_words, scratch), "runs")
-    held = docs.select(F.struct("*").alias("row"), F.col(key).alias("dk"), F.xxhash64("text").alias("dt"))
-    # The spans have no bound on their size, so the texts are always shuffled to them.
-    joined = held.join(runs.hint("merge"), F.col("dk").eqNullSafe(F.col("k")) & (F.col("dt") == F.col("t")), "left")
+    document = F.struct(F.col(key).alias("k"), *text_hash())
+    last = Scratch(docs.sparkSession)
+    with passing():
+        runs = repeated_runs(unit_lines(docs, document), min_words, Scratch(docs.sparkSession))
+        rows = docs.groupBy(document.alias("d")).agg(F.count("*").alias("n"))
+        runs = last.keep(runs.join(rows.hint("merge"), "d"), "runs")
+    joined = _with_spans(docs, document, runs)
     lines = F.split("row.text", "\n")
     left = F.filter(lines, lambda _, i: ~F.exists("spans", lambda s: (s.a <= i) & (i <= s.b)))
     joined = joined.withColumn("left", F.when(F.col("spans").isNotNull(), left))
@@ -122,20 +156,15 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WO
     stays. A line feed stays where a run is cut from the middle of a line to its end. Null texts and null keys
     are as in ``dedup_lines``. A column n_removed of the input is replaced.
     """
-    scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col(key).alias("k"), F.xxhash64("text").alias("t"), "text").filter("text is not null")
-    firsts = texts.groupBy("t").agg(F.count("*").alias("n"), F.min(F.struct("k")).alias("first"))
-    firsts = scratch.keep(firsts.select("t", "n", "first.k"), "firsts")
-    here = F.col("r.t").eqNullSafe(F.col("f.t")) & F.col("r.k").eqNullSafe(F.col("f.k"))
-    once = texts.alias("r").join(firsts.select("t", "k").alias("f").hint("merge"), here, "left_semi")
-    runs = repeated_runs(once.select("k", "text"), "k", min_words, scratch, PIECES).select("t", "spans")
-    runs = scratch.keep(runs.join(firsts.select("t", "n").hint("merge"), "t"), "runs")
-    # Spans are dealt to the copies by keys alone; then the texts are shuffled once to their own.
-    named = docs.select(F.col(key).alias("k"), F.xxhash64("text").alias("t"))
-    cuts = hot_aware_join(named, runs, "t", "n", docs.count()).select("k", "t", "spans").dropDuplicates(["k", "t"])
-    cuts = scratch.keep(cuts, "cuts")
-    held = docs.select(F.struct("*").alias("row"), F.col(key).alias("dk"), F.xxhash64("text").alias("dt"))
-    joined = held.join(cuts.hint("merge"), F.col("dk").eqNullSafe(F.col("k")) & (F.col("dt") == F.col("t")), "left")
+    document = F.struct(*text_hash())
+    last = Scratch(docs.sparkSession)
+    with passing():
+        scratch = Scratch(docs.sparkSession)
+        texts = docs.filter("text is not null").groupBy(document.alias("d")).agg(F.count("*").alias("n"), F.min(F.struct(F.col(key).alias("k"))).alias("k"))
+        texts = scratch.keep(texts, "texts")
+        runs = repeated_runs(unit_lines(docs, document, PIECES), min_words, scratch, texts)
+        runs = last.keep(runs.join(texts.select("d", "n").hint("merge"), "d"), "runs")
+    joined = _with_spans(docs, document, runs)
     pieces = F.split("row.text", PIECES)
     feed = lambda p: F.endswith(p, F.lit("\n"))
     inside = lambda s, p, i: (s.b == i) & (s.a > 0) & feed(p) & ~feed(F.get(pieces, s.a - 1))

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import Scratch, code_points, hot_aware_join, kinds, mix, run_hashes, text_slices, word_runs
+from chronoframe.llm.common import Scratch, code_points, hot_aware_join, kinds, mix, passing, run_hashes, text_hash, text_slices, word_runs
 from chronoframe.llm.graph import connected_components
 from chronoframe.llm.tiles import forest, grouped, tiled
 
@@ -201,11 +201,6 @@ def _verified(threshold: float) -> Callable:
     return run
 
 
-def text_hash() -> list[Column]:
-    """128 bits of the text, as two columns."""
-    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2")]
-
-
 def _prefix(depth: int) -> Column:
     return F.xxhash64(F.substring("stretch", 1, 4 * depth)).alias("prefix")
 
@@ -232,7 +227,7 @@ def forest_components(standing: DataFrame, threshold: float, scratch: Scratch) -
         # Of several buckets with the same texts one is enough.
         apart = buckets.filter("c0 <> c1").groupBy("n", "lo", "hi", "mark").agg(F.min(F.struct("tree", "prefix")).alias("b"))
         crowded = scratch.keep(apart.select("b.tree", "b.prefix", "n"), "crowded")
-        met = tiled(now, crowded, ["tree", "prefix"], "node", TILE).join(standing.select("node", "sign"), "node").withColumnRenamed("node", "id")
+        met = tiled(now, crowded, ["tree", "prefix"], "node", TILE, total).join(standing.select("node", "sign"), "node").withColumnRenamed("node", "id")
         edges = scratch.keep(grouped(met, ["tree", "prefix", "tile", "other"], {"sign": "binary"}, _candidates, "a long, b long"), f"edges-{depth}")
         if not edges.isEmpty():
             stars = united.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -242,10 +237,20 @@ def forest_components(standing: DataFrame, threshold: float, scratch: Scratch) -
 
 def _classed(docs: DataFrame, key: str, threshold: float) -> DataFrame:
     """(id, t1, t2, root, class_id, n_links) of every row of ``docs`` with a key; root tells classes apart, null for texts without a word."""
+    last = Scratch(docs.sparkSession)
+    with passing():
+        members, answer = _answered(docs, key, threshold, last)
+    told = hot_aware_join(members.filter("shingles > 0"), answer, ["hi", "lo"], "copies", members.count())
+    alone = members.filter("shingles = 0").select("*", F.lit(None).cast("long").alias("root"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    columns = ["id", "t1", "t2", "root", "class_id", "n_links"]
+    return told.select(*columns).unionByName(alone.select(*columns))
+
+
+def _answered(docs: DataFrame, key: str, threshold: float, last: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Written tables: the rows with their sets' fingerprints, and what each set's class is."""
     scratch = Scratch(docs.sparkSession)
     named = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), *text_hash(), "text")
     signed = scratch.keep(_signed(named, threshold), "signed")
-    total = signed.count()
     # A class for each set of shingles: its smallest key, its rows, one row's signature. Told by a fingerprint of the
     # set, not by the key, for repeated keys may have different texts; numbered by where it is written.
     classes = signed.filter("shingles > 0").groupBy("hi", "lo").agg(
@@ -261,7 +266,7 @@ def _classed(docs: DataFrame, key: str, threshold: float) -> DataFrame:
     sets = texts.mapInArrow(_sets, "node long, component long, copies long, set binary").dropDuplicates(["node"])
     sets = scratch.keep(sets, "sets")
     sizes = scratch.keep(sets.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-    pairs = tiled(sets, sizes, ["component"], "node", TILE).withColumnRenamed("node", "id")
+    pairs = tiled(sets, sizes, ["component"], "node", TILE, sets.count()).withColumnRenamed("node", "id")
     run = _verified(threshold)
 
     def out(group: dict[str, np.ndarray], cross: bool) -> Iterator[tuple]:
@@ -280,13 +285,7 @@ def _classed(docs: DataFrame, key: str, threshold: float) -> DataFrame:
         "hi", "lo", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("class_id", "id").alias("class_id"),
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
-    answer = scratch.keep(answer, "answer")
-    members = scratch.keep(signed.select("id", "t1", "t2", "hi", "lo", "shingles"), "members")
-    scratch.drop("signed", "standing", "company", "tries", "crowded", "suspects", "sets", "sizes", "verified", *(f"{t}-{d}" for t in ("edges", "united") for d in range(DEPTH + 1)))
-    told = hot_aware_join(members.filter("shingles > 0"), answer, ["hi", "lo"], "copies", total)
-    alone = members.filter("shingles = 0").select("*", F.lit(None).cast("long").alias("root"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    columns = ["id", "t1", "t2", "root", "class_id", "n_links"]
-    return told.select(*columns).unionByName(alone.select(*columns))
+    return last.keep(signed.select("id", "t1", "t2", "hi", "lo", "shingles"), "members"), last.keep(answer, "answer")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

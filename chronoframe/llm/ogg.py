@@ -20,8 +20,9 @@ from chronoframe.llm.common import slices
 
 #: Samples are grouped in frames of this many bytes; payloads are padded with spaces to whole frames.
 FRAME = 192
-#: Bytes of a data packet, logical streams that packets are dealt to in turn, samples a second, packets on a page.
-PACKET, STREAMS, RATE, PAGE_PACKETS = 20 * FRAME, 2, 8000, 4
+#: Bytes of a data packet (16 lacing values), logical streams that packets are dealt to in turn, samples a second,
+#: lacing values of a page: packets go on from one page to the next.
+PACKET, STREAMS, RATE, SEGMENTS = 20 * FRAME, 2, 8000, 40
 HEADER = struct.Struct("<4sBBqIIIB")
 CONTINUED, FIRST, LAST = 1, 2, 4
 
@@ -52,8 +53,8 @@ def write(payload: bytes, packet: int = PACKET, streams: int = STREAMS, rate: in
     """A physical stream of ``payload``: its packets are dealt to the logical streams in turn.
 
     Each logical stream has a first page with a header packet (magic, streams, rate, samples in
-    all) and then pages of up to PAGE_PACKETS packets; a packet that overflows a page's 255
-    lacing values goes on in the next. The pages of the streams alternate.
+    all) and then pages of up to SEGMENTS lacing values; a packet that overflows its page
+    goes on in the next. The pages of the streams alternate.
     """
     dealt = [[payload[at : at + packet] for at in range(s * packet, len(payload), streams * packet)] for s in range(streams)]
     queues: list[list[bytes]] = []
@@ -62,22 +63,22 @@ def write(payload: bytes, packet: int = PACKET, streams: int = STREAMS, rate: in
         serial, number, granule, pages = s + 1, 0, 0, []
         head = b"PCM8" + struct.pack("<BIQ", streams, rate, len(payload))
         firsts.append(page(serial, 0, FIRST | (0 if packets else LAST), 0, lace(len(head)), head))
-        lacing, body, count, flags, done = b"", bytearray(), 0, 0, -1
+        lacing, body, flags, done = b"", bytearray(), 0, -1
         for k, data in enumerate(packets):
             values, at = lace(len(data)), 0
             while values:
-                room = 255 - len(lacing)
+                room = SEGMENTS - len(lacing)
                 put, values = values[:room], values[room:]
                 size = sum(put)
                 lacing, body, at = lacing + put, body + data[at : at + size], at + size
                 if not values:
-                    granule, count = granule + len(data), count + 1
+                    granule = granule + len(data)
                     done = granule
                 last = not values and k == len(packets) - 1
-                if len(lacing) == 255 or count == PAGE_PACKETS or last:
+                if len(lacing) == SEGMENTS or last:
                     number += 1
                     pages.append(page(serial, number, flags | (LAST if last else 0), done, lacing, bytes(body)))
-                    lacing, body, count, flags, done = b"", bytearray(), 0, CONTINUED if values else 0, -1
+                    lacing, body, flags, done = b"", bytearray(), CONTINUED if values else 0, -1
         queues.append(pages)
     turns = max(map(len, queues), default=0)
     return b"".join(firsts) + b"".join(q[i] for i in range(turns) for q in queues if i < len(q))

@@ -9,16 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoframe.llm.common import hot_aware_join
 
-def tiled(rows: DataFrame, sizes: DataFrame, keys: list[str], id_: str, tile: int) -> DataFrame:
+
+def tiled(rows: DataFrame, sizes: DataFrame, keys: list[str], id_: str, tile: int, total: int) -> DataFrame:
     """``rows`` of the groups in ``sizes`` (keys, n), dealt to pairs of tiles (tile <= other).
 
     A group of n rows has ceil(n / tile) tiles by a hash of ``id_``, and each row goes to the pairs
-    that its tile is in: once in a group of one tile. ``left`` tells a pair's rows of its first tile.
+    that its tile is in: once in a group of one tile. ``left`` tells a pair's rows of its first tile. ``total`` are
+    the rows in all: those of a large group are dealt where they lie.
     """
     count = F.ceil(F.col("n") / F.lit(float(tile))).cast("int")
     own = F.pmod(F.xxhash64(F.col(id_), F.lit("tile")), count).cast("int")
-    dealt = rows.join(sizes.select(*keys, "n"), keys).withColumn("own_", own).withColumn("met_", F.explode(F.sequence(F.lit(0), count - 1)))
+    dealt = hot_aware_join(rows, sizes.select(*keys, "n"), keys, "n", total).withColumn("own_", own).withColumn("met_", F.explode(F.sequence(F.lit(0), count - 1)))
     return dealt.withColumns(
         {"tile": F.least("own_", "met_"), "other": F.greatest("own_", "met_"), "left": F.col("own_") <= F.col("met_")}
     ).drop("own_", "met_", "n")

@@ -6,7 +6,10 @@ Layout under one folder:
   ``data``, the ids as little-endian unsigned 16- or 32-bit integers (``width`` bytes).
 * ``recipes/``: (key, n_tokens, part_, local_, chunks, root): one row for each document, in ascending key order over the files.
   ``chunks`` lists its chunks' addresses with their ids counted; ``root`` is the Merkle root over them.
-* ``manifest/``: (part_, n_docs, n_tokens, root): for each recipe file the Merkle root over its documents' roots.
+* ``manifest/``: (part_, n_docs, n_chunks, n_tokens, root): for each recipe file the Merkle root over its documents' roots.
+* ``head/``: one row of the same: the parts' number, their sums, and the Merkle root over the parts' roots.
+
+Reading starts with the recipes held against manifest and head, so that a lost or changed file is an error.
 
 A rolling hash over the last WINDOW ids cuts a document's ids into chunks wherever its low bits are
 all ones, so equal stretches of ids in different documents give equal chunks wherever they lie.
@@ -23,10 +26,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import mix, ordinal_starts
+from chronoframe.llm.common import HOT_SHARE, Scratch, mix
 from chronoframe.llm.wordbpe import END_ID, WORD_FILE, encoded
 
 #: Ids that the rolling hash sees; mean, smallest and largest chunk in ids.
@@ -87,7 +90,7 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 def write(docs: DataFrame, path: str, key: str = "doc_id", file: str = WORD_FILE, end: int = END_ID, width: int = 2) -> None:
     """Encodes every whole text of ``docs`` (key, text), ``end`` after each, and writes the store to ``path``.
 
-    A null or empty text is one id. Null keys come first in the order. Rows that repeat a key lie next to
+    Ids that ``width`` bytes can't hold are an error. A null or empty text is one id. Null keys come first in the order. Rows that repeat a key lie next to
     each other, ordered by their root. An empty table gives an empty store. Other columns are not read.
     Texts are encoded once: chunks go by their address to the task that writes them, a chunk that
     a task has sent lately is not sent again, and recipes travel without data.
@@ -99,6 +102,8 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", file: str = WORD_FILE
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: OrderedDict[bytes, None] = OrderedDict()
         for rows, ids, sizes in encoded(batches, file, end):
+            if len(ids) and int(ids.max()) > np.iinfo(dtype).max:
+                raise ValueError(f"id {int(ids.max())} does not fit {width} bytes")
             bounds = np.concatenate(([0], np.cumsum(sizes)))
             recipes, roots, new = [], [], []
             raw, places = ids.astype(dtype).tobytes(), marks(ids)
@@ -137,22 +142,12 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", file: str = WORD_FILE
     schema = f"`{key}` {kind}, n_tokens long, chunks array<struct<chunk: binary, n_ids: int>>, root binary, chunk binary, n_ids int, data binary"
     rows = docs.select(key, "text").mapInArrow(chunked, schema)
 
-    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of sorted rows with the same address, the first; recipes (no address) as they are."""
-        last = None
-        for batch in batches:
-            keep = []
-            for k, chunk in enumerate(batch.column("chunk").to_pylist()):
-                if chunk is None or chunk != last:
-                    keep.append(k)
-                last = chunk
-            yield batch.take(pa.array(keep, pa.int32())) if len(keep) < len(batch) else batch
-
-    # Data by address; recipes, which have none, by what tells them apart, so that they spread.
+    # Data by address; recipes, which have none, by what tells them apart, so that they spread. Of equal chunks one stays.
     placed = rows.withColumn("by_", F.when(F.col("chunk").isNull(), F.xxhash64(key, "root")).otherwise(F.xxhash64("chunk")))
-    placed = placed.repartition("by_").sortWithinPartitions("chunk").drop("by_").mapInArrow(unique, schema)
+    before = F.lag("chunk").over(Window.partitionBy("by_").orderBy("chunk"))
+    placed = placed.withColumn("before_", before).filter("chunk is null or before_ is null or before_ <> chunk").drop("by_", "before_")
     placed.withColumn("kind", F.when(F.col("chunk").isNull(), "recipe").otherwise("chunk")).write.mode("overwrite").partitionBy("kind").option(
-        "compression", "zstd"
+        "compression", "lz4"
     ).parquet(f"{path}/objects")
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,15 +166,62 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", file: str = WORD_FILE
     ordered.mapInArrow(numbered, f"`{key}` {kind}, n_tokens long, part_ int, local_ long, chunks array<struct<chunk: binary, n_ids: int>>, root binary").write.mode(
         "overwrite"
     ).parquet(f"{path}/recipes")
-    roots = read_recipes(spark, path, key, kind).select("part_", "local_", "n_tokens", "root").groupBy("part_").applyInArrow(_manifest_row, "part_ int, n_docs long, n_tokens long, root binary")
-    roots.write.mode("overwrite").parquet(f"{path}/manifest")
+    parts = _parts(read_recipes(spark, path, key, kind))
+    parts.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    _head(spark, spark.read.schema(parts.schema).parquet(f"{path}/manifest").collect()).coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
+
+
+PART = "part_ int, n_docs long, n_chunks long, n_tokens long, root binary"
+
+
+def _parts(recipes: DataFrame) -> DataFrame:
+    """The manifest's rows, from the recipes."""
+    rows = recipes.select("part_", "local_", "n_tokens", "root", F.size("chunks").cast("long").alias("n_chunks"))
+    return rows.groupBy("part_").applyInArrow(_manifest_row, PART)
 
 
 def _manifest_row(table: pa.Table) -> pa.Table:
     table = table.sort_by("local_")
     root = merkle_root(table.column("root").to_pylist())
-    total = sum(table.column("n_tokens").to_pylist())
-    return pa.table({"part_": pa.array([table.column("part_")[0].as_py()], pa.int32()), "n_docs": [len(table)], "n_tokens": [total], "root": pa.array([root], pa.binary())})
+    chunks, tokens = (sum(table.column(c).to_pylist()) for c in ("n_chunks", "n_tokens"))
+    return pa.table({"part_": pa.array([table.column("part_")[0].as_py()], pa.int32()), "n_docs": [len(table)], "n_chunks": [chunks], "n_tokens": [tokens], "root": pa.array([root], pa.binary())})
+
+
+def _head(spark: SparkSession, parts: list[Row]) -> DataFrame:
+    parts = sorted(parts, key=lambda p: p.part_)
+    row = (len(parts), sum(p.n_docs for p in parts), sum(p.n_chunks for p in parts), sum(p.n_tokens for p in parts), bytearray(merkle_root([bytes(p.root) for p in parts])))
+    return spark.createDataFrame([row], PART)
+
+
+def verified(recipes: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """``recipes`` with their starts, and their chunks in all; DamagedStore unless they are those that manifest and head tell of.
+
+    One row for each recipe file reaches the driver.
+    """
+    spark = recipes.sparkSession
+    found = sorted(_parts(recipes).collect(), key=lambda p: p.part_)
+    told = sorted(spark.read.schema(PART).parquet(f"{path}/manifest").collect(), key=lambda p: p.part_)
+    if found != told or _head(spark, found).collect() != spark.read.schema(PART).parquet(f"{path}/head").collect():
+        raise DamagedStore("the recipes are not those of the manifest")
+    base, run = [], 0
+    for p in found:
+        base.append((p.part_, run))
+        run += p.n_tokens
+    bases = spark.createDataFrame(base, "part_ int, base_ long")
+    placed = recipes.join(F.broadcast(bases), "part_").withColumn("start", F.col("base_") + F.col("local_")).drop("base_")
+    return placed, sum(p.n_chunks for p in found)
+
+
+def _fetched(wanted: DataFrame, chunks: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    """``wanted`` (chunk, ...) with the columns of ``chunks``, null where a chunk is missing.
+
+    Chunks that more than one in HOT_SHARE of all references name (at most HOT_SHARE of them, at most MOST ids each) are
+    broadcast, the others shuffled.
+    """
+    counts = wanted.groupBy("chunk").agg(F.count("*").alias("n_")).filter(F.col("n_") > max(1, total // HOT_SHARE))
+    hot = scratch.keep(counts.select("chunk"), "hot")
+    near = wanted.join(F.broadcast(hot.join(chunks.join(F.broadcast(hot), "chunk", "left_semi"), "chunk", "left")), "chunk")
+    return near.unionByName(wanted.join(F.broadcast(hot), "chunk", "left_anti").join(chunks, "chunk", "left"))
 
 
 def read_recipes(spark: SparkSession, path: str, key: str = "doc_id", kind: str = "bigint") -> DataFrame:
@@ -199,11 +241,11 @@ def read(spark: SparkSession, path: str, key: str = "doc_id", kind: str = "bigin
     """(key, start, n_tokens, ids binary of little-endian uint32) of every document, from the files.
 
     ``start`` counts the ids of all documents before it. Every chunk's address and every document's
-    Merkle root are computed again from the bytes that were read; DamagedStore where they don't fit.
+    Merkle root are computed again from the bytes that were read, and the roots of all from them; DamagedStore where they don't fit.
     """
-    recipes = ordinal_starts(read_recipes(spark, path, key, kind), "part_", "local_", "n_tokens", "start")
+    recipes, total = verified(read_recipes(spark, path, key, kind), path)
     wanted = recipes.select(key, "start", "n_tokens", "root", F.posexplode("chunks").alias("turn", "c")).select(key, "start", "n_tokens", "root", "turn", "c.chunk")
-    found = wanted.join(read_chunks(spark, path), "chunk", "left").select(key, "start", "n_tokens", "root", "turn", "chunk", "data")
+    found = _fetched(wanted, read_chunks(spark, path).drop("n_ids"), total, Scratch(spark)).select(key, "start", "n_tokens", "root", "turn", "chunk", "data")
 
     def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, leaves, parts = None, [], []
@@ -287,10 +329,11 @@ def checksums(spark: SparkSession, path: str, key: str = "doc_id", kind: str = "
             ready.append(whole())
             yield sent(batch.column(0).type)
 
-    recipes = ordinal_starts(read_recipes(spark, path, key, kind), "part_", "local_", "n_tokens", "start")
+    recipes, total = verified(read_recipes(spark, path, key, kind), path)
     wanted = recipes.select(key, "start", "n_tokens", "root", F.posexplode("chunks").alias("turn", "c")).select(key, "start", "n_tokens", "root", "turn", "c.chunk")
-    sums = read_chunks(spark, path).mapInArrow(summed, "chunk binary, size int, crc long")
-    found = wanted.join(sums, "chunk", "left").select(key, "start", "n_tokens", "root", "turn", "chunk", "size", "crc")
+    scratch = Scratch(spark)
+    sums = scratch.keep(read_chunks(spark, path).mapInArrow(summed, "chunk binary, size int, crc long"), "sums")
+    found = _fetched(wanted, sums, total, scratch).select(key, "start", "n_tokens", "root", "turn", "chunk", "size", "crc")
     ordered = found.repartition("start").sortWithinPartitions("start", "turn")
     return ordered.mapInArrow(combined, f"`{key}` {kind}, start long, n_tokens long, ids_crc32 long")
 

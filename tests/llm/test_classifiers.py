@@ -9,6 +9,7 @@ import pytest
 
 from chronoframe.llm import langid, quality, queries, toxicity
 from chronoframe.llm.automaton import Entry, LexiconAutomaton
+from chronoframe.llm.common import bounded_sample
 from chronoframe.llm.toxicity import words_of
 from tests.llm.conftest import prose
 
@@ -159,6 +160,81 @@ def test_quoted_matches_count_apart():
     assert not neither.any()
 
 
+def test_language_predictions_equal_a_plain_version(awkward_texts):
+    """Counts of hashed pairs and triples by a loop, then family, duels and votes one at a time."""
+    rng = np.random.default_rng(6)
+    langs = ["en", "de", "nl", "fr", "es", "xx"]
+    texts = [f"{prose(12, k)} {langs[k % 6] * 3} {langs[k % 6]}" for k in range(48)]
+    model = langid.train(langid.features(texts)[0], [langs[k % 6] for k in range(48)])
+    some = [t or "" for t in awkward_texts if len(t or "") < 5000] + texts[:6]
+    x = np.zeros((len(some), langid.DIMENSIONS))
+    shift = 32 - langid.DIMENSIONS.bit_length() + 1
+    for i, t in enumerate(some):
+        c = [32, *(ord(ch) if ch.isalpha() else 32 for ch in t.lower()), 32, 32]
+        for k in range(1, len(c) - 2):
+            if c[k] != 32:
+                pair = (c[k] * 0x9E3779B1 + c[k + 1] * 0x85EBCA77) % 2**32
+                three = (pair + c[k - 1] * 0xC2B2AE3D) % 2**32
+                for h in (pair * 0x27D4EB2F % 2**32, three * 0x165667B1 % 2**32):
+                    x[i, h >> shift] += 1
+    x = np.sqrt(x)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    found, has = langid.features(some)
+    assert np.allclose(found, x, atol=1e-5)
+    told, score = model.predict(found, has)
+    for row, lang, sure, letters in zip(found, told, score, has, strict=True):
+        family = model.families[int(np.argmax([row @ model.first[0][:, k] + model.first[1][k] for k in range(len(model.families))]))]
+        names, wins = model.members[family], {}
+        for i, j, w, b in model.pairs[family]:
+            winner = names[i] if row @ w + b > 0 else names[j]
+            wins[winner] = wins.get(winner, 0) + 1
+        best = {n for n, k in wins.items() if k == max(wins.values())} or {names[0]}
+        assert (lang in best if letters else lang == "und") and 0 <= sure <= 1
+    del rng
+
+
+def test_null_and_repeated_keys_stay_in_bounds(spark):
+    """The sample's bound holds for rows without a key, and rows that repeat key and text count once."""
+    rows = [(None, prose(8, k), "en") for k in range(900)] + [(1, "der stein", "de")] * 500 + [(k, prose(9, 5000 + k), "fr") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    sample = bounded_sample(docs, "lang", ["doc_id", "text"], 100)
+    got = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert 60 <= got["en"] <= 140 and 60 <= got["fr"] <= 140 and got.get("de", 0) <= 1
+    assert langid.predict(docs, langid.fit(docs)).count() == len(rows)
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_scores_of_repeated_and_null_keys(spark, module):
+    label = "toxic" if module is toxicity else "quality"
+    rows = [(1, "calm river"), (1, "calm river"), (1, "stone"), (None, "calm river"), (None, None)]
+    docs = spark.createDataFrame([(k, t, 9, "x") for k, t in rows], "doc_id long, text string, score int, label string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (5, None)], f"doc_id long, {label} int")
+    found = module.score(docs, module.fit(docs, labels)).collect()
+    assert sorted((str(r.doc_id) for r in found)) == sorted(str(k) for k, _ in rows)
+    assert len({round(r.score, 12) for r in found if r.doc_id == 1}) <= 2
+
+
+def test_quality_features_equal_a_plain_version(awkward_texts):
+    """Words, statistics and the size class of a text by plain string methods."""
+    texts = [t or "" for t in awkward_texts] + ["One two two three. Four!", "a|b\tc; D: e?\nEnd.\n", "12 34 ABC abc"]
+    x = quality.features(texts)
+    for t, row in zip(texts, x, strict=True):
+        words = re.findall(r"[^\W_]+", t.lower())
+        n, held = len(t), max(len(words), 1)
+        kinds = [1 if c.isalpha() else 2 if c.isdigit() else 3 if c.isspace() else 0 for c in t]
+        spaces, letters = kinds.count(3), kinds.count(1)
+        stats = row[quality.WORDS :][: quality.STATISTICS]
+        assert np.isclose(stats[0], np.log1p(n) / 12, atol=1e-5) and np.isclose(stats[2], letters / max(n, 1), atol=1e-5)
+        assert np.isclose(stats[3], kinds.count(2) / max(n, 1), atol=1e-5) and np.isclose(stats[5], spaces / max(n, 1) * 3, atol=1e-5)
+        assert np.isclose(stats[1], np.log1p(len(words)) / 10, atol=1e-5) and np.isclose(stats[7], sum(map(len, words)) / held / 12, atol=1e-5)
+        assert np.isclose(stats[9], sum(a == b for a, b in zip(words, words[1:], strict=False)) / held, atol=1e-5)
+        assert np.isclose(stats[11], min(sum(c in ".?" for c in t) / held * 5, 2), atol=1e-5)
+        assert np.isclose(stats[14], min(t.count("!") / held * 2, 2), atol=1e-5)
+        size = row[quality.WORDS + quality.STATISTICS :]
+        assert size.sum() == 1 and size[min(int(np.log2(max(n, 1))), quality.SIZES - 1)] == 1
+        assert np.isclose((row[: quality.WORDS] ** 2).sum(), 1 if words else 0, atol=1e-4)
+
+
 def test_pairwise_terms_by_the_sum_of_squares_identity():
     rng = np.random.default_rng(2)
     x, v = rng.normal(size=(6, 9)), rng.normal(size=(9, 3))

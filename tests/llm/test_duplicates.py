@@ -5,12 +5,15 @@ from __future__ import annotations
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoframe.llm import embeddedup, linededup, ngramjoin, queries
+from chronoframe.llm.common import Scratch, checkpoint_root, passing
 from chronoframe.llm.tiles import tiled
 from tests.llm.conftest import prose
 
@@ -124,7 +127,7 @@ def test_tiles_cover_every_pair_once(spark):
     rows = spark.createDataFrame([(1, i) for i in range(23)], "g int, id long")
     sizes = spark.createDataFrame([(1, 23)], "g int, n long")
     groups = defaultdict(list)
-    for r in tiled(rows, sizes, ["g"], "id", 5).collect():
+    for r in tiled(rows, sizes, ["g"], "id", 5, 23).collect():
         groups[r.tile, r.other].append((r.id, r.left))
     met = defaultdict(int)
     for (tile, other), members in groups.items():
@@ -166,10 +169,52 @@ def test_line_dedup_equals_sql(spark):
 
 def test_line_dedup_has_no_python(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    plan = linededup.line_windows(docs, "doc_id", 30)._jdf.queryExecution().toString()
+    plan = linededup.dedup_lines(docs)._jdf.queryExecution().toString()
+    plan += linededup.dedup_passages(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_line_dedup_of_repeated_and_null_keys(spark):
+    block, other = lines_fixture()[4], prose(50, 5)
+    rows = [(1, block), (1, block), (1, block), (2, other), (2, f"{other}\n{block}"), (None, block), (None, other), (None, None), (3, None)]
+    docs = spark.createDataFrame([(k, t, i, "x") for i, (k, t) in enumerate(rows)], "doc_id long, text string, n_lines int, spans string").repartition(3)
+    found = sorted(((r.doc_id, r.text, r.n_removed) for r in linededup.dedup_lines(docs).collect()), key=repr)
+    want = [(1, "", 6), (1, "", 6), (1, "", 6), (2, "", 1), (2, "", 7), (None, block, 0), (None, other, 0), (None, None, 0), (3, None, 0)]
+    assert found == sorted(want, key=repr)
+    left = linededup.dedup_passages(docs).collect()
+    assert len(left) == len(rows) and {r.text for r in left if r.doc_id is None} == {block, other, None}
+    assert {r.text for r in left if r.doc_id == 1} == {block}
+
+
+def test_line_dedup_selects_fewer_rows_than_lines(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    lines = linededup.unit_lines(docs, F.struct("doc_id"))
+    assert 0 < linededup.fingerprints(lines, 30).count() < lines.count()
+
+
+def test_scratch_tables_go(spark, small):
+    """What a run has written for itself is gone when its result is there, but for what the result is read from."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    with passing():
+        kept = Scratch(spark).keep(linededup.dedup_lines(ngramjoin.one_of_each(docs)), "kept")
+        root = Path(kept.inputFiles()[0].removeprefix("file://")).parents[2]
+        names = {p.name for table in root.glob("tables-*") for p in table.iterdir()}
+        assert "kept" in names and not names & {"signed", "standing", "tries", "sets", "verified", "minima", "covering", "hits"}
+    assert not Path(kept.inputFiles()[0].removeprefix("file://")).exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(Cluster)
+
+
 def test_line_dedup_awkward(awkward, nothing):
     cut = linededup.dedup_lines(awkward)
     assert cut.columns == [*awkward.columns, "n_lines", "n_removed"]
@@ -250,6 +295,37 @@ def test_embedding_dedup_equals_brute_force(spark, monkeypatch, tile):
     assert found == brute_vectors(rows)
 
 
+def crowded_vectors() -> list[tuple]:
+    """Vectors of one label, near each other in some blocks and not in others, so that cells overflow on every level."""
+    rng = np.random.default_rng(5)
+    centre, rows = rng.normal(size=64), []
+    for k in range(260):
+        v = centre + rng.normal(size=64) * (0.03 if k % 9 == 0 else 0.25)
+        if k % 4 == 0:
+            v[:24] = centre[:24]
+        rows.append((k, [float(np.float32(x)) for x in v], 1))
+    return rows
+
+
+def test_overfull_cells_are_cut_by_further_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(embeddedup, "SPLIT", 4)
+    rows = crowded_vectors()
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddedup.near_duplicates(table).collect()}
+    want = brute_vectors(rows)
+    assert found == want and sum(n for n, _, _ in want.values()) > 100
+
+
+def test_embedding_dedup_of_repeated_and_null_keys(spark):
+    rng = np.random.default_rng(3)
+    a, b = ([float(np.float32(x)) for x in rng.normal(size=64)] for _ in range(2))
+    rows = [(1, a), (1, a), (1, b), (4, b), (None, a), (None, None), (7, None), (7, None)]
+    table = spark.createDataFrame([(k, v, 1, "x", 2) for k, v in rows], "vec_id long, embedding array<float>, label int, node string, copies int")
+    found = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddedup.near_duplicates(table).collect()), key=repr)
+    want = [(1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (4, 1, 1, False), (7, 0, 7, True), (7, 0, 7, True), (None, 0, None, True), (None, 0, None, True)]
+    assert found == sorted(want, key=repr)
+
+
 def test_embedding_dedup_of_nothing(spark):
     assert embeddedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 

@@ -75,6 +75,24 @@ def test_query_on_whole_texts(spark, small):
         assert seen.setdefault(texts[row.doc_id], told) == told
 
 
+def test_packets_span_pages():
+    """The registered packet does not fit its page: some pages go on with a packet of the one before."""
+    media = ogg.write(bytes(i % 251 for i in range(40_000)))
+    flags, at = [], 0
+    while at < len(media):
+        head = ogg.HEADER.unpack_from(media, at)
+        flags.append(head[2])
+        at += ogg.HEADER.size + head[7] + sum(media[at + ogg.HEADER.size : at + ogg.HEADER.size + head[7]])
+    assert any(f & ogg.CONTINUED for f in flags)
+
+
+def test_repeated_and_null_keys_stay(spark):
+    rows = [(1, "river"), (1, "river"), (1, None), (None, "river"), (None, "")]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, media string")
+    found = ogg.load(ogg.store(docs)).collect()
+    assert sorted(((r.doc_id, bytes(r.payload)) for r in found), key=repr) == sorted(((k, ogg.padded((t or "").encode())) for k, t in rows), key=repr)
+
+
 def test_awkward(awkward, nothing):
     assert ogg.load(ogg.store(awkward)).filter("damage is null").count() == awkward.count()
     assert ogg.load(ogg.store(nothing)).count() == 0

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronoframe.llm.common import Scratch
+from chronoframe.llm.common import Scratch, passing
 from tests.llm.conftest import prose
 from tests.llm.test_duplicates import brute_near
 
@@ -75,6 +78,38 @@ def test_packing_holds_all_that_is_left(stages):
     assert (np.array([len(x) for x in pieces.ids]) == 4 * pieces.length).all()
 
 
+def chained(spark, docs, sf_dir):
+    """(rows before, rows after) of each stage by name, one after the other."""
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        after = Scratch(spark).keep(stage(spark, docs, sf_dir), "chained")
+        out[name] = (docs.count(), after.count())
+        docs = after
+    return docs, out
+
+
+def test_awkward_rows_through_all_stages(spark, awkward, nothing, small):
+    """Null, empty, blank, long and repeated texts, null and repeated keys, clashing names; and no rows at all."""
+    more = awkward.limit(8).withColumn("doc_id", F.lit(None).cast("long"))
+    docs = awkward.unionByName(awkward).unionByName(more)
+    packed, counts = chained(spark, docs, small)
+    assert counts["toxicity"][1] <= docs.count() and counts["line dedup"][0] == counts["line dedup"][1]
+    assert all(0 < r.length <= 4096 for r in packed.collect())
+    last = {r.doc_id for r in packed.select("doc_id").distinct().collect()}
+    assert last <= {r.doc_id for r in docs.select("doc_id").collect()}
+    packed, counts = chained(spark, nothing, small)
+    assert packed.count() == 0 and set(counts.values()) == {(0, 0)}
+
+
+def test_run_leaves_no_tables_of_its_stages(spark, small):
+    with passing():
+        packed = corpus_pipeline.run(spark, small)
+        assert packed.count() > 0
+        root = Path(packed.inputFiles()[0].removeprefix("file://")).parents[2]
+        own = [p.name for table in root.glob("tables-*") for p in table.iterdir()]
+        assert "stage-0" not in own and "signed" not in own and "covering" not in own
+
+
 def test_copies_end_as_one_document(spark, small):
     """A group of exact copies, and documents that others hold as a whole, from the line dedup to the packing."""
     base = prose(80, 7)

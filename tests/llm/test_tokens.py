@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 
 from chronoframe.llm import bytebpe, packing, queries, tokenstore
 from chronoframe.llm.common import Scratch
+from tests.llm.conftest import prose
 
 
 @pytest.fixture(scope="module")
@@ -95,6 +97,61 @@ def test_store_tells_damage(spark, awkward):
         tokenstore.checksums(spark, path).collect()
 
 
+@pytest.mark.parametrize("table", ["recipes", "manifest"])
+def test_store_misses_a_lost_file(spark, awkward, table):
+    path = Scratch(spark).path("store")
+    tokenstore.write(awkward.repartition(4), path)
+    files = sorted(Path(path.removeprefix("file://"), table).glob("part-*.parquet"))
+    files[-1].unlink()
+    for crc_file in files[-1].parent.glob(".part-*.crc"):
+        crc_file.unlink()
+    with pytest.raises(tokenstore.DamagedStore):
+        tokenstore.checksums(spark, path)
+    with pytest.raises(tokenstore.DamagedStore):
+        tokenstore.read(spark, path)
+
+
+def test_store_misses_a_lost_chunk(spark, awkward):
+    path = Scratch(spark).path("store")
+    tokenstore.write(awkward, path)
+    chunks = spark.read.parquet(f"{path}/objects").filter("kind = 'chunk'")
+    some = chunks.orderBy("chunk").limit(chunks.count() - 1)
+    recipes = spark.read.parquet(f"{path}/objects").filter("kind = 'recipe'")
+    some.unionByName(recipes).write.partitionBy("kind").parquet(f"{path}/less")
+    spark.read.parquet(f"{path}/less").write.mode("overwrite").partitionBy("kind").parquet(f"{path}/objects")
+    with pytest.raises(Exception, match="missing"):
+        tokenstore.checksums(spark, path).collect()
+
+
+def test_store_with_half_of_the_texts_empty(spark, words):
+    """References to one chunk by half of the rows are joined where they lie."""
+    texts = {i: None if i % 4 == 0 else "" if i % 2 == 0 else prose(30, i) for i in range(3000)}
+    path = Scratch(spark).path("store")
+    tokenstore.write(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), path)
+    found = {r.doc_id: r for r in tokenstore.checksums(spark, path).collect()}
+    assert {k: r.ids_crc32 for k, r in found.items()} == {k: crc(whole_ids(words, t)) for k, t in texts.items()}
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == whole_ids(words, texts[r.doc_id]) for r in tokenstore.read(spark, path).collect())
+
+
+def test_store_refuses_ids_that_do_not_fit(spark, monkeypatch):
+    monkeypatch.setitem(tokenstore.WIDTHS, 1, np.dtype("u1"))
+    with pytest.raises(Exception, match="does not fit"):
+        tokenstore.write(spark.createDataFrame([(1, "river stone")], "doc_id long, text string"), Scratch(spark).path("store"), width=1)
+
+
+def test_repeated_and_null_keys(spark, words):
+    rows = [(1, "river"), (1, "river"), (1, "stone"), (None, "cloud"), (None, None), (2, "")]
+    docs = spark.createDataFrame([(k, t, "x", 0) for k, t in rows], "doc_id long, text string, n_tokens string, start int").repartition(2)
+    path = Scratch(spark).path("store")
+    tokenstore.write(docs, path)
+    want = sorted(((k, crc(whole_ids(words, t))) for k, t in rows), key=repr)
+    for found in (tokenstore.checksums(spark, path), packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))):
+        assert sorted(((r.doc_id, r.ids_crc32) for r in found.collect()), key=repr) == want
+    assert sorted((r.doc_id or 0 for r in tokenstore.checksums(spark, path).orderBy("start").collect())) == sorted(k or 0 for k, _ in rows)
+    decoded = bytebpe.decode(bytebpe.encode(docs)).collect()
+    assert sorted(((r.doc_id, bytes(r.decoded).decode()) for r in decoded), key=repr) == sorted(((k, t or "") for k, t in rows), key=repr)
+
+
 def test_chunks_do_not_move_with_an_insertion():
     ids = np.random.default_rng(3).integers(0, 49000, 20000).astype(np.int32)
     cut = lambda x: {x[a:b].tobytes() for a, b in zip([0, *tokenstore.cuts(x)], tokenstore.cuts(x), strict=False)}
