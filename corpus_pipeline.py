@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.llm import linededup, ngramjoin, packing, quality, toxicity
-from chronoframe.llm.common import Scratch, in_fold
+from chronoframe.llm.common import Scratch, in_fold, passing
 
 
 def _labels(spark: SparkSession, sf_dir: str, modulus: int, rest: int) -> DataFrame:
@@ -20,17 +20,20 @@ def _labels(spark: SparkSession, sf_dir: str, modulus: int, rest: int) -> DataFr
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator does not reject."""
+    """Documents that the toxicity operator does not reject. Null and empty texts have no match and stay; equal texts go or stay together."""
     return toxicity.accepted(docs, toxicity.fit(docs, _labels(spark, sf_dir, 3, 1)))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Null and empty texts are judged as empty ones; equal texts go or stay together."""
     return quality.accepted(docs, quality.fit(docs, _labels(spark, sf_dir, 4, 2)))
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their later repeated passages; n_chars follows the text where it is cut."""
+    """All documents, without their later repeated passages; n_chars follows the text where it is cut.
+
+    Null texts stay null. Equal texts end equal, whatever their keys; null keys come first in the order.
+    """
     cut = linededup.dedup_passages(docs)
     if "n_chars" in docs.columns:
         count = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
@@ -39,12 +42,12 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: that of the smallest key, then text hash. Of equal texts without a word one stays; rows without a key all do."""
     return ngramjoin.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 4096 ids."""
+    """Pieces of the documents in sequences of 4096 ids. Null and empty texts are one id; repeated rows have pieces of their own."""
     return packing.pack(docs)
 
 
@@ -65,5 +68,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{k}")
+        # What a stage has written for itself goes as soon as its rows are written, and so do its predecessor's.
+        with passing():
+            docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            scratch.drop(f"stage-{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
