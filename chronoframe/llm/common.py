@@ -124,15 +124,17 @@ def sampled(docs: DataFrame, labels: DataFrame, key: str, label: str, most: int)
     return docs.select(F.col(key).alias("key_"), "text").join(chosen, "key_").dropDuplicates(["key_", "label", "text"]).select("text", "label")
 
 
-def hot_aware_join(rows: DataFrame, unique: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+def hot_aware_join(rows: DataFrame, unique: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner", wide: bool = False) -> DataFrame:
     """Join (``how``: inner or left) of ``rows`` with ``unique`` (one row a key, ``count`` = its rows in ``rows``).
 
     Keys with more than ``total / HOT_SHARE`` rows number at most HOT_SHARE: they are broadcast
-    and joined where their rows lie. The others, none of which can swamp a task, are shuffled.
+    and joined where their rows lie. The others, none of which can swamp a task, are shuffled; where ``wide``, however
+    small ``unique`` may be, for what it holds has no bound.
     """
     most = max(1, total // HOT_SHARE)
     hot, cold = unique.filter(F.col(count) > most), unique.filter(F.col(count) <= most)
     keys = [key] if isinstance(key, str) else key
+    cold = cold.hint("merge") if wide else cold
     near = rows.join(F.broadcast(hot), keys)
     far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
     return near.unionByName(far)

@@ -118,7 +118,7 @@ def repeated_runs(lines: DataFrame, min_words: int, scratch: Scratch, keys: Data
 def _with_spans(docs: DataFrame, document: Column, runs: DataFrame) -> DataFrame:
     """(row, spans): each row with its document's spans of ``runs`` (d, n rows of the document, spans), null without."""
     held = docs.select(F.struct("*").alias("row"), document.alias("d"))
-    return hot_aware_join(held, runs, "d", "n", docs.count(), "left").select("row", "spans")
+    return hot_aware_join(held, runs, "d", "n", docs.count(), "left", wide=True).select("row", "spans")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
