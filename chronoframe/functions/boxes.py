@@ -60,6 +60,12 @@ def shifted(b: Box, dx: Column, dy: Column) -> Box:
     return b[0] + dx, b[1] + dy, b[2] + dx, b[3] + dy
 
 
+def cells_of(b: Box) -> tuple[Column, Column]:
+    """Columns and rows of the cells that a box cuts from a grid, both ends included."""
+    whole = lambda c: c.cast("int")
+    return whole(b[2]) - whole(b[0]) + 1, whole(b[3]) - whole(b[1]) + 1
+
+
 def padded(b: Box, by: float, width: Column, height: Column) -> Box:
     """The box with a margin, clamped to the image."""
     return (

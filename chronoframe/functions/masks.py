@@ -79,3 +79,41 @@ def without_small_regions(mask: np.ndarray, least: int) -> np.ndarray:
     if not len(keep) and len(size) > 1:
         keep = np.array([size.argmax()])
     return np.isin(label, keep) & (label > 0)
+
+
+def rle_box(counts: Column, height: int) -> Column:
+    """struct(x1, y1, x2, y2) of the pixels set in a mask that runs column after column; all 0 for none."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("on"), F.expr("cast(array() as array<struct<s: bigint, e: bigint>>)").alias("runs"))
+    runs = F.aggregate(
+        counts,
+        start,
+        lambda a, n: F.struct((a.at + n).alias("at"), (~a.on).alias("on"), F.when(a.on & (n > 0), F.concat(a.runs, F.array(F.struct(a.at.alias("s"), (a.at + n - 1).alias("e"))))).otherwise(a.runs).alias("runs")),
+        lambda a: a.runs,
+    )
+    column, row = lambda p: F.floor(p / height), lambda p: p % height
+    over = lambda r: column(r.s) < column(r.e)  # noqa: E731 - a run that goes on in the next column has pixels in the last and the first row
+    least = lambda f: F.coalesce(F.array_min(F.transform(runs, f)), F.lit(0).cast("long"))
+    most = lambda f: F.coalesce(F.array_max(F.transform(runs, f)), F.lit(0).cast("long"))
+    return F.struct(
+        least(lambda r: column(r.s)).alias("x1"),
+        least(lambda r: F.when(over(r), F.lit(0).cast("long")).otherwise(row(r.s))).alias("y1"),
+        most(lambda r: column(r.e)).alias("x2"),
+        most(lambda r: F.when(over(r), F.lit(height - 1).cast("long")).otherwise(row(r.e))).alias("y2"),
+    )
+
+
+def stability(df: DataFrame, keys: list[str], value: str, threshold: float, offset: float) -> DataFrame:
+    """(keys, stability): pixels above threshold + offset as a share of those above threshold - offset; null for none."""
+    above = lambda limit: F.count(F.when(F.col(value) > limit, 1))
+    return df.groupBy(*keys).agg(F.try_divide(above(threshold + offset), above(threshold - offset)).alias("stability"))
+
+
+def agreement(df: DataFrame, keys: list[str], held: Column, share: float) -> DataFrame:
+    """(keys, agreed): whether more than this share of the masks hold the pixel."""
+    return df.groupBy(*keys).agg((F.avg(held.cast("int")) > share).alias("agreed"))
+
+
+def set_iou(a: Column, b: Column) -> Column:
+    """Overlap of two masks given as arrays of their pixels; 0 where both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))

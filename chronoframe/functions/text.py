@@ -6,7 +6,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,33 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+#: Named signs of HTML and what they stand for; the ampersand comes last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def unescaped(text: Column) -> Column:
+    for name, sign in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text
+
+
+def span_means(df: DataFrame, key: str, values: str, size: int, apart: int) -> DataFrame:
+    """(key, class, score): the mean of each class's stretch of ``size`` values, ``apart`` values between two stretches."""
+    placed = df.select(key, F.posexplode(values).alias("pos_", "v_"))
+    own = F.floor(F.col("pos_") / (size + apart)).cast("int").alias("class")
+    return placed.filter(F.col("pos_") % (size + apart) < size).groupBy(key, own).agg(F.avg(F.col("v_").cast("double")).alias("score"))
+
+
+def answer_probability(tokens: Column, logs: Column, begin: str, end: str) -> Column:
+    """The product of the probabilities from the first ``begin`` up to the next ``end``, which counts no more; null without a beginning."""
+    first = F.array_position(tokens, begin)
+    rest = F.slice(tokens, F.greatest(first, F.lit(1)).cast("int"), F.size(tokens))
+    last = F.array_position(rest, end)
+    some = F.when(last > 0, last - 1).otherwise(F.size(rest)).cast("int")
+    total = F.aggregate(F.slice(logs, F.greatest(first, F.lit(1)).cast("int"), some), F.lit(0.0), lambda s, v: s + v)
+    return F.when(first > 0, F.exp(total))
+
+
 def filled(template: Column, **values: Column) -> Column:
     """The template with each {name} replaced."""
     for name, value in values.items():
@@ -65,29 +92,46 @@ def padded_labels(labels: Column, n: int) -> Column:
 
 
 def repaired(text: str | None) -> str | None:
-    """JSON cut off at its end: open strings and brackets are closed, then characters are dropped from the end until it parses; None if nothing does."""
+    """JSON cut off at its end: open strings and brackets are closed, then characters are dropped from the end until it parses; None if nothing does.
+
+    The text is read once, noting at each place the string that is open and what would close the brackets. What fails
+    inside a string fails for all of it, and what fails at a place fails for all ends beyond, so that few ends are tried.
+    """
     if text is None:
         return None
-    text = text.strip().strip("`").removeprefix("json").strip()
-    for end in range(len(text), 0, -1):
-        part, stack, inside, escaped = text[:end], [], False, False
-        for c in part:
-            if inside:
-                inside = escaped or c != '"'
-                escaped = c == "\\" and not escaped
-            elif c == '"':
-                inside = True
-            elif c in "{[":
-                stack.append("}" if c == "{" else "]")
-            elif c in "}]" and stack and stack[-1] == c:
-                stack.pop()
-        whole = part + '"' * inside + "".join(reversed(stack))
-        whole = re.sub(r"[\x00-\x1f]", lambda m: " ", whole)
+    text = re.sub(r"[\x00-\x1f]", " ", text.strip().strip("`").removeprefix("json").strip())
+    opened: list[int] = []  # for each end: where the open string starts, -1 outside of strings
+    depth: list[int] = []  # for each end: the node of the stack's top
+    above, closer = [-1], [""]  # the stack as a tree: node's parent and the bracket that closes it
+    top, start, escaped = 0, -1, False
+    for k, c in enumerate(text):
+        if start >= 0:
+            if c == '"' and not escaped:
+                start = -1
+            escaped = c == "\\" and not escaped
+        elif c == '"':
+            start, escaped = k, False
+        elif c in "{[":
+            above.append(top)
+            closer.append("}" if c == "{" else "]")
+            top = len(above) - 1
+        elif c in "}]" and closer[top] == c:
+            top = above[top]
+        opened.append(start)
+        depth.append(top)
+    end = len(text)
+    while end > 0:
+        node, closing = depth[end - 1], ""
+        while node:
+            closing, node = closing + closer[node], above[node]
+        inside = opened[end - 1] >= 0
+        whole = text[:end] + '"' * inside + closing
         try:
             json.loads(whole)
             return whole
-        except ValueError:
-            continue
+        except json.JSONDecodeError as error:
+            cut = text[:end].endswith("\\") and inside  # an escape that was cut off: one character less may do
+            end = end - 1 if cut else min(opened[end - 1] if inside else end - 1, max(error.pos, 0))
     return None
 
 

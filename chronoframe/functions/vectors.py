@@ -41,9 +41,41 @@ def softmax(x: Column, part: list[str]) -> Column:
     return e / F.sum(e).over(w)
 
 
-def similarities(queries: DataFrame, classes: DataFrame, vector: str, class_vector: str, most_classes: int = 10_000) -> DataFrame:
-    """Each query with each class and their cosine. Classes are a vocabulary: they are broadcast if they are at most ``most_classes``."""
-    if classes.limit(most_classes + 1).count() > most_classes:
-        raise ValueError(f"more than {most_classes} classes")
-    pairs = queries.join(F.broadcast(classes))
-    return pairs.withColumn("cosine", cosine(F.col(vector), F.col(class_vector)))
+#: Classes that are broadcast at once.
+CLASS_BLOCK = 10_000
+
+
+def _blocks(classes: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """``classes`` in parts of about ``most`` at most, each small enough to broadcast."""
+    n = classes.count()
+    parts = -(-n // most) if n > most else 1
+    if parts == 1:
+        return [classes]
+    block = F.pmod(F.xxhash64(key), F.lit(parts))
+    return [classes.filter(block == b) for b in range(parts)]
+
+
+def similarities(queries: DataFrame, classes: DataFrame, key: str, vector: str, class_vector: str, most: int = CLASS_BLOCK) -> DataFrame:
+    """Each query with each class (``key``) and their cosine. Classes are a vocabulary; they are broadcast in blocks of about ``most``."""
+    pairs = None
+    for block in _blocks(classes, key, most):
+        part = queries.join(F.broadcast(block)).withColumn("cosine", cosine(F.col(vector), F.col(class_vector)))
+        pairs = part if pairs is None else pairs.unionByName(part)
+    return pairs
+
+
+def nearest_classes(queries: DataFrame, classes: DataFrame, key: str, vector: str, class_vector: str, k: int, most: int = CLASS_BLOCK) -> DataFrame:
+    """``queries`` with ``nearest``: the k classes of the greatest cosine (to nine places; the smaller key on ties), as an array of (cosine, key).
+
+    A row's similarities are taken where it lies, next to one broadcast list of classes, and only the best k go on from
+    one block of classes to the next; nothing is shuffled by query.
+    """
+    kind = classes.schema[key].dataType.simpleString()
+    empty = F.array().cast(f"array<struct<minus: double, key: {kind}, cosine: double>>")
+    found = queries.withColumn("best_", empty)
+    for block in _blocks(classes, key, most):
+        listed = block.agg(F.collect_list(F.struct(F.col(key).alias("key"), F.col(class_vector).alias("v"))).alias("classes_"))
+        told = F.transform("classes_", lambda c: F.struct(cosine(F.col(vector), c.v).alias("s"), c.key.alias("key")))
+        near = F.transform(told, lambda c: F.struct((-F.round(c.s, 9)).alias("minus"), c.key.alias("key"), c.s.alias("cosine")))
+        found = found.join(F.broadcast(listed)).withColumn("best_", F.slice(F.array_sort(F.concat("best_", near)), 1, k)).drop("classes_")
+    return found.withColumn("nearest", F.transform("best_", lambda b: F.struct(b.cosine.alias("cosine"), b.key.alias("key")))).drop("best_")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.functions.boxes import area, box, iou
+from chronoframe.functions.boxes import area, box, inside_share, iou
 
 
 def best_of(df: DataFrame, keys: list[str], score: str, *ties: str) -> DataFrame:
@@ -123,3 +123,89 @@ def trimmed_mean(df: DataFrame, keys: list[str], value: str, least: float, z: fl
 
 def box_area() -> Column:
     return area(box())
+
+
+def flattest(lines: DataFrame, group: list[str], cluster: str) -> DataFrame:
+    """(group, cluster, slope, intercept): of the least-squares lines through all ends of each cluster's segments the one nearest to the horizontal."""
+    ends = lines.select(*group, cluster, F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p"))
+    fits = ends.groupBy(*group, cluster).agg(F.regr_slope("p.y", "p.x").alias("slope"), F.regr_intercept("p.y", "p.x").alias("intercept"))
+    steep = F.round(F.abs(F.atan("slope")), 6)
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(steep, cluster))
+    return fits.filter("slope is not null").withColumn("rank_", rank).filter("rank_ = 1").drop("rank_")
+
+
+def extents(points: DataFrame, group: list[str], id_: str) -> DataFrame:
+    """(group, extent, n): the greatest distance between two points (x, y) of a group, and their number."""
+    other = points.select(*group, F.col("x").alias("r_x"), F.col("y").alias("r_y"))
+    gap = F.sqrt((F.col("x") - F.col("r_x")) ** 2 + (F.col("y") - F.col("r_y")) ** 2)
+    return points.join(other, group).groupBy(*group).agg(F.max(gap).alias("extent"), F.countDistinct(id_).alias("n"))
+
+
+def contained(df: DataFrame, group: list[str], id_: str, share: float = 0.8) -> DataFrame:
+    """Rows whose box lies by more than ``share`` in a larger one of their group."""
+    other = df.select(*group, *(F.col(c).alias(f"r_{c}") for c in (id_, "x1", "y1", "x2", "y2")))
+    inside = inside_share(box(), box("r_")) > share
+    pairs = df.join(other, group).filter((area(box("r_")) > area(box())) & inside)
+    return pairs.select(*group, id_).distinct()
+
+
+def proposal_groups(df: DataFrame, group: list[str], id_: str, threshold: float = 0.5) -> DataFrame:
+    """(group, leader, id): going by id, a row that no leader so far overlaps by more than ``threshold`` leads all rows that it overlaps so."""
+    leaders = nms(df.withColumn("score", -F.col(id_).cast("double")), group, id_, threshold)
+    pairs = overlaps(leaders.drop("score"), df.select(*group, id_, "x1", "y1", "x2", "y2"), group).filter(F.col("iou") > threshold)
+    return pairs.select(*group, F.col(id_).alias("leader"), F.col(f"r_{id_}").alias(id_))
+
+
+def dense_scores(df: DataFrame, points: DataFrame, group: list[str], id_: str, weights: tuple[float, float] = (2.0, 1.0), least: float = 0.2) -> DataFrame:
+    """(group, id, dense): a box's score mixed with the affinity (x, y, affinity) of the points in it, from ``least`` on, by its area."""
+    inside = (F.col("p.x") >= F.col("x1")) & (F.col("p.x") <= F.col("x2")) & (F.col("p.y") >= F.col("y1")) & (F.col("p.y") <= F.col("y2")) & (F.col("p.affinity") >= least)
+    rows = df.join(points.select(*group, F.struct("x", "y", "affinity").alias("p")), group)
+    total = rows.groupBy(*group, id_, "score", "x1", "y1", "x2", "y2").agg(F.sum(F.when(inside, F.col("p.affinity")).otherwise(0.0)).alias("sum_"))
+    dense = F.coalesce(F.try_divide(F.col("sum_"), area(box())), F.lit(0.0))
+    return total.select(*group, id_, ((dense * weights[0] + F.col("score") * weights[1]) / sum(weights)).alias("dense"))
+
+
+def mutual_matches(ours: DataFrame, news: DataFrame, group: list[str], name: str, threshold: float = 0.5) -> DataFrame:
+    """(group, ours, news, outcome): segments of both sides matched where each is the other's best above ``threshold``; the rest are unmatched or new."""
+    pairs = overlaps(ours.select(*group, name, "x1", "y1", "x2", "y2"), news.select(*group, name, "x1", "y1", "x2", "y2"), group).filter(F.col("iou") > threshold)
+    score = F.round("iou", 9)
+    first = F.row_number().over(Window.partitionBy(*group, name).orderBy(score.desc(), f"r_{name}"))
+    second = F.row_number().over(Window.partitionBy(*group, f"r_{name}").orderBy(score.desc(), name))
+    matched = pairs.withColumn("a_", first).withColumn("b_", second).filter("a_ = 1 and b_ = 1").select(*group, F.col(name).alias("ours"), F.col(f"r_{name}").alias("news"))
+    lost = ours.select(*group, F.col(name).alias("ours")).join(matched, [*group, "ours"], "left_anti").withColumn("news", F.lit(None).cast("string")).withColumn("outcome", F.lit("unmatched"))
+    new = news.select(*group, F.col(name).alias("news")).join(matched, [*group, "news"], "left_anti").withColumn("ours", F.lit(None).cast("string")).withColumn("outcome", F.lit("new"))
+    columns = [*group, "ours", "news", "outcome"]
+    return matched.withColumn("outcome", F.lit("matched")).select(*columns).unionByName(lost.select(*columns)).unionByName(new.select(*columns))
+
+
+def surface_choice(df: DataFrame, group: list[str], class_: str, surface: str, whole: float, large: float = 0.2, larger: float = 0.6) -> DataFrame:
+    """(group, surface_score, other): the surface class's best score where its first box covers ``large`` of the picture, else 0; the best other class that covers ``larger``."""
+    size = area(box())
+    first = F.min_by(F.struct(size.alias("size")), F.when(F.col(class_) == surface, F.col("event_id")))
+    stats = df.groupBy(*group).agg(
+        F.max(F.when(F.col(class_) == surface, F.col("score"))).alias("top_"),
+        first.alias("first_"),
+        F.max(F.when((F.col(class_) != surface) & (size > larger * whole), F.struct("score", (-F.col("event_id")).alias("n"), F.col(class_).alias("c")))).alias("other_"),
+    )
+    covered = F.coalesce(F.col("first_.size") > large * whole, F.lit(False)) & F.col("top_").isNotNull()
+    return stats.select(*group, F.when(covered, F.col("top_")).otherwise(0.0).alias("surface_score"), F.col("other_.c").alias("other"))
+
+
+def surface_prompts(best: DataFrame, part: list[str], frame: str, class_: str, whole: float, weights: tuple[float, float, float] = (0.5, 0.5, 0.1)) -> DataFrame:
+    """(part, class, score): mean score, mean covered share and share of frames with a detection, weighed; from the best boxes of each frame and class."""
+    frames = best.groupBy(*part).agg(F.countDistinct(frame).alias("frames_"))
+    stats = best.groupBy(*part, class_).agg(F.avg("score").alias("s_"), F.avg(area(box())).alias("a_"), F.count("*").alias("n_")).join(frames, part)
+    score = F.col("s_") * weights[0] + F.col("a_") / whole * weights[1] + F.col("n_") / F.col("frames_") * weights[2]
+    return stats.select(*part, class_, score.alias("score"))
+
+
+def surface_boxes(df: DataFrame, part: list[str], frame: str, whole: float) -> DataFrame:
+    """(part, x1..y2): the mean of the boxes that are best in their frame by score and half of the relative area; none where the largest boxes cover less than half of the picture."""
+    size = area(box())
+    inner = Window.partitionBy(*part, frame)
+    sized = df.withColumn("size_", size).withColumn("most_", F.max(size).over(inner))
+    value = F.round(F.col("score") + 0.5 * F.coalesce(F.try_divide(F.col("size_"), F.col("most_")), F.lit(0.0)), 9)
+    best = sized.withColumn("value_", value)
+    best = best.withColumn("rank_", F.row_number().over(inner.orderBy(F.desc("value_"), "event_id"))).filter("rank_ = 1")
+    found = best.groupBy(*part).agg(*(F.avg(c).alias(c) for c in ("x1", "y1", "x2", "y2")), F.avg("most_").alias("cover_"))
+    return found.filter(F.col("cover_") >= 0.5 * whole).drop("cover_")

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from chronoframe.functions.boxes import box, centre, direction_words, inside_share, intersection, norm
 
 
-def relation_2d(extent: float, contact: float = 0.01, close: float = 0.17, axis: float = 0.85) -> tuple[Column, Column]:
+def relation_2d(extent: float, contact: float = 0.01, close: float = 0.17, axis: float = 0.85, touches: Column | None = None) -> tuple[Column, Column]:
     """(relation, distance) of box r_ to the row's own box; null where they are apart.
 
-    In contact: ``touching`` if the boxes overlap, else ``inside`` if 85 % of r_ lies in the other. Close: the axis that the unit
+    In contact: ``touching`` if the masks do (``touches``; without masks, if the boxes overlap), else ``inside`` if 85 % of r_ lies in the other. Close: the axis that the unit
     vector from r_ to the other follows by more than ``axis``, else the words of both components, else ``close to``.
     """
     a, b = box(), box("r_")
@@ -22,7 +22,7 @@ def relation_2d(extent: float, contact: float = 0.01, close: float = 0.17, axis:
     nx, ny = F.try_divide(dx, length), F.try_divide(dy, length)
     words = direction_words([(ny, "behind of", "in front of"), (-nx, "right of", "left of")], 0.62, " and ", "close to")
     relation = (
-        F.when((distance < contact) & (intersection(a, b) > 0), "touching")
+        F.when((distance < contact) & (intersection(a, b) > 0 if touches is None else touches), "touching")
         .when((distance < contact) & (inside_share(b, a) >= 0.85), "inside")
         .when(distance >= close, None)
         .when(ny > axis, "behind of")
@@ -34,18 +34,34 @@ def relation_2d(extent: float, contact: float = 0.01, close: float = 0.17, axis:
     return relation, distance
 
 
-def edges(nodes: DataFrame, group: list[str], name: str, extent: float) -> DataFrame:
-    """(group, start, end, edge_type, dist): one edge at most for each ordered pair of a group's nodes."""
-    other = nodes.select(*group, *(F.col(c).alias(f"r_{c}") for c in (name, "x1", "y1", "x2", "y2")))
-    relation, distance = relation_2d(extent)
+def edges(nodes: DataFrame, group: list[str], name: str, extent: float, mask: str | None = None) -> DataFrame:
+    """(group, start, end, edge_type, dist): one edge at most for each ordered pair of a group's nodes.
+
+    ``mask`` names a column of the pixels set, as an array of numbers; without one, boxes stand for masks.
+    """
+    columns = (name, "x1", "y1", "x2", "y2", *([mask] if mask else []))
+    other = nodes.select(*group, *(F.col(c).alias(f"r_{c}") for c in columns))
+    touches = F.arrays_overlap(mask, f"r_{mask}") if mask else None
+    relation, distance = relation_2d(extent, touches=touches)
     pairs = nodes.join(other, group).filter(F.col(name) != F.col(f"r_{name}"))
     found = pairs.select(*group, F.col(f"r_{name}").alias("start"), F.col(name).alias("end"), relation.alias("edge_type"), distance.alias("dist"))
     return found.filter("edge_type is not null")
 
 
-def majority_edges(found: DataFrame, part: list[str], order: str, least: int) -> DataFrame:
+def majority_edges(found: DataFrame, part: list[str], order: str, least: int | Column) -> DataFrame:
     """For each pair the relation seen most often, ``least`` times or more; the first seen on ties."""
     counts = found.groupBy(*part, "start", "end", "edge_type").agg(F.count("*").alias("n"), F.min(order).alias("first_"))
+    return _most_frequent(counts, part, least)
+
+
+def average_edges(found: DataFrame, part: list[str], order: str) -> DataFrame:
+    """The same with two graphs as the least number, or half of the part's graphs if that is less."""
+    graphs = found.groupBy(*part).agg(F.least(F.floor(F.countDistinct(order) / 2), F.lit(2)).alias("least_"))
+    counts = found.groupBy(*part, "start", "end", "edge_type").agg(F.count("*").alias("n"), F.min(order).alias("first_"))
+    return _most_frequent(counts.join(graphs, part), part, F.col("least_")).drop("least_")
+
+
+def _most_frequent(counts: DataFrame, part: list[str], least: int | Column) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*part, "start", "end").orderBy(F.desc("n"), "first_", "edge_type"))
     return counts.filter(F.col("n") >= least).withColumn("rank_", rank).filter("rank_ = 1").drop("rank_", "first_")
 
@@ -59,14 +75,20 @@ def denoised(found: DataFrame, part: list[str], order: str, reach: int, least: i
 
 
 def differences(found: DataFrame, part: list[str], order: str) -> DataFrame:
-    """(part, order, start, end, edge_type, change): edges of a group that the next one lacks (removed), and new ones there (added)."""
+    """(part, order, start, end, edge_type, change): edges of a group that the next one lacks (removed), and new ones there (added).
+
+    An edge's neighbours in order tell both, so one shuffle by the part serves all.
+    """
     keys = [*part, order, "start", "end", "edge_type"]
-    now, ahead = found.select(*keys), found.select(*part, (F.col(order) - 1).alias(order), "start", "end", "edge_type")
-    known = found.groupBy(*part).agg(F.min(order).alias("lo_"), F.max(order).alias("hi_"))
-    removed = now.join(ahead, keys, "left_anti").withColumn("change", F.lit("removed"))
-    added = ahead.join(now, keys, "left_anti").withColumn("change", F.lit("added"))
-    both = removed.unionByName(added).join(known, part)
-    return both.filter((F.col(order) >= F.col("lo_")) & (F.col(order) < F.col("hi_"))).select(*keys, "change")
+    whole = Window.partitionBy(*part)
+    own = Window.partitionBy(*part, "start", "end", "edge_type").orderBy(order)
+    seen = found.select(*keys).withColumn("lo_", F.min(order).over(whole)).withColumn("hi_", F.max(order).over(whole))
+    seen = seen.withColumn("before_", F.lag(order).over(own)).withColumn("after_", F.lead(order).over(own))
+    at = F.col(order)
+    ends = F.when((at < F.col("hi_")) & (F.col("after_").isNull() | (F.col("after_") > at + 1)), F.struct(at.alias("g_"), F.lit("removed").alias("change")))
+    begins = F.when((at > F.col("lo_")) & (F.col("before_").isNull() | (F.col("before_") < at - 1)), F.struct((at - 1).alias("g_"), F.lit("added").alias("change")))
+    both = seen.withColumn("c_", F.explode(F.array(ends, begins))).filter("c_ is not null")
+    return both.select(*part, F.col("c_.g_").alias(order), "start", "end", "edge_type", "c_.change")
 
 
 def change_keystates(changes: DataFrame, part: list[str], order: str, movable: Column, gap: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,28 @@ def stacked(df: DataFrame, keys: list[str], order: str, values: list[str]) -> Da
     return grouped.select(*keys, *(F.col(f"steps_.{v}").alias(v) for v in values))
 
 
+def moved_to_samples(df: DataFrame, order: str, first: int, last: int, every: int, out: str) -> DataFrame:
+    """Rows from ``first`` to ``last`` with the sampled place, a multiple of ``every``, that is next."""
+    inside = df.filter(F.col(order).between(first, last))
+    return inside.withColumn(out, (F.ceil(F.col(order) / F.lit(float(every))) * every).cast("int"))
+
+
+def zipped(a: Column, b: Column) -> Column:
+    """Pairs of two aligned arrays, without those that lack a side."""
+    return F.filter(F.arrays_zip(a.alias("0"), b.alias("1")), lambda p: p["0"].isNotNull() & p["1"].isNotNull())
+
+
+def shard_of(row: Column, rows: int, workers: int) -> Column:
+    """The worker of a row (counted from 0) when rows are dealt in stretches of equal length."""
+    return F.floor(row / F.lit(max(1, -(-rows // workers)))).cast("int")
+
+
+def shard_bounds(spark: SparkSession, rows: int, workers: int, offset: int = 0) -> DataFrame:
+    """(worker, start, end): each worker's stretch, moved by ``offset``."""
+    each = -(-rows // workers)
+    return spark.createDataFrame([(w, w * each + offset, min((w + 1) * each, rows) + offset) for w in range(workers)], "worker int, start long, end long")
+
+
 def flat_columns(df: DataFrame, separator: str = ".") -> list[Column]:
     """All leaves of nested structs, named by their path."""
     from pyspark.sql import types as T

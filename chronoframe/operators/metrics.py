@@ -47,6 +47,14 @@ def segment_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.try_divide(both, (a1 - a0) + (b1 - b0) - both)
 
 
+def segment_accuracy(df: DataFrame, part: str, segment: str, label: str, wanted: Column) -> DataFrame:
+    """(part, accuracy, segments): share of the segments whose most frequent label (the first by name on ties) is the wanted one."""
+    counts = df.groupBy(part, segment, label).agg(F.count("*").alias("n_"))
+    rank = F.row_number().over(Window.partitionBy(part, segment).orderBy(F.desc("n_"), label))
+    first = counts.withColumn("rank_", rank).filter("rank_ = 1")
+    return first.groupBy(part).agg(F.avg((F.col(label) == wanted).cast("int")).alias("accuracy"), F.count("*").alias("segments"))
+
+
 def locked_hits(truths: DataFrame, predictions: DataFrame, thresholds: list[float]) -> DataFrame:
     """(threshold, video, t_start, t_end, score, hit): in score order each prediction takes the free truth of its video with the greatest overlap.
 
@@ -74,15 +82,26 @@ def locked_hits(truths: DataFrame, predictions: DataFrame, thresholds: list[floa
     )
 
 
-def average_precision(hits: DataFrame, n_truths: int) -> DataFrame:
+def average_precision(hits: DataFrame, n_truths: int, ranges: int = 256) -> DataFrame:
     """(threshold, ap): precision interpolated from the right, summed over the steps of recall.
 
-    The curve changes at each distinct score only, so hits are first counted by score.
+    The curve changes at each distinct score only, so hits are first counted by score. Scores are cut into
+    ``ranges`` ranges of about equal size; running counts and the best precision to come are taken in each range by
+    itself, and what other ranges add is one row for each range and threshold.
     """
     by_score = hits.groupBy("threshold", "score").agg(F.sum(F.col("hit").cast("long")).alias("h"), F.count("*").alias("n"))
-    down = Window.partitionBy("threshold").orderBy(F.desc("score"))
-    curve = by_score.withColumn("tp", F.sum("h").over(down)).withColumn("seen", F.sum("n").over(down))
-    curve = curve.withColumn("p", F.col("tp") / F.col("seen")).withColumn("r", F.col("tp") / F.lit(float(n_truths)))
-    best = F.max("p").over(down.rowsBetween(0, Window.unboundedFollowing))
-    gain = F.col("r") - F.coalesce(F.lag("r").over(down), F.lit(0.0))
-    return curve.withColumn("area", best * gain).groupBy("threshold").agg(F.sum("area").alias("ap"))
+    edges = sorted(set(by_score.approxQuantile("score", [k / ranges for k in range(1, ranges)], 0.25 / ranges)))
+    cuts = F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>")
+    # Scores come from the highest down: range 0 holds the highest.
+    by_score = by_score.withColumn("range_", F.size(F.filter(cuts, lambda e: e > F.col("score"))))
+    whole = by_score.groupBy("threshold", "range_").agg(F.sum("h").alias("h_"), F.sum("n").alias("n_"))
+    earlier = Window.partitionBy("threshold").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    bases = whole.select("threshold", "range_", F.coalesce(F.sum("h_").over(earlier), F.lit(0)).alias("tp_"), F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("seen_"))
+    down = Window.partitionBy("threshold", "range_").orderBy(F.desc("score"))
+    curve = by_score.join(F.broadcast(bases), ["threshold", "range_"])
+    curve = curve.withColumn("p", (F.col("tp_") + F.sum("h").over(down)) / (F.col("seen_") + F.sum("n").over(down)))
+    later = Window.partitionBy("threshold").orderBy("range_").rowsBetween(1, Window.unboundedFollowing)
+    tops = curve.groupBy("threshold", "range_").agg(F.max("p").alias("top_")).withColumn("later_", F.coalesce(F.max("top_").over(later), F.lit(0.0)))
+    best = F.greatest(F.max("p").over(down.rowsBetween(0, Window.unboundedFollowing)), F.col("later_"))
+    area = curve.join(F.broadcast(tops.drop("top_")), ["threshold", "range_"]).withColumn("area", best * F.col("h") / F.lit(float(n_truths)))
+    return area.groupBy("threshold").agg(F.sum("area").alias("ap"))

@@ -45,9 +45,10 @@ def contact_runs(df: DataFrame, keys: list[str], order: str, distance: str, gap:
     """Ends of contact: distance, averaged over three rows, under min(20, 2 max(5th smallest, 3)); gaps shorter than ``gap`` are filled."""
     w = Window.partitionBy(*keys).orderBy(order)
     smooth = df.withColumn("d_", F.avg(distance).over(w.rowsBetween(-2, 0)))
-    ordered = F.sort_array(F.collect_list("d_").over(Window.partitionBy(*keys)))
-    smooth = smooth.withColumn("ordered_", ordered).withColumn("fifth_", F.try_element_at("ordered_", F.least(F.size("ordered_"), F.lit(5))))
-    smooth = smooth.withColumn("near_", F.col("d_") < F.least(F.lit(20.0), 2 * F.greatest(F.col("fifth_"), F.lit(3.0)))).drop("ordered_")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("d_").asc_nulls_last()))
+    fifth = F.max(F.when(F.col("rank_") <= 5, F.col("d_"))).over(Window.partitionBy(*keys))
+    smooth = smooth.withColumn("rank_", rank).withColumn("fifth_", fifth)
+    smooth = smooth.withColumn("near_", F.col("d_") < F.least(F.lit(20.0), 2 * F.greatest(F.col("fifth_"), F.lit(3.0)))).drop("rank_")
     filled = series.fill_false_runs(smooth, "near_", gap, keys, w, "touch_")
     runs = runs_of(filled, F.col("touch_"), keys, order, 1)
     return runs.withColumn("score", F.least((F.col("end") - F.col("start") + 1) / 8, F.lit(1.0)))
@@ -94,3 +95,15 @@ def boundary_states(intervals: DataFrame, states: DataFrame, part: str, start: s
     """First and last known state within each interval (ends included)."""
     inside = intervals.join(states.filter(F.col(state).isNotNull()), part).filter(F.col(order).between(F.col(start), F.col(end)))
     return inside.groupBy(part, start, end).agg(F.min_by(state, order).alias("first_state"), F.max_by(state, order).alias("last_state"))
+
+
+def state_reason(name: Column, before: Column, after: Column) -> Column:
+    return F.concat(F.lit("State changes: "), name, F.lit(" changed from "), before, F.lit(" to "), after, F.lit("\n"))
+
+
+def proximity_reason(name: Column) -> Column:
+    return F.concat(F.lit("Gripper proximity: The robot gripper was close to the "), name)
+
+
+def movement_reason(name: Column) -> Column:
+    return F.concat(F.lit("Object movements: The "), name, F.lit(" moved."))

@@ -116,3 +116,18 @@ def nearest_known(df: DataFrame, value: str, order: str, series: WindowSpec, out
     if reach is not None:
         choice = F.when(F.least(back, ahead) <= reach, choice)
     return df.withColumn(out, choice).drop("b_at_", "b_", "a_at_", "a_")
+
+
+def spaced(df: DataFrame, part: str, order: str, gap: int) -> DataFrame:
+    """(part, order): the first row of each part, and every row more than ``gap`` after the last one kept.
+
+    Rows more than ``gap`` after their own predecessor are always kept, so a part falls into chains
+    that are folded one by one.
+    """
+    w = Window.partitionBy(part).orderBy(order)
+    cut = F.when(F.col(order) - F.lag(order).over(w) > gap, 1).otherwise(0)
+    chains = df.select(part, F.col(order).cast("long").alias(order)).withColumn("cut_", cut).withColumn("chain_", F.sum("cut_").over(upto(w)))
+    listed = chains.groupBy(part, "chain_").agg(F.sort_array(F.collect_list(order)).alias("all_"))
+    none = F.expr("cast(array() as array<bigint>)")
+    kept = F.aggregate("all_", none, lambda k, x: F.when((F.size(k) == 0) | (x - F.try_element_at(k, F.lit(-1)) > gap), F.concat(k, F.array(x))).otherwise(k))
+    return listed.select(part, F.explode(kept).alias("kept_")).select(part, F.col("kept_").cast("int").alias(order))

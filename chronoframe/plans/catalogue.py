@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronoframe.plans import detection, evaluation, frames, geometry, relational, scenes, series, texts, vectors, voting  # noqa: F401
+from chronoframe.plans import detection, evaluation, frames, geometry, lines, motion, points, records, regions, relational, scenes, series, texts, vectors, voting  # noqa: F401
 from chronoframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

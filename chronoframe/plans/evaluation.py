@@ -9,8 +9,9 @@ from chronoframe.operators import metrics, predictors
 from chronoframe.plans.registry import query
 from chronoframe.plans.views import episode, FRAMES, frames
 
+#: Tolerances in frames, and temporal-IoU thresholds of the average precision.
 E = "PARTITION BY episode_id ORDER BY frame_idx"
-TOLERANCES = [0, 1, 2, 4, 8]
+TOLERANCES, OVERLAPS = [0, 1, 2, 4, 8], [0.2, 0.3, 0.4, 0.5, 0.6]
 COUNTS = f"""{FRAMES}, was AS (SELECT *, coalesce(lag(gripper <= 0) OVER ({E}), false) AS was FROM frames),
 began AS (SELECT *, last_value(CASE WHEN gripper <= 0 AND NOT was THEN frame_idx END IGNORE NULLS) OVER ({E}) AS began FROM was),
 preds AS (SELECT episode_id, frame_idx FROM began WHERE gripper > 0 AND was AND frame_idx - began > 1),
@@ -46,18 +47,18 @@ def running_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FRAMES}, l AS (SELECT episode_id, object, lag(object) OVER ({E}) AS pred FROM frames)
-SELECT episode_id, round(avg((pred = object)::INTEGER), 6) AS accuracy, count(*) AS n FROM l WHERE pred IS NOT NULL GROUP BY 1""")
+SELECT episode_id, avg((pred = object)::INTEGER) AS accuracy, count(*) AS n FROM l WHERE pred IS NOT NULL GROUP BY 1""")
 def strict_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of frames whose label the frame before predicts."""
     rows = frames(spark, sf_dir).withColumn("pred", F.lag("object").over(episode())).filter("pred is not null")
-    return rows.groupBy("episode_id").agg(F.round(F.avg((F.col("pred") == F.col("object")).cast("int")), 6).alias("accuracy"), F.count("*").alias("n"))
+    return rows.groupBy("episode_id").agg(F.avg((F.col("pred") == F.col("object")).cast("int")).alias("accuracy"), F.count("*").alias("n"))
 
 
 SEGMENTS = f"""{FRAMES}, gts AS (SELECT episode_id AS video, frame_idx AS t_start, (SELECT min(p.frame_idx) FROM frames p WHERE p.episode_id = f.episode_id AND p.object = 'purchase' AND p.frame_idx > f.frame_idx) AS t_end
   FROM frames f WHERE object = 'signup'),
 flagged AS (SELECT *, value > 40 AS flag FROM frames), changed AS (SELECT *, CASE WHEN flag = lag(flag) OVER ({E}) THEN 0 ELSE 1 END AS c FROM flagged),
 runs AS (SELECT *, sum(c) OVER ({E}) AS island FROM changed),
-preds AS (SELECT episode_id AS video, min(frame_idx) AS p_start, max(frame_idx) + 1 AS p_end, round(avg(value), 6) AS score FROM runs WHERE flag GROUP BY episode_id, island)"""
+preds AS (SELECT episode_id AS video, min(frame_idx) AS p_start, max(frame_idx) + 1 AS p_end, avg(value) AS score FROM runs WHERE flag GROUP BY episode_id, island)"""
 
 
 def segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +68,7 @@ def segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     truths = f.withColumn("t_end", later).filter("object = 'signup' and t_end is not null").select(F.col("episode_id").alias("video"), F.col("frame_idx").alias("t_start"), "t_end")
     hot = predictors.runs_of(f, F.col("value") > 40, ["episode_id"], "frame_idx", 1)
     scored = hot.join(f, "episode_id").filter(F.col("frame_idx").between(F.col("start"), F.col("end")))
-    preds = scored.groupBy(F.col("episode_id").alias("video"), F.col("start").alias("t_start"), (F.col("end") + 1).alias("t_end")).agg(F.round(F.avg("value"), 6).alias("score"))
+    preds = scored.groupBy(F.col("episode_id").alias("video"), F.col("start").alias("t_start"), (F.col("end") + 1).alias("t_end")).agg(F.avg("value").alias("score"))
     return truths, preds
 
 
@@ -83,5 +84,5 @@ def segment_tiou(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     truths, preds = segments(spark, sf_dir)
-    hits = metrics.locked_hits(truths, preds, [0.2, 0.3, 0.4, 0.5, 0.6])
+    hits = metrics.locked_hits(truths, preds, OVERLAPS)
     return metrics.average_precision(hits, truths.count()).withColumn("ap", F.round("ap", 6))

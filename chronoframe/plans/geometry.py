@@ -70,9 +70,9 @@ def best_per_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {DETS}, best AS (SELECT episode_id, g, object, max(score) AS best FROM dets GROUP BY 1, 2, 3),
 means AS (SELECT object, sum(best) / (SELECT count(*) FROM (SELECT DISTINCT episode_id, g FROM dets)) AS m FROM best GROUP BY object),
 lim AS (SELECT least(min(m) - 0.07, 0.35) AS l FROM (SELECT m FROM means ORDER BY m DESC LIMIT 5))
-SELECT object, round(m, 6) AS mean_score FROM means, lim WHERE m > l""")
+SELECT object, m AS mean_score FROM means, lim WHERE m > l""")
 def class_confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dt.class_gate(detections(spark, sf_dir), GROUP, "object", "score").withColumn("mean_score", F.round("mean_score", 6))
+    return dt.class_gate(detections(spark, sf_dir), GROUP, "object", "score")
 
 
 @query(f"""WITH {DETS}, sums AS (SELECT episode_id, object, round(sum(score) / 20, 6) AS s FROM dets GROUP BY 1, 2),
@@ -86,11 +86,6 @@ def synonyms_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.withColumn("best", best).filter("total >= best - 0.5").select("episode_id", "object", "total", F.col("rank").cast("int").alias("rank"))
 
 
-@query()
-def nms_per_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dt.nms(detections(spark, sf_dir), GROUP, "event_id", 0.2).select(*GROUP, "event_id", "score")
-
-
 SEEN = f"""{DETS}, seen AS (SELECT DISTINCT episode_id, g, object FROM dets),
 co AS (SELECT a.object AS a, b.object AS b, count(*) AS n FROM seen a JOIN seen b ON a.episode_id = b.episode_id AND a.g = b.g AND a.object <> b.object GROUP BY 1, 2)"""
 
@@ -100,10 +95,10 @@ def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dt.cooccurrence(detections(spark, sf_dir), GROUP, "object")
 
 
-@query(f"WITH {SEEN}, ap AS (SELECT object AS a, count(*) AS n_a FROM seen GROUP BY 1) SELECT co.a, b, round(n / n_a, 6) AS p FROM co JOIN ap ON co.a = ap.a")
+@query(f"WITH {SEEN}, ap AS (SELECT object AS a, count(*) AS n_a FROM seen GROUP BY 1) SELECT co.a, b, n / n_a AS p FROM co JOIN ap ON co.a = ap.a")
 def cooccurrence_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = detections(spark, sf_dir)
-    return dt.conditional(dt.cooccurrence(d, GROUP, "object"), d, GROUP, "object").withColumn("p", F.round("p", 6))
+    return dt.conditional(dt.cooccurrence(d, GROUP, "object"), d, GROUP, "object")
 
 
 H = [0.9, 0.1, 5.0, -0.05, 1.1, 3.0, 0.0001, 0.0002, 1.0]

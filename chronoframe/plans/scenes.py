@@ -79,37 +79,37 @@ def sg_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DETS}, groups AS (SELECT episode_id, count(DISTINCT g) AS n FROM dets GROUP BY 1)
-SELECT d.episode_id, object, round(count(DISTINCT g) / any_value(n), 6) AS visible FROM dets d JOIN groups USING (episode_id) GROUP BY 1, 2 HAVING count(DISTINCT g) / any_value(n) > 0.6""")
+SELECT d.episode_id, object, count(DISTINCT g) / any_value(n) AS visible FROM dets d JOIN groups USING (episode_id) GROUP BY 1, 2 HAVING count(DISTINCT g) / any_value(n) > 0.6""")
 def visible_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = detections(spark, sf_dir)
     groups = d.groupBy("episode_id").agg(F.countDistinct("g").alias("n"))
     seen = d.groupBy("episode_id", "object").agg(F.countDistinct("g").alias("m")).join(groups, "episode_id")
     share = F.col("m") / F.col("n")
-    return seen.filter(share > 0.6).select("episode_id", "object", F.round(share, 6).alias("visible"))
+    return seen.filter(share > 0.6).select("episode_id", "object", share.alias("visible"))
 
 
-@query(f"""WITH {FRAMES} SELECT episode_id, object, round(avg((k < 50)::INTEGER), 6) AS missing, round(avg(least(value / 100, 1.0)), 6) AS mean_score
+@query(f"""WITH {FRAMES} SELECT episode_id, object, avg((k < 50)::INTEGER) AS missing, avg(least(value / 100, 1.0)) AS mean_score
 FROM frames GROUP BY 1, 2 HAVING avg((k < 50)::INTEGER) <= 0.5 AND avg(least(value / 100, 1.0)) >= 0.2""")
 def clean_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An object's value counts as missing where k is under 50."""
     rows = frames(spark, sf_dir).select("episode_id", "object", F.when(F.col("k") >= 50, F.col("value")).alias("v"), F.least(F.col("value") / 100, F.lit(1.0)).alias("score"))
     kept = dt.clean_objects(rows, ["episode_id", "object"], "v", "score")
-    return kept.select("episode_id", "object", F.round("missing", 6).alias("missing"), F.round("mean_score", 6).alias("mean_score"))
+    return kept.select("episode_id", "object", "missing", "mean_score")
 
 
 @query(f"""WITH {FRAMES}, s AS (SELECT episode_id, object, avg(value) - stddev_pop(value) AS c, avg(least(value / 100, 1.0)) AS conf FROM frames GROUP BY 1, 2)
-SELECT episode_id, object, round(CASE WHEN c < 0 THEN conf - 0.25 ELSE conf END, 6) AS confidence FROM s""")
+SELECT episode_id, object, CASE WHEN c < 0 THEN conf - 0.25 ELSE conf END AS confidence FROM s""")
 def consistency_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = frames(spark, sf_dir).groupBy("episode_id", "object").agg(
         (F.avg("value") - F.stddev_pop("value")).alias("c"), F.avg(F.least(F.col("value") / 100, F.lit(1.0))).alias("conf")
     )
-    return stats.select("episode_id", "object", F.round(F.when(F.col("c") < 0, F.col("conf") - 0.25).otherwise(F.col("conf")), 6).alias("confidence"))
+    return stats.select("episode_id", "object", F.when(F.col("c") < 0, F.col("conf") - 0.25).otherwise(F.col("conf")).alias("confidence"))
 
 
 @query(f"""WITH {FRAMES}, z AS (SELECT *, coalesce((value - avg(value) OVER p) / nullif(stddev_pop(value) OVER p, 0), 0) AS z FROM frames WHERE value > 1 WINDOW p AS (PARTITION BY episode_id, object))
-SELECT episode_id, object, round(avg(value), 6) AS mean_value, count(*) AS n FROM z WHERE abs(z) <= 2.5 GROUP BY 1, 2""")
+SELECT episode_id, object, avg(value) AS mean_value, count(*) AS n FROM z WHERE abs(z) <= 2.5 GROUP BY 1, 2""")
 def trimmed_mean_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dt.trimmed_mean(frames(spark, sf_dir), ["episode_id", "object"], "value", 1.0, 2.5).withColumn("mean_value", F.round("mean_value", 6))
+    return dt.trimmed_mean(frames(spark, sf_dir), ["episode_id", "object"], "value", 1.0, 2.5)
 
 
 SHORT = f"""{FRAMES}, ends AS (SELECT episode_id, frame_idx AS s, lead(frame_idx) OVER (PARTITION BY episode_id ORDER BY frame_idx) AS e FROM frames WHERE object = 'purchase'),

@@ -52,15 +52,15 @@ def single_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.only_state(F.col("p_type"), states).alias("state"))
 
 
-@query("""WITH c AS (SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 20), chr(10) ORDER BY turn) AS t, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id, t AS transcript, n FROM c""")
+@query("""WITH c AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS t, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id, t AS transcript, n FROM c""")
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as one text each, in order of their turns."""
-    line = F.concat("role", F.lit(": "), F.substring("text", 1, 20))
+    line = F.concat("role", F.lit(": "), "text")
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))).alias("all"), F.count("*").alias("n"))
     return turns.select("conv_id", F.array_join(F.transform("all", lambda s: s.l), "\n").alias("transcript"), "n")
 
 
-@query()
+@query("""SELECT p_partkey, p_name || '|' || p_type AS tasks FROM part""")
 def repair_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truncated JSON answers made whole."""
     cut = F.concat(F.lit('{"tasks": ["'), "p_name", F.lit('", "'), "p_type")
