@@ -31,8 +31,9 @@ COSINE = 0.98
 BLOCKS, GRID = 8, 3
 #: Width of a cell in radii of a block.
 WIDTH = 3.0
-#: Vectors that a cell may hold before it is cut by further dimensions of its block, and rows of one side in a comparison.
-SPLIT, TILE = 512, 1024
+#: Vectors that a cell may hold before it is cut by further dimensions of its block: where looking through a cell costs
+#: more than dealing its vectors again. The same number of block's rows, and TILE vectors, are one side of a comparison.
+SPLIT, TILE = 4096, 1024
 #: Added to squared budgets: far above the rounding of double (single) precision, far below the distances that matter.
 SLACK, COARSE = 1e-9, 1e-6
 SEED = 20240601
@@ -155,18 +156,19 @@ def _near_in_block(cosine: float) -> Callable:
 
     def run(group: dict[str, np.ndarray], cross: bool) -> Iterator[tuple]:
         x = np.frombuffer(b"".join(group["numbers"]), np.float32).reshape(len(group["id"]), -1)
-        meet, square = _meet(group["home"], int(group["level"][0])), (x * x).sum(axis=1)
+        home, all_ = group["home"], (2 << int(group["level"][0])) - 1
         budget = budgets(int(group["width"][0]), cosine)[int(group["block"][0])] + COARSE
+        # Squared distances as one product: (x, |x|^2, 1) with (-2 y, 1, |y|^2).
+        square, one = (x * x).sum(axis=1, keepdims=True), np.ones((len(x), 1), np.float32)
+        first, second = np.hstack((x, square, one)), np.hstack((-2 * x, one, square))
         sides = (np.flatnonzero(group["left"]), np.flatnonzero(~group["left"])) if cross else (np.arange(len(x)),) * 2
         some = np.zeros(len(x), bool)
         for at in range(0, len(sides[0]), 256):
             rows = sides[0][at : at + 256]
-            hit = square[rows][:, None] + square[sides[1]][None, :] - 2 * (x[rows] @ x[sides[1]].T) <= budget
-            hit &= meet(rows, sides[1])
-            if not cross:
-                hit[np.arange(len(rows)), rows] = False
-            some[rows] |= hit.any(axis=1)
-            some[sides[1]] |= hit.any(axis=0)
+            a, b = np.nonzero(first[rows] @ second[sides[1]].T <= budget)
+            a, b = rows[a], sides[1][b]
+            pair = (a != b) & ((home[a] | home[b]) == all_)
+            some[a[pair]] = some[b[pair]] = True
         some = np.flatnonzero(some)
         if len(some):
             yield tuple(group[c][some] for c in ("id", "h1", "h2", "level", "home", "block"))
@@ -246,7 +248,7 @@ def candidates(classes: DataFrame, cosine: float, scratch: Scratch) -> DataFrame
         sizes = places.groupBy(*cell).agg(F.count("*").alias("n"), F.max("home").alias("h"), F.max("width").alias("width")).filter(f"n > 1 and h >= {1 << level}")
         sizes = scratch.keep(sizes.withColumn("whole", (F.col("n") <= SPLIT) | (F.lit(level) >= deepest)), f"sizes-{level}")
         total = places.count()
-        met = tiled(places, sizes.filter("whole"), cell, "id", TILE, total)
+        met = tiled(places, sizes.filter("whole"), cell, "id", SPLIT, total)
         payload = {"numbers": "binary", "home": "int", "level": "int", "width": "int", "block": "int", "h1": "long", "h2": "long"}
         near = grouped(met, [*cell, "tile", "other"], payload, _near_in_block(cosine), "id long, h1 long, h2 long, level long, home long, block long")
         near = scratch.keep(near.distinct(), f"near-{level}")

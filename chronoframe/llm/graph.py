@@ -18,20 +18,16 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     with the logarithm of the longest chain.
     """
 
-    def minima(rows: DataFrame, label: str) -> DataFrame:
-        return scratch.keep(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{name}-{label}")
-
     now = scratch.keep(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0"
     )
     turn, total = 0, now.count()
     while total:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = minima(both, "least").select("u", F.least("u", "m").alias("m"), "n")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = hot_aware_join(both, least, "u", "n", 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.keep(large, f"{name}-large")
-        least = minima(large, "least")
-        joined = hot_aware_join(large, least, "u", "n", total)
+        joined = hot_aware_join(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", "n", total)
         small = (
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .filter("u <> v")
@@ -39,10 +35,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
             .distinct()
         )
         small = scratch.keep(small, f"{name}-{turn + 1}")
-        # Stars only: no node is both a leaf and a centre, and no leaf has two centres.
-        state = small.agg(F.count("*").alias("n"), F.countDistinct("u").alias("leaves")).first()
-        done = state.n == state.leaves and small.select(F.col("u").alias("w")).join(small.select(F.col("v").alias("w")).distinct(), "w", "left_semi").isEmpty()
-        scratch.drop(f"{name}-{turn}", f"{name}-large", f"{name}-least")
+        # Stars only: no leaf has two centres, and none is a centre.
+        ends = small.select(F.explode(F.array(F.struct(F.col("u").alias("w"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("w"), F.lit(0).alias("leaf")))).alias("e"))
+        roles = ends.groupBy("e.w").agg(F.sum("e.leaf").alias("as_leaf"), F.min("e.leaf").alias("only_leaf"))
+        state = roles.agg(F.sum("as_leaf").alias("n"), F.max("as_leaf").alias("most"), F.max((F.col("as_leaf") > F.col("only_leaf"))).alias("both")).first()
+        done = state.most == 1 and not state.both
+        scratch.drop(f"{name}-{turn}", f"{name}-large")
         now, turn, total = small, turn + 1, state.n
         if done:
             break

@@ -6,7 +6,7 @@
    meet where they share a prefix of a tree. Matching begins at full depth; prefixes are then shortened by one value at
    a time, for each text until the chance to meet the least similar text that may still link with it reaches RECALL
    (``depth_for``: a text of few shingles can have no link right at the threshold and ends deeper). A prefix whose
-   texts deeper levels have all brought together is not matched again, and a text
+   texts the full depth has all brought together is not matched again, and a text
    without company at the shortest prefix is done with at once. Texts that meet, and whose whole signatures don't
    rule the threshold out, are candidates.
 3. Components of the candidates are verified exactly: all pairs in a component are compared by their
@@ -216,7 +216,8 @@ def forest_components(standing: DataFrame, threshold: float, scratch: Scratch) -
     # The tries: their leaves in order, so that the texts of any prefix, of whatever depth, lie together.
     tries = hot_aware_join(leaves, company, ["tree", "prefix"], "n", total).select("tree", "stretch", "node", "last")
     tries = scratch.keep(tries.repartitionByRange("tree", "stretch", "node").sortWithinPartitions("tree", "stretch", "node"), "tries")
-    united = scratch.spark.createDataFrame([], "node long, component long")
+    nothing = scratch.spark.createDataFrame([], "node long, component long")
+    united, found = nothing, nothing.toDF("a", "b")
     for depth in range(DEPTH, final - 1, -1):
         now = tries.filter(F.col("last") <= depth).select("tree", _prefix(depth), "node")
         known = now.join(united, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -229,9 +230,10 @@ def forest_components(standing: DataFrame, threshold: float, scratch: Scratch) -
         crowded = scratch.keep(apart.select("b.tree", "b.prefix", "n"), "crowded")
         met = tiled(now, crowded, ["tree", "prefix"], "node", TILE, total).join(standing.select("node", "sign"), "node").withColumnRenamed("node", "id")
         edges = scratch.keep(grouped(met, ["tree", "prefix", "tile", "other"], {"sign": "binary"}, _candidates, "a long, b long"), f"edges-{depth}")
-        if not edges.isEmpty():
-            stars = united.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            united = scratch.keep(connected_components(edges.unionByName(stars), scratch, f"rounds-{depth}"), f"united-{depth}")
+        found = found.unionByName(edges)
+        if depth in (DEPTH, final):
+            united = connected_components(found, scratch, f"rounds-{depth}")
+            found = united.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return united
 
 

@@ -289,6 +289,7 @@ def brute_vectors(rows: list[tuple]) -> dict:
 @pytest.mark.parametrize("tile", [1024, 3])
 def test_embedding_dedup_equals_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(embeddedup, "TILE", tile)
+    monkeypatch.setattr(embeddedup, "SPLIT", 4 * tile)
     rows = vectors()
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
     found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddedup.near_duplicates(table).collect()}
