@@ -1,7 +1,8 @@
 """Toxicity scores from a learned lexicon, matched with misspellings, and the context of the matches.
 
 The lexicon is learned: words and word beginnings that occur in toxic training texts after many
-different words, and hardly in others; that rule alone bounds it. Texts that are copies of each other repeat their neighbours, so that
+different words, and hardly in others, so much more often there that chance would not have it for a tenth of one
+candidate; that rule alone bounds it. Texts that are copies of each other repeat their neighbours, so that
 words of copied texts don't get in. Matches between quotation marks count apart from the others,
 and so do the closest crowd of matches and their share of the words; a logistic model weighs them all.
 """
@@ -26,6 +27,8 @@ from chronoframe.llm.common import code_points, kinds, sampled, text_slices, wor
 SAMPLE_PER_LABEL = 3000
 #: A lexicon entry is in this many toxic sample texts at least and in this share of the others at most, of its share of the toxic ones.
 LEAST_TEXTS, MOST_CLEAN = 3, 0.02
+#: False entries expected of all candidates, at most, if words fell into toxic and other texts by chance.
+CHANCE = 0.1
 #: Of an entry's toxic texts at least this share have different words before it.
 LEAST_VARIETY = 0.5
 #: Lengths of stems.
@@ -165,6 +168,15 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield sent(rows)
 
 
+def surprise(n: int, innocent: int, toxic: int, clean: int) -> float:
+    """Chernoff's bound, as a negative logarithm, on the chance that n or more of a term's n + innocent texts are toxic ones."""
+    share, expected = n / (n + innocent), toxic / (toxic + clean)
+    if share <= expected:
+        return 0.0
+    rest = innocent * np.log((1 - share) / (1 - expected)) if innocent else 0.0
+    return float(n * np.log(share / expected) + rest)
+
+
 def learn_lexicon(sample: DataFrame) -> list[Entry]:
     """Entries from (label, text) of the bounded sample; see the module's text for the rule.
 
@@ -183,7 +195,11 @@ def learn_lexicon(sample: DataFrame) -> list[Entry]:
     kept: list[Entry] = []
     words: list[tuple[str, int]] = []  # terms kept, sorted, with their texts
     stems: set[str] = set()
-    for r in sorted(found.join(others, ["term", "stem"], "left").filter(rule).collect(), key=lambda r: (-r.n, -len(r.term), r.stem, r.term)):
+    candidates = found.join(others, ["term", "stem"], "left").filter(rule).collect()
+    least = np.log(max(1, len(candidates)) / CHANCE)
+    for r in sorted(candidates, key=lambda r: (-r.n, -len(r.term), r.stem, r.term)):
+        if surprise(r.n, r.innocent or 0, toxic, clean) < least:
+            continue
         entry = Entry(r.term, r.stem)
         over = [r.term[:k] for k in STEMS if r.term[:k] in stems]
         if any(entry.edits <= Entry(t, True).edits for t in over):

@@ -124,14 +124,23 @@ def test_lexicon_has_no_cap_and_short_terms(spark):
     terms = ["zug", "qax"] + sorted({name(k, 5 + k % 5) for k in range(300)})
     calm = [name(5000 + k, 7) for k in range(400)]
     say = lambda: " ".join(calm[int(i)] for i in rng.integers(0, 400, 6))
-    toxic = [f"{say()} {t} {say()}" for t in terms for _ in range(4)]
-    docs = [(i, t, 1) for i, t in enumerate(toxic)] + [(10_000 + i, f"{say()} {say()}", 0) for i in range(1200)]
+    toxic = [f"{say()} {t} {say()}" for t in terms for _ in range(15)]
+    docs = [(i, t, 1) for i, t in enumerate(toxic)] + [(10_000 + i, f"{say()} {say()}", 0) for i in range(4500)]
     table = spark.createDataFrame(docs, "doc_id long, text string, toxic int").repartition(4)
     entries = {e.text for e in toxicity.learn_lexicon(table.selectExpr("toxic AS label", "text"))}
     missed = [t for t in terms if t not in entries and not any(t[:k] in entries for k in toxicity.STEMS)]
     assert len(entries) > 256 and {"zug", "qax"} <= entries and len(missed) <= 3
 
 
+def test_surprise_is_the_bound_on_chance():
+    assert np.isclose(toxicity.surprise(5, 0, 30, 270), -5 * np.log(0.1))
+    assert toxicity.surprise(3, 40, 30, 270) == 0
+    from math import comb
+
+    tail = sum(comb(12, k) * 0.1**k * 0.9 ** (12 - k) for k in range(6, 13))
+    assert np.exp(-toxicity.surprise(6, 6, 30, 270)) >= tail
+
+
 def plain_toxicity(model: toxicity.ToxicityModel, text: str) -> float:
     """A text's score by one word after the other, without quotations."""
     words = re.findall(r"[^\W_]+(?:[@$*]+[^\W_]+)*", text.lower())
