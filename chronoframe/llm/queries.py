@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bytebpe, embeddedup, langid, linededup, ngramjoin, ogg, packing, quality, tokenstore, toxicity
+from chronoframe.llm import bytebpe, embeddedup, langid, linededup, merkle, ngramjoin, ogg, packing, quality, tokenstore, toxicity
 from chronoframe.llm.common import Scratch, in_fold
 
 
@@ -92,6 +92,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, machine).select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, folded again from a copy that was tampered with."""
+    return merkle.tamper_check(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
@@ -103,10 +108,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": linededup.ORACLE,
     "op5_embedding_dedup": embeddedup.ORACLE,
     "op9_ngram_join": ngramjoin.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
