@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bytebpe, embeddedup, langid, linededup, merkle, ngramjoin, ogg, packing, quality, tokenstore, toxicity
+from chronoframe.llm import bytebpe, embeddedup, kmeans, langid, linededup, merkle, ngramjoin, ogg, packing, quality, tokenstore, toxicity
 from chronoframe.llm.common import Scratch, in_fold
 
 
@@ -97,6 +97,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(_table(spark, sf_dir, "documents"))
 
 
+def op13_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector."""
+    return kmeans.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_exponion_clusters": op13_exponion_clusters,
 }
 
 ORACLES: dict[str, str] = {
@@ -116,4 +122,5 @@ ORACLES: dict[str, str] = {
     "op5_embedding_dedup": embeddedup.ORACLE,
     "op9_ngram_join": ngramjoin.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op13_exponion_clusters": kmeans.ORACLE,
 }
