@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import bytebpe, embeddedup, kmeans, langid, linededup, merkle, ngramjoin, ogg, packing, quality, tokenstore, toxicity
+from chronoframe.llm import bytebpe, embeddedup, kmeans, langid, linededup, merkle, ngramjoin, ogg, packing, quality, tokenstore, toxicity, windows
 from chronoframe.llm.common import Scratch, in_fold
 
 
@@ -97,6 +97,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(_table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a window of an earlier one repeats."""
+    cut = windows.dedup_windows(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op13_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster, distance and inertia of every vector."""
     return kmeans.cluster(_table(spark, sf_dir, "embeddings"))
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_exponion_clusters": op13_exponion_clusters,
 }
 
