@@ -116,14 +116,26 @@ def _stepped(state: DataFrame, c: Centroids) -> DataFrame:
     return state.mapInArrow(run, schema)
 
 
-def _changes(state: DataFrame, dims: int, first: bool) -> dict[int, tuple[int, list[int]]]:
-    """By cluster: vectors gained less vectors lost, and their sum."""
-    gained = F.struct(F.col("own").alias("j"), F.lit(1).alias("sign"))
-    lost = F.struct(F.col("was").alias("j"), F.lit(-1).alias("sign"))
-    rows, ends = (state, [gained]) if first else (state.filter("own <> was"), [gained, lost])
-    rows = rows.select("v", F.explode(F.array(*ends)).alias("x"))
-    sums = [F.sum(F.get("v", F.lit(i)).cast("long") * F.col("x.sign")).alias(f"s{i}") for i in range(dims)]
-    return {r[0]: (r[1], list(r[2:])) for r in rows.groupBy("x.j").agg(F.sum("x.sign"), *sums).collect()}
+def _changes(state: DataFrame, k: int, dims: int, first: bool) -> dict[int, tuple[int, list[int]]]:
+    """By cluster: vectors gained less vectors lost, and their sum. A task adds up what it reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(k, np.int64), np.zeros((k, dims), np.int64)
+        for batch in batches:
+            v = batch.column("v").flatten().to_numpy().reshape(len(batch), -1).astype(np.int64)
+            for column, sign in (("own", 1),) if first else (("own", 1), ("was", -1)):
+                j = batch.column(column).to_numpy()
+                np.add.at(n, j, sign)
+                np.add.at(total, j, sign * v)
+        some = np.flatnonzero(n.astype(bool) | total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(total[some].tolist(), pa.list_(pa.int64()))], names=["j", "n", "total"])
+
+    rows = state if first else state.filter("own <> was")
+    parts = rows.select("own", "was", "v").mapInArrow(run, "j int, n long, total array<long>").select("j", "n", F.posexplode("total").alias("i", "x"))
+    out: dict[int, tuple[int, list[int]]] = {}
+    for r in parts.groupBy("j", "i").agg(F.sum("n"), F.sum("x")).collect():
+        out.setdefault(r[0], (r[2], [0] * dims))[1][r[1]] = r[3]
+    return out
 
 
 def cluster(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", k: int = 8, dims: int = 64, rounds: int = 10, seed: str = "3") -> DataFrame:
@@ -151,7 +163,7 @@ def cluster(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding
             scratch.drop(f"round-{turn - 1}")
             if turn > rounds:
                 break
-            for j, (n, change) in _changes(state, dims, turn == 1).items():
+            for j, (n, change) in _changes(state, len(seeds), dims, turn == 1).items():
                 counts[j] += n
                 sums[j] = [a + b for a, b in zip(sums[j], change, strict=True)]
             moved = np.array([[s // n for s in total] if n else old for n, total, old in zip(counts, sums, c.at.tolist(), strict=True)], np.int64)
