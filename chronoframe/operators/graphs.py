@@ -105,6 +105,18 @@ def same_nodes(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.select(*keys).exceptAll(right.select(*keys)).unionByName(right.select(*keys).exceptAll(left.select(*keys)))
 
 
+def node_changes(nodes: DataFrame, part: str, order: str, name: str) -> DataFrame:
+    """(part, order, name): nodes that one of two neighbouring graphs of a part has and the other lacks, under the earlier graph's number."""
+    rows = nodes.select(part, order, name).distinct()
+    along = Window.partitionBy(part).orderBy(order)
+    graphs = rows.select(part, order).distinct().select(part, order, F.lag(order).over(along).alias("before_"), F.lead(order).over(along).alias("next_"))
+    own = Window.partitionBy(part, name).orderBy(order)
+    seen = rows.join(graphs, [part, order]).withColumns({"had_": F.lag(order).over(own), "has_": F.lead(order).over(own)})
+    gone = F.when(F.col("next_").isNotNull() & ~F.col("next_").eqNullSafe(F.col("has_")), F.col(order))
+    come = F.when(F.col("before_").isNotNull() & ~F.col("before_").eqNullSafe(F.col("had_")), F.col("before_"))
+    return seen.select(part, F.explode(F.array_compact(F.array(gone, come))).alias(order), name)
+
+
 def sentence(start: Column, relation: Column, end: Column) -> Column:
     """"a is inside b", "a left of b"."""
     return F.concat_ws(" ", start, F.when(relation.isin("inside", "touching"), F.concat(F.lit("is "), relation)).otherwise(relation), end)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions.boxes import direction_words, norm
 from chronoframe.operators import series
+from chronoframe.operators.intervals import overlap_join
 
 
 def averaged_nodes(nodes: DataFrame, part: list[str], order: str, name: str, values: list[str]) -> DataFrame:
@@ -116,7 +117,7 @@ def carried_nodes(nodes: DataFrame, part: str, order: str, name: str, values: li
 
 def interval_moves(intervals: DataFrame, places: DataFrame, part: str, order: str, name: str, x: str, y: str) -> DataFrame:
     """(part, start, end, name, dx, dy): how far each object seen in an interval is at its last sight there from its first."""
-    seen = intervals.join(places, part).filter(F.col(order).between(F.col("start"), F.col("end")))
+    seen = overlap_join(intervals, places.select(part, order, name, x, y), [part], ("start", "end"), (order, order))
     ends = seen.groupBy(part, "start", "end", name).agg(*((F.max_by(c, order) - F.min_by(c, order)).alias(a) for c, a in ((x, "dx"), (y, "dy"))))
     return ends.select(part, "start", "end", name, "dx", "dy")
 

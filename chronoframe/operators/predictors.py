@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from chronoframe.operators import series
+from chronoframe.operators.intervals import overlap_join
 
 
 def gripper_releases(df: DataFrame, part: str, order: str, state: str, dwell: int, offset: int = 0) -> DataFrame:
@@ -93,7 +94,7 @@ def state_changes(df: DataFrame, w: WindowSpec, keys: list[str], order: str, sta
 
 def boundary_states(intervals: DataFrame, states: DataFrame, part: str, start: str, end: str, order: str, state: str) -> DataFrame:
     """First and last known state within each interval (ends included)."""
-    inside = intervals.join(states.filter(F.col(state).isNotNull()), part).filter(F.col(order).between(F.col(start), F.col(end)))
+    inside = overlap_join(intervals, states.filter(F.col(state).isNotNull()), [part], (start, end), (order, order))
     return inside.groupBy(part, start, end).agg(F.min_by(state, order).alias("first_state"), F.max_by(state, order).alias("last_state"))
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoframe.operators import metrics, predictors
+from chronoframe.operators import intervals, metrics, predictors
 from chronoframe.plans.registry import query
 from chronoframe.plans.views import episode, FRAMES, frames
 
-#: Tolerances in frames, and temporal-IoU thresholds of the average precision.
 E = "PARTITION BY episode_id ORDER BY frame_idx"
+#: Tolerances in frames, and temporal-IoU thresholds of the average precision.
 TOLERANCES, OVERLAPS = [0, 1, 2, 4, 8], [0.2, 0.3, 0.4, 0.5, 0.6]
 COUNTS = f"""{FRAMES}, was AS (SELECT *, coalesce(lag(gripper <= 0) OVER ({E}), false) AS was FROM frames),
 began AS (SELECT *, last_value(CASE WHEN gripper <= 0 AND NOT was THEN frame_idx END IGNORE NULLS) OVER ({E}) AS began FROM was),
@@ -67,7 +67,7 @@ def segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     later = F.min(F.when(F.col("object") == "purchase", F.col("frame_idx"))).over(episode().rowsBetween(1, Window.unboundedFollowing))
     truths = f.withColumn("t_end", later).filter("object = 'signup' and t_end is not null").select(F.col("episode_id").alias("video"), F.col("frame_idx").alias("t_start"), "t_end")
     hot = predictors.runs_of(f, F.col("value") > 40, ["episode_id"], "frame_idx", 1)
-    scored = hot.join(f, "episode_id").filter(F.col("frame_idx").between(F.col("start"), F.col("end")))
+    scored = intervals.overlap_join(hot, f.select("episode_id", "frame_idx", "value"), ["episode_id"], ("start", "end"), ("frame_idx", "frame_idx"))
     preds = scored.groupBy(F.col("episode_id").alias("video"), F.col("start").alias("t_start"), (F.col("end") + 1).alias("t_end")).agg(F.avg("value").alias("score"))
     return truths, preds
 
@@ -76,7 +76,8 @@ def segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 SELECT video, t_start, t_end, p_start, p_end, round(both_ / (t_end - t_start + p_end - p_start - both_), 6) AS tiou FROM (SELECT * EXCLUDE ("both"), "both" AS both_ FROM o) WHERE both_ > 0""".replace("AS both FROM", 'AS "both" FROM'))
 def segment_tiou(spark: SparkSession, sf_dir: str) -> DataFrame:
     truths, preds = segments(spark, sf_dir)
-    pairs = truths.join(preds.select("video", F.col("t_start").alias("p_start"), F.col("t_end").alias("p_end")), "video")
+    preds = preds.select("video", F.col("t_start").alias("p_start"), F.col("t_end").alias("p_end"))
+    pairs = intervals.overlap_join(truths, preds, ["video"], ("t_start", "t_end"), ("p_start", "p_end"))
     pairs = pairs.withColumn("tiou", metrics.segment_iou(F.col("t_start"), F.col("t_end"), F.col("p_start"), F.col("p_end")))
     return pairs.filter("tiou > 0").withColumn("tiou", F.round("tiou", 6))
 

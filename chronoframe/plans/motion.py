@@ -216,9 +216,11 @@ def relation_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select(*GROUP, F.array_join(F.transform("all", lambda a: a.w), " ").alias("text"))
 
 
-@query(f"""WITH {NODES}, e AS (SELECT episode_id, object FROM nodes WHERE g = 0), f AS (SELECT episode_id, object FROM nodes WHERE g = 1)
-SELECT * FROM (SELECT * FROM e EXCEPT ALL SELECT * FROM f) UNION ALL SELECT * FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM e)""")
+@query(f"""WITH {NODES}, u AS (SELECT DISTINCT episode_id, g, object FROM nodes), graphs AS (SELECT DISTINCT episode_id, g FROM u),
+pairs AS (SELECT episode_id, g, lead(g) OVER (PARTITION BY episode_id ORDER BY g) AS next FROM graphs),
+e AS (SELECT p.episode_id, p.g, object FROM pairs p JOIN u ON u.episode_id = p.episode_id AND u.g = p.g WHERE next IS NOT NULL),
+f AS (SELECT p.episode_id, p.g, object FROM pairs p JOIN u ON u.episode_id = p.episode_id AND u.g = p.next)
+SELECT * FROM (SELECT * FROM e EXCEPT SELECT * FROM f) UNION ALL SELECT * FROM (SELECT * FROM f EXCEPT SELECT * FROM e)""")
 def sg_node_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that only one of an episode's first two graphs has."""
-    n = nodes(spark, sf_dir)
-    return graphs.same_nodes(n.filter("g = 0"), n.filter("g = 1"), ["episode_id", "object"])
+    """Nodes that only one of two neighbouring graphs of an episode has, under the earlier graph's number."""
+    return graphs.node_changes(nodes(spark, sf_dir), "episode_id", "g", "object")

@@ -50,10 +50,10 @@ def aligned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("episode_id", F.array_join(F.transform(both, lambda p: F.concat(p["0"], F.lit(":"), p["1"].cast("string"))), ",").alias("pairs"))
 
 
-@query("""SELECT n_name, coalesce(lower(r_name) || ',' || lower(n_name), lower(n_name)) AS names, n_name NOT IN ('CHINA', 'FRANCE', 'nation_3') AS wanted FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3""")
+@query("""SELECT n_name, coalesce(lower(r_name) || ',' || lower(n_name), lower(n_name)) AS names, n_name NOT IN ('CHINA', 'FRANCE', 'nation_3') AS wanted FROM nation LEFT JOIN region ON n_regionkey = r_regionkey""")
 def synonym_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names with their synonyms, where there are any, and whether a name is on the list of those left out."""
-    synonyms = table(spark, sf_dir, "region").filter("r_regionkey < 3").select(F.col("r_regionkey").alias("n_regionkey"), F.lower("r_name").alias("synonym"))
+    synonyms = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.lower("r_name").alias("synonym"))
     found = table(spark, sf_dir, "nation").join(synonyms, "n_regionkey", "left")
     return found.select("n_name", F.concat_ws(",", "synonym", F.lower("n_name")).alias("names"), (~F.col("n_name").isin("CHINA", "FRANCE", "nation_3")).alias("wanted"))
 

@@ -26,17 +26,17 @@ def star_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("r_name", "n_name").agg(F.countDistinct("o_orderkey").alias("n_orders"), F.round(F.sum("net"), 2).alias("revenue"))
 
 
-@query("""SELECT coalesce(l_returnflag, 'all') AS flag, coalesce(l_linestatus, 'all') AS status, grouping(l_returnflag, l_linestatus)::INTEGER AS level, count(*) AS n, round(sum(l_quantity), 2) AS quantity
+@query("""SELECT coalesce(l_returnflag, 'all') AS flag, coalesce(l_linestatus, 'all') AS status, grouping(l_returnflag, l_linestatus)::INTEGER AS level, count(*) AS n, sum(l_quantity::DECIMAL(18, 2))::DOUBLE AS quantity
 FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
 def star_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     cube = table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus")
-    found = cube.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    found = cube.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("quantity"))
     return found.select(F.coalesce("l_returnflag", F.lit("all")).alias("flag"), F.coalesce("l_linestatus", F.lit("all")).alias("status"), "level", "n", "quantity")
 
 
-@query("""SELECT coalesce(c_mktsegment, 'all') AS segment, coalesce(c_nationkey, -1)::INTEGER AS nation, count(*) AS n, round(avg(c_acctbal), 4) AS balance FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)""")
+@query("""SELECT coalesce(c_mktsegment, 'all') AS segment, coalesce(c_nationkey, -1)::INTEGER AS nation, count(*) AS n, sum(c_acctbal::DECIMAL(18, 2))::DOUBLE / count(c_acctbal) AS balance FROM customer GROUP BY ROLLUP (c_mktsegment, c_nationkey)""")
 def star_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "customer").rollup("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("balance"))
+    found = table(spark, sf_dir, "customer").rollup("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"), (F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double") / F.count("c_acctbal")).alias("balance"))
     return found.select(F.coalesce("c_mktsegment", F.lit("all")).alias("segment"), F.coalesce("c_nationkey", F.lit(-1)).alias("nation"), "n", "balance")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions.boxes import direction_words
 from chronoframe.operators import detections as dt
-from chronoframe.operators import graphs
+from chronoframe.operators import graphs, intervals
 from chronoframe.plans.geometry import DETS, GROUP, detections
 from chronoframe.plans.registry import query
 from chronoframe.plans.views import episode, FRAMES, frames
@@ -124,7 +124,7 @@ def short_horizon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The object of each interval with the best sum of movement, size, relation and state evidence."""
     f = frames(spark, sf_dir)
     ends = f.filter("object = 'purchase'").select("episode_id", F.col("frame_idx").alias("start"), F.lead("frame_idx").over(episode()).alias("end")).filter("end is not null")
-    inside = ends.join(f, "episode_id").filter(F.col("frame_idx").between(F.col("start"), F.col("end")))
+    inside = intervals.overlap_join(ends, f.select("episode_id", "frame_idx", "object", "value", "k"), ["episode_id"], ("start", "end"), ("frame_idx", "frame_idx"))
     facts = inside.groupBy("episode_id", "start", "end", "object").agg(
         F.abs(F.max_by("value", "frame_idx") - F.min_by("value", "frame_idx")).alias("move"), F.count("*").alias("n"), F.max("k").alias("size")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions.text import padded_labels, vocabulary_entry
 from chronoframe.operators.grids import not_done
+from chronoframe.operators.intervals import overlap_join
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -70,10 +71,9 @@ def paraphrased(predictions: DataFrame, paraphrases: DataFrame, label: str = "la
 
 
 def segments_of(frames: DataFrame, segments: DataFrame, part: str, order: str) -> DataFrame:
-    """Frames with the columns of the segment [start, end) that they lie in; an interval join within the episode."""
-    hit = (F.col(f"f.{order}") >= F.col("s.start")) & (F.col(f"f.{order}") < F.col("s.end"))
-    more = [F.col(f"s.{c}") for c in segments.columns if c != part]
-    return frames.alias("f").join(segments.alias("s"), (F.col(f"f.{part}") == F.col(f"s.{part}")) & hit).select("f.*", *more)
+    """Frames with the columns of the segment [start, end) that they lie in, once for each segment."""
+    met = overlap_join(frames, segments, [part], (order, order), ("start", "end"))
+    return met.filter(F.col(order) < F.col("end")).select(*frames.columns, *(c for c in segments.columns if c != part))
 
 
 def save_labels(predictions: DataFrame, path: str, part: str, n: int = 3) -> None:
@@ -81,9 +81,10 @@ def save_labels(predictions: DataFrame, path: str, part: str, n: int = 3) -> Non
     predictions.withColumn("labels", padded_labels(F.col("labels"), n)).write.mode("overwrite").parquet(path)
 
 
-def save_segments(frames: DataFrame, segments: DataFrame, part: str, order: str, path: str) -> None:
-    """The frames of all segments, in files by episode."""
-    segments_of(frames, segments, part, order).repartition(part).sortWithinPartitions(part, "start", order).write.mode("overwrite").partitionBy(part).parquet(path)
+def save_segments(frames: DataFrame, segments: DataFrame, part: str, order: str, path: str, folders: int = 64) -> None:
+    """The frames of all segments, in ``folders`` folders by a hash of the episode, each in order: their number doesn't grow with the episodes."""
+    rows = segments_of(frames, segments, part, order).withColumn("folder", F.pmod(F.xxhash64(part), F.lit(folders)).cast("int"))
+    rows.repartition(folders, "folder").sortWithinPartitions("folder", part, "start", order).write.mode("overwrite").partitionBy("folder").parquet(path)
 
 
 def remaining(todo: DataFrame, spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
