@@ -6,20 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.functions.boxes import direction_words, norm
+from chronoframe.operators.hulls import hulls, inside
+from chronoframe.operators.neighbours import nearest_gaps
 
 AXES = ("x", "y", "z")
 
 
 def cloud_gaps(points: DataFrame, group: list[str], name: str) -> DataFrame:
-    """(group, a, b, mean_gap, gap) for each ordered pair of a group's clouds: from each point of either to the nearest of the other, mean and least.
-
-    A group is a frame's points, which are few; larger clouds are thinned before.
-    """
-    other = points.select(*group, F.col(name).alias("b"), *(F.col(c).alias(f"r_{c}") for c in AXES))
-    own = points.withColumnRenamed(name, "a").withColumn("id_", F.monotonically_increasing_id())
-    gap = norm(*(F.col(c) - F.col(f"r_{c}") for c in AXES))
-    nearest = own.join(other, group).filter("a <> b").groupBy(*group, "a", "b", "id_").agg(F.min(gap).alias("gap"))
-    one_way = nearest.groupBy(*group, "a", "b").agg(F.sum("gap").alias("sum_"), F.count("*").alias("n_"), F.min("gap").alias("gap"))
+    """(group, a, b, mean_gap, gap) for each ordered pair of a group's clouds: from each point of either to the nearest of the other, mean and least."""
+    nearest = nearest_gaps(points, group, name)
+    one_way = nearest.groupBy(*group, "a", "b").agg(F.sum(F.col("gap") * F.col("w")).alias("sum_"), F.sum("w").alias("n_"), F.min("gap").alias("gap"))
     back = one_way.select(*group, F.col("a").alias("b"), F.col("b").alias("a"), F.col("sum_").alias("r_sum"), F.col("n_").alias("r_n"))
     both = one_way.join(back, [*group, "a", "b"])
     return both.select(*group, "a", "b", ((F.col("sum_") + F.col("r_sum")) / (F.col("n_") + F.col("r_n"))).alias("mean_gap"), "gap")
@@ -31,28 +27,32 @@ def shape(points: DataFrame, group: list[str], name: str) -> DataFrame:
     return points.groupBy(*group, name).agg(*found)
 
 
-def shares(points: DataFrame, shapes: DataFrame, group: list[str], name: str) -> DataFrame:
-    """(group, a, b, inside, over, above): shares of b's points in the box of a, in its extent on x and z, and above its mean height."""
-    other = shapes.withColumnRenamed(name, "a")
+def shares(points: DataFrame, shapes: DataFrame, faces: DataFrame, group: list[str], name: str) -> DataFrame:
+    """(group, a, b, inside, over, above): shares of b's points in the hull of a, in its extent on x and z (its edges left out), and above its mean height.
+
+    ``faces`` are the clouds' hulls; a flat cloud has none, and nothing is inside it.
+    """
+    other = shapes.join(faces, [*group, name], "left").withColumnRenamed(name, "a")
     pairs = points.withColumnRenamed(name, "b").join(other, group).filter("a <> b")
-    within = lambda axes: [(F.col(c) >= F.col(f"low_{c}")) & (F.col(c) <= F.col(f"high_{c}")) for c in axes]
-    x, y, z = within(AXES)
+    x, z = ((F.col(c) > F.col(f"low_{c}")) & (F.col(c) < F.col(f"high_{c}")) for c in ("x", "z"))
     share = lambda c: F.avg(c.cast("int"))
-    return pairs.groupBy(*group, "a", "b").agg(share(x & y & z).alias("inside"), share(x & z).alias("over"), share(F.col("y") > F.col("mean_y")).alias("above"))
+    held = inside(F.col("faces"), [F.col(c) for c in AXES])
+    return pairs.groupBy(*group, "a", "b").agg(share(held).alias("inside"), share(x & z).alias("over"), share(F.col("y") > F.col("mean_y")).alias("above"))
 
 
 def relation_3d(contact: float, close: float) -> Column:
     """The relation of b to a from gap, shares and the unit vector (nx, ny, nz) from a to b; null where they are apart.
 
-    In contact: ``inside`` with more than 30 % of b in a, else ``on top of`` with more than half of b over a's ground and
-    above its middle. Close: height beyond 0.85, replaced by side beyond 0.85, replaced by front beyond 0.9, else the words of
-    what exceeds 0.62, else ``close to``.
+    In contact: ``inside`` with more than 30 % of b in a, else with more than half of b over a's ground ``on top of`` where more
+    than half of b is above a's middle, or ``under`` where more than half of a is above b's: then a is on top of b. Close: height
+    beyond 0.85, replaced by side beyond 0.85, replaced by front beyond 0.9, else the words of what exceeds 0.62, else ``close to``.
     """
     nx, ny, nz = F.col("nx"), F.col("ny"), F.col("nz")
     words = direction_words([(ny, "above", "below"), (nx, "right of", "left of"), (nz, "in front of", "behind of")], 0.62, " and ", "close to")
     return (
         F.when((F.col("gap") < contact) & (F.col("inside") > 0.3), "inside")
         .when((F.col("gap") < contact) & (F.col("over") > 0.5) & (F.col("above") > 0.5), "on top of")
+        .when((F.col("gap") < contact) & (F.col("over") > 0.5) & (F.col("below") > 0.5), "under")
         .when(F.col("gap") >= close, None)
         .when(nz > 0.9, "in front of")
         .when(nx > 0.85, "right of")
@@ -64,13 +64,25 @@ def relation_3d(contact: float, close: float) -> Column:
 
 
 def edges_3d(points: DataFrame, group: list[str], name: str, contact: float, close: float) -> DataFrame:
-    """(group, start, end, edge_type, dist): one edge at most for each ordered pair of a group's clouds, from b (start) to a."""
+    """(group, start, end, edge_type, dist): one edge at most for each ordered pair of a group's clouds.
+
+    Each ordered pair tells the edge from b (start) to a; where it is ``under``, that from a to b instead, which goes before
+    what the pair of b and a tells.
+    """
     shapes = shape(points, group, name)
     a = shapes.select(*group, F.col(name).alias("a"), *(F.col(f"mean_{c}").alias(f"a_{c}") for c in AXES))
     b = shapes.select(*group, F.col(name).alias("b"), *(F.col(f"mean_{c}").alias(f"b_{c}") for c in AXES))
-    found = cloud_gaps(points, group, name).join(shares(points, shapes, group, name), [*group, "a", "b"]).join(a, [*group, "a"]).join(b, [*group, "b"])
+    pair = [*group, "a", "b"]
+    told = shares(points, shapes, hulls(points, [*group, name]), group, name)
+    below = told.select(*group, F.col("a").alias("b"), F.col("b").alias("a"), F.col("above").alias("below"))
+    found = cloud_gaps(points, group, name).join(told, pair).join(below, pair).join(a, [*group, "a"]).join(b, [*group, "b"])
     way = [F.col(f"b_{c}") - F.col(f"a_{c}") for c in AXES]
     size = norm(*way)
     found = found.withColumns({n: F.try_divide(w, size) for n, w in zip(("nx", "ny", "nz"), way, strict=True)})
-    typed = found.select(*group, F.col("b").alias("start"), F.col("a").alias("end"), relation_3d(contact, close).alias("edge_type"), F.col("gap").alias("dist"))
-    return typed.filter("edge_type is not null")
+    found = found.withColumn("edge_type", relation_3d(contact, close)).filter("edge_type is not null")
+    under = F.col("edge_type") == "under"
+    edges = found.select(
+        *group, F.when(under, F.col("a")).otherwise(F.col("b")).alias("start"), F.when(under, F.col("b")).otherwise(F.col("a")).alias("end"),
+        F.when(under, "on top of").otherwise(F.col("edge_type")).alias("edge_type"), F.col("gap").alias("dist"), under.alias("under"),
+    )
+    return edges.groupBy(*group, "start", "end").agg(F.max_by("edge_type", "under").alias("edge_type"), F.max("dist").alias("dist"))

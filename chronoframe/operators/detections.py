@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions.boxes import area, box, inside_share, iou
+from chronoframe.operators.hulls import extreme_points
 
 
 def best_of(df: DataFrame, keys: list[str], score: str, *ties: str) -> DataFrame:
@@ -136,9 +137,12 @@ def flattest(lines: DataFrame, group: list[str], cluster: str) -> DataFrame:
 
 def extents(points: DataFrame, group: list[str], id_: str) -> DataFrame:
     """(group, extent, n): the greatest distance between two points (x, y) of a group, and their number."""
-    other = points.select(*group, F.col("x").alias("r_x"), F.col("y").alias("r_y"))
+    # The two points that are farthest apart are corners of the group's hull.
+    corners = extreme_points(points, group, ("x", "y"))
+    other = corners.select(*group, F.col("x").alias("r_x"), F.col("y").alias("r_y"))
     gap = F.sqrt((F.col("x") - F.col("r_x")) ** 2 + (F.col("y") - F.col("r_y")) ** 2)
-    return points.join(other, group).groupBy(*group).agg(F.max(gap).alias("extent"), F.countDistinct(id_).alias("n"))
+    counts = points.groupBy(*group).agg(F.countDistinct(id_).alias("n"))
+    return corners.join(other, group).groupBy(*group).agg(F.max(gap).alias("extent")).join(counts, group)
 
 
 def contained(df: DataFrame, group: list[str], id_: str, share: float = 0.8) -> DataFrame:

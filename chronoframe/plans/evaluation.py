@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoframe.operators import intervals, metrics, predictors
+from chronoframe.operators import intervals, metrics, predictors, series
 from chronoframe.plans.registry import query
 from chronoframe.plans.views import episode, FRAMES, frames
 
@@ -66,9 +66,9 @@ def segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     f = frames(spark, sf_dir)
     later = F.min(F.when(F.col("object") == "purchase", F.col("frame_idx"))).over(episode().rowsBetween(1, Window.unboundedFollowing))
     truths = f.withColumn("t_end", later).filter("object = 'signup' and t_end is not null").select(F.col("episode_id").alias("video"), F.col("frame_idx").alias("t_start"), "t_end")
-    hot = predictors.runs_of(f, F.col("value") > 40, ["episode_id"], "frame_idx", 1)
-    scored = intervals.overlap_join(hot, f.select("episode_id", "frame_idx", "value"), ["episode_id"], ("start", "end"), ("frame_idx", "frame_idx"))
-    preds = scored.groupBy(F.col("episode_id").alias("video"), F.col("start").alias("t_start"), (F.col("end") + 1).alias("t_end")).agg(F.avg("value").alias("score"))
+    f = f.withColumn("run", F.sum((F.col("value") <= 40).cast("int")).over(series.upto(episode())))
+    runs = f.filter("value > 40").groupBy(F.col("episode_id").alias("video"), "run")
+    preds = runs.agg(F.min("frame_idx").alias("t_start"), (F.max("frame_idx") + 1).alias("t_end"), F.avg("value").alias("score")).drop("run")
     return truths, preds
 
 

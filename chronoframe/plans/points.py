@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions import points as pt
 from chronoframe.functions.boxes import camera_point, plane_foot
-from chronoframe.operators import clouds
+from chronoframe.operators import clouds, hulls
 from chronoframe.operators import detections as dt
 from chronoframe.plans.geometry import GROUP
 from chronoframe.plans.registry import query, tidy
@@ -59,6 +59,19 @@ def screen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.select("event_id", *(F.round(F.col("m")[k], 6).alias(n) for k, n in enumerate(("ax", "ay", "az"))), F.round(sx, 6).alias("sx"), F.round(sy, 6).alias("sy"))
 
 
+def hull_sql(rows: str, keys: str) -> str:
+    """CTE ``faces`` of whole points (keys, object, event_id, hx, hy, hz) in ``rows``: all planes through three points of a cloud that has points on one side only."""
+    on = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in (*keys.split(", "), "object"))
+    own = ", ".join(f"p.{k}" for k in (*keys.split(", "), "object"))
+    return f"""planes AS (SELECT {own}, p.hx, p.hy, p.hz, (q.hy - p.hy) * (r.hz - p.hz) - (q.hz - p.hz) * (r.hy - p.hy) AS nx, (q.hz - p.hz) * (r.hx - p.hx) - (q.hx - p.hx) * (r.hz - p.hz) AS ny,
+  (q.hx - p.hx) * (r.hy - p.hy) - (q.hy - p.hy) * (r.hx - p.hx) AS nz FROM {rows} p JOIN {rows} q ON {on("p", "q")} AND p.event_id < q.event_id JOIN {rows} r ON {on("p", "r")} AND q.event_id < r.event_id),
+sides AS (SELECT {own}, p.hx, p.hy, p.hz, nx, ny, nz, min(nx * (s.hx - p.hx) + ny * (s.hy - p.hy) + nz * (s.hz - p.hz)) AS lo, max(nx * (s.hx - p.hx) + ny * (s.hy - p.hy) + nz * (s.hz - p.hz)) AS hi
+  FROM planes p JOIN {rows} s ON {on("p", "s")} GROUP BY ALL),
+faces AS (SELECT *, CASE WHEN hi <= 0 THEN 1 ELSE -1 END AS sign FROM sides WHERE lo < hi AND (lo >= 0 OR hi <= 0))"""
+
+
+WHOLE = f"{SPACE}, whole AS (SELECT *, (x * 100)::DECIMAL(9, 0)::BIGINT AS hx, (y * 100)::DECIMAL(9, 0)::BIGINT AS hy, (z * 10000)::DECIMAL(12, 0)::BIGINT AS hz FROM space)"
+HELD = """held AS (SELECT q.event_id, f.object AS a, bool_and(sign * (nx * (q.hx - f.hx) + ny * (q.hy - f.hy) + nz * (q.hz - f.hz)) <= 0) AS held FROM whole q JOIN faces f ON {on} AND f.object <> q.object GROUP BY 1, 2)"""
 GAPS = """gaps AS (SELECT p.episode_id, p.g, p.object AS a, q.object AS b, p.event_id, min(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2)) AS gap
   FROM space p JOIN space q ON p.episode_id = q.episode_id AND p.g = q.g AND p.object <> q.object GROUP BY 1, 2, 3, 4, 5),
 way AS (SELECT episode_id, g, a, b, sum(gap) AS s, count(*) AS n, min(gap) AS gap FROM gaps GROUP BY 1, 2, 3, 4),
@@ -70,19 +83,36 @@ def cloud_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clouds.cloud_gaps(space(spark, sf_dir), GROUP, "object").withColumns({c: F.round(c, 6) for c in ("mean_gap", "gap")})
 
 
-@query(f"""WITH {SPACE}, {GAPS}, shape AS (SELECT episode_id, g, object, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM space GROUP BY 1, 2, 3),
-shares AS (SELECT q.episode_id, q.g, s.object AS a, q.object AS b, avg((q.x BETWEEN lx AND hx AND q.y BETWEEN ly AND hy AND q.z BETWEEN lz AND hz)::INTEGER) AS inside,
-  avg((q.x BETWEEN lx AND hx AND q.z BETWEEN lz AND hz)::INTEGER) AS over_, avg((q.y > my)::INTEGER) AS above FROM space q JOIN shape s ON q.episode_id = s.episode_id AND q.g = s.g AND q.object <> s.object GROUP BY 1, 2, 3, 4),
-v AS (SELECT c.*, inside, over_, above, t.mx - s.mx AS vx, t.my - s.my AS vy, t.mz - s.mz AS vz FROM clouds c JOIN shares h ON c.episode_id = h.episode_id AND c.g = h.g AND c.a = h.a AND c.b = h.b
+@query(f"""WITH {WHOLE}, {hull_sql("whole", "episode_id")}, {HELD.format(on="q.episode_id = f.episode_id")},
+names AS (SELECT DISTINCT episode_id, object FROM whole), n AS (SELECT episode_id, object, count(*) AS n FROM whole GROUP BY 1, 2)
+SELECT n.episode_id, m.object AS a, n.object AS b, coalesce(sum(held::INTEGER), 0)::BIGINT AS n_inside, any_value(n.n) AS n FROM n JOIN names m ON n.episode_id = m.episode_id AND n.object <> m.object
+JOIN whole w ON w.episode_id = n.episode_id AND w.object = n.object LEFT JOIN held h ON h.event_id = w.event_id AND h.a = m.object GROUP BY 1, 2, 3""")
+def hull_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many points of each object's cloud of an episode lie in the convex hull of each other one's; none in that of a flat cloud."""
+    s = space(spark, sf_dir)
+    names = s.select("episode_id", F.col("object").alias("a")).distinct()
+    faces = hulls.hulls(s, ["episode_id", "object"]).withColumnRenamed("object", "a")
+    pairs = s.withColumnRenamed("object", "b").join(names.join(faces, ["episode_id", "a"], "left"), "episode_id").filter("a <> b")
+    held = hulls.inside(F.col("faces"), [F.col(c) for c in clouds.AXES])
+    return pairs.groupBy("episode_id", "a", "b").agg(F.sum(held.cast("long")).alias("n_inside"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {WHOLE}, {hull_sql("whole", "episode_id, g")}, {HELD.format(on="q.episode_id = f.episode_id AND q.g = f.g")}, {GAPS}, shape AS (SELECT episode_id, g, object, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, min(x) AS lx, max(x) AS hx, min(z) AS lz, max(z) AS hz FROM space GROUP BY 1, 2, 3),
+shares AS (SELECT q.episode_id, q.g, s.object AS a, q.object AS b, avg(coalesce(held, false)::INTEGER) AS inside,
+  avg((q.x > lx AND q.x < hx AND q.z > lz AND q.z < hz)::INTEGER) AS over_, avg((q.y > my)::INTEGER) AS above FROM space q JOIN shape s ON q.episode_id = s.episode_id AND q.g = s.g AND q.object <> s.object
+  LEFT JOIN held h ON h.event_id = q.event_id AND h.a = s.object GROUP BY 1, 2, 3, 4),
+v AS (SELECT c.*, h.inside, h.over_, h.above, u.above AS below, t.mx - s.mx AS vx, t.my - s.my AS vy, t.mz - s.mz AS vz FROM clouds c JOIN shares h ON c.episode_id = h.episode_id AND c.g = h.g AND c.a = h.a AND c.b = h.b
+  JOIN shares u ON c.episode_id = u.episode_id AND c.g = u.g AND c.a = u.b AND c.b = u.a
   JOIN shape s ON s.episode_id = c.episode_id AND s.g = c.g AND s.object = c.a JOIN shape t ON t.episode_id = c.episode_id AND t.g = c.g AND t.object = c.b),
 n AS (SELECT *, vx / nullif(sqrt(vx * vx + vy * vy + vz * vz), 0) AS nx, vy / nullif(sqrt(vx * vx + vy * vy + vz * vz), 0) AS ny, vz / nullif(sqrt(vx * vx + vy * vy + vz * vz), 0) AS nz FROM v),
-typed AS (SELECT *, CASE WHEN gap < 0.2 AND inside > 0.3 THEN 'inside' WHEN gap < 0.2 AND over_ > 0.5 AND above > 0.5 THEN 'on top of' WHEN gap >= 0.5 THEN NULL WHEN nz > 0.9 THEN 'in front of'
+typed AS (SELECT *, CASE WHEN gap < 0.2 AND inside > 0.3 THEN 'inside' WHEN gap < 0.2 AND over_ > 0.5 AND above > 0.5 THEN 'on top of' WHEN gap < 0.2 AND over_ > 0.5 AND below > 0.5 THEN 'under' WHEN gap >= 0.5 THEN NULL WHEN nz > 0.9 THEN 'in front of'
   WHEN nx > 0.85 THEN 'right of' WHEN nx < -0.85 THEN 'left of' WHEN ny > 0.85 THEN 'above' WHEN ny < -0.85 THEN 'below'
   ELSE coalesce(nullif(concat_ws(' and ', CASE WHEN ny > 0.62 THEN 'above' WHEN ny < -0.62 THEN 'below' END, CASE WHEN nx > 0.62 THEN 'right of' WHEN nx < -0.62 THEN 'left of' END,
-    CASE WHEN nz > 0.62 THEN 'in front of' WHEN nz < -0.62 THEN 'behind of' END), ''), 'close to') END AS edge_type FROM n)
-SELECT episode_id, g, b AS "start", a AS "end", edge_type, round(gap, 6) AS dist FROM typed WHERE edge_type IS NOT NULL""")
+    CASE WHEN nz > 0.62 THEN 'in front of' WHEN nz < -0.62 THEN 'behind of' END), ''), 'close to') END AS edge_type FROM n),
+told AS (SELECT episode_id, g, CASE WHEN edge_type = 'under' THEN a ELSE b END AS "start", CASE WHEN edge_type = 'under' THEN b ELSE a END AS "end", edge_type, gap FROM typed WHERE edge_type IS NOT NULL)
+SELECT episode_id, g, "start", "end", CASE WHEN bool_or(edge_type = 'under') THEN 'on top of' ELSE any_value(edge_type) END AS edge_type, round(max(gap), 6) AS dist FROM told GROUP BY 1, 2, 3, 4""")
 def sg_edges_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relations between the clouds of a group's objects; a's box stands for its hull."""
+    """Relations between the clouds of a group's objects."""
     return clouds.edges_3d(space(spark, sf_dir), GROUP, "object", 0.2, 0.5).withColumn("dist", F.round("dist", 6))
 
 

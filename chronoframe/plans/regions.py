@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chronoframe.functions import boxes as bx
 from chronoframe.functions import masks
 from chronoframe.operators import detections as dt
-from chronoframe.operators import nearest
+from chronoframe.operators import nearest, neighbours
 from chronoframe.plans.geometry import AREA, DETS, encoded, GROUP, IOU, RLE, detections
 from chronoframe.plans.registry import query, tidy
 from chronoframe.plans.views import BOXES, FRAMES, boxes, frames
@@ -96,9 +96,7 @@ def mask_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mask_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least distance between the pixels of two objects."""
     p = pixels(spark, sf_dir)
-    pairs = p.withColumnRenamed("object", "a").join(p.select("episode_id", F.col("object").alias("b"), F.col("x").alias("r_x"), F.col("y").alias("r_y")), "episode_id").filter("a < b")
-    gap = F.sqrt((F.col("x") - F.col("r_x")) ** 2 + (F.col("y") - F.col("r_y")) ** 2)
-    return pairs.groupBy("episode_id", "a", "b").agg(F.round(F.min(gap), 6).alias("gap"))
+    return neighbours.least_gaps(p, ["episode_id"], "object", ("x", "y")).filter("a < b").withColumn("gap", F.round("gap", 6))
 
 
 @query(f"""WITH {PIXELS}, d AS (SELECT *, row_number() OVER (PARTITION BY episode_id, object ORDER BY (x - 50) ** 2 + (y - 50) ** 2, x, y) AS r FROM pixels) SELECT episode_id, object, x, y FROM d WHERE r = 1""")
