@@ -1,14 +1,14 @@
-"""Queries on votes over frames: consensus of segments, and the objects that votes keep alive."""
+"""Queries on votes over frames, key frames by goals, and movements by position."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.operators import buffered
+from chronoframe.operators import buffered, jumps, keyframes
 from chronoframe.operators import consensus as cs
 from chronoframe.plans.registry import query
-from chronoframe.plans.views import BOXES, FRAMES, boxes, frames
+from chronoframe.plans.views import BOXES, FRAMES, boxes, frames, table
 
 EVERY, VOTES, LEAST, MISSED = 8, 5, 2, 1
 
@@ -47,3 +47,42 @@ def segment_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     kept = cs.consensus(found, ["episode_id", "window"], "f", "event_id", "score", 4)
     return kept.withColumn("score", F.round("score", 6))
+
+
+@query()
+def key_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key frames of episodes of a hundred neighbouring embeddings, by goals."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("episode"), (F.col("vec_id") % 100).alias("frame"), "embedding")
+    return keyframes.key_frames(e, "episode", "frame", "embedding").withColumn("distance", F.round("distance", 6))
+
+
+TRACK = f"""{BOXES}, t AS (SELECT episode_id, object, frame_idx, row_number() OVER w - 1 AS i, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, (x2 - x1) * (y2 - y1) AS area, x1, y1, x2, y2 FROM boxes WINDOW w AS (PARTITION BY episode_id, object ORDER BY frame_idx)),
+d AS (SELECT *, coalesce(abs(lead(area) OVER w / area - 1) > {jumps.CHANGE}, false) OR area < {jumps.SHARE} * avg(area) OVER (PARTITION BY episode_id, object) AS doubtful FROM t WINDOW w AS (PARTITION BY episode_id, object ORDER BY i)),
+k AS (SELECT *, last_value(CASE WHEN NOT doubtful THEN i END IGNORE NULLS) OVER (PARTITION BY episode_id, object ORDER BY i) AS bi, first_value(CASE WHEN NOT doubtful THEN i END IGNORE NULLS) OVER (PARTITION BY episode_id, object ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ai FROM d),
+p AS (SELECT k.*, coalesce(b.x, a.x) + (coalesce(a.x, b.x) - coalesce(b.x, a.x)) * coalesce((k.i - bi) / nullif(ai - bi, 0), 0) AS px, coalesce(b.y, a.y) + (coalesce(a.y, b.y) - coalesce(b.y, a.y)) * coalesce((k.i - bi) / nullif(ai - bi, 0), 0) AS py
+  FROM k LEFT JOIN t b ON b.episode_id = k.episode_id AND b.object = k.object AND b.i = k.bi LEFT JOIN t a ON a.episode_id = k.episode_id AND a.object = k.object AND a.i = k.ai),
+s AS (SELECT *, coalesce((lag(px) OVER w + px + lead(px) OVER w) / 3, px) AS sx, coalesce((lag(py) OVER w + py + lead(py) OVER w) / 3, py) AS sy FROM p WINDOW w AS (PARTITION BY episode_id, object ORDER BY i)),
+g AS (SELECT *, CASE WHEN sqrt((lead(sx) OVER w - sx) ** 2 + (lead(sy) OVER w - sy) ** 2) < {jumps.REST * 100} THEN i END AS still FROM s WHERE sx IS NOT NULL WINDOW w AS (PARTITION BY episode_id, object ORDER BY i)),
+r AS (SELECT *, coalesce(first_value(still IGNORE NULLS) OVER (PARTITION BY episode_id, object ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(i) OVER (PARTITION BY episode_id, object)) AS rest FROM g),
+both_ AS (SELECT a.*, b.sx AS rx, b.sy AS ry, b.frame_idx AS rest_frame, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS both, b.area AS r_area FROM r a JOIN r b ON a.episode_id = b.episode_id AND a.object = b.object AND b.i = a.rest),
+walk AS (SELECT episode_id, object, i, sx AS lx, sy AS ly, -1::BIGINT AS until, NULL::INTEGER AS found FROM both_ WHERE i = 0
+  UNION ALL SELECT episode_id, object, i, CASE WHEN jump THEN rx ELSE lx END, CASE WHEN jump THEN ry ELSE ly END, CASE WHEN jump AND NOT same THEN rest ELSE until END, CASE WHEN jump AND NOT same THEN rest_frame END
+  FROM (SELECT b.*, w.lx, w.ly, w.until, w.until < b.i AND (b.sx - w.lx) ** 2 + (b.sy - w.ly) ** 2 > ({jumps.JUMP} * 100.0) ** 2 AS jump, coalesce(b.both / nullif(b.area + b.r_area - b.both, 0) > {jumps.SAME}, false) AS same
+    FROM walk w JOIN both_ b ON b.episode_id = w.episode_id AND b.object = w.object AND b.i = w.i + 1)),
+found AS (SELECT episode_id, object, found AS frame_idx FROM walk WHERE found IS NOT NULL),
+flow AS (SELECT episode_id, object, frame_idx, score FROM boxes WHERE value > 100)"""
+
+
+@query(f"""WITH RECURSIVE {TRACK}, c AS (SELECT f.*, o.frame_idx AS fl, o.score, min(o.frame_idx - f.frame_idx) OVER (PARTITION BY f.episode_id, f.object, f.frame_idx) AS gap,
+  row_number() OVER (PARTITION BY f.episode_id, f.object, f.frame_idx ORDER BY abs(o.frame_idx - f.frame_idx), o.frame_idx) AS r FROM found f LEFT JOIN flow o ON o.episode_id = f.episode_id AND o.object = f.object),
+n AS (SELECT episode_id, object, frame_idx, CASE WHEN gap < {jumps.NEAR} THEN fl END AS fl, score FROM c WHERE r = 1)
+SELECT episode_id, object, coalesce((fl + frame_idx) // 2, frame_idx)::BIGINT AS frame_idx, round(CASE WHEN fl IS NULL THEN {jumps.ALONE} ELSE score + {jumps.MATCHED} * row_number() OVER (PARTITION BY episode_id, object, fl ORDER BY frame_idx) END, 6) AS score FROM n
+UNION ALL SELECT episode_id, object, frame_idx::BIGINT, round(score, 6) FROM flow f WHERE NOT EXISTS (SELECT 1 FROM found o WHERE o.episode_id = f.episode_id AND o.object = f.object)""")
+def position_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Movement keystates of each object from its boxes' places, merged with those of large values."""
+    b = boxes(spark, sf_dir)
+    x, y = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    track = b.select("episode_id", "object", "frame_idx", x.alias("x"), y.alias("y"), ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), "x1", "y1", "x2", "y2")
+    found = jumps.position_jumps(track, ["episode_id", "object"], "frame_idx", "x", "y", "area", F.lit(100.0))
+    flow = b.filter("value > 100").select("episode_id", "object", "frame_idx", "score")
+    return jumps.merged_keystates(found, flow, ["episode_id", "object"], "frame_idx", "score").withColumn("score", F.round("score", 6))
