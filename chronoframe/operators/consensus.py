@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import sys
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,14 +103,17 @@ def consensus(segments: DataFrame, group: list[str], frame: str, id_: str, score
         F.count("*").alias("n_matching"), ((F.first(score) + F.sum(f"r_{score}")) / (1 + F.count("*"))).alias("mean_"),
     )
 
-    def run(window: pd.DataFrame) -> pd.DataFrame:
-        window = window.sort_values(id_, ignore_index=True)
-        place = {i: k for k, i in enumerate(window[id_])}
-        adjacent = [sum(1 << place[o] for o in set(others)) for others in window.others]
-        chosen = heaviest(window.weight.tolist(), adjacent)
-        return window[[bool(chosen >> k & 1) for k in range(len(window))]].drop(columns=["weight", "others"])
-
-    schema = nodes.drop("weight", "others").schema
+    def run(window: list) -> list[bool]:
+        place = {node["id"]: k for k, node in enumerate(window)}
+        chosen = heaviest([node["weight"] for node in window], [sum(1 << place[o] for o in set(node["others"])) for node in window])
+        return [bool(chosen >> k & 1) for k in range(len(window))]
+
+    # As many tasks as the session shuffles to: the work is in Python, however few bytes it is.
+    tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    node = F.struct(F.col(id_).alias("id"), "weight", "others", "n_matching", "mean_")
+    windows = nodes.repartition(tasks, *group).groupBy(*group).agg(F.sort_array(F.collect_list(node)).alias("nodes_"))
+    chosen = F.udf(run, "array<boolean>", useArrow=True)("nodes_")
+    kept = windows.withColumn("chosen_", chosen).select(*group, F.explode(F.arrays_zip("nodes_", "chosen_")).alias("k_")).filter("k_.chosen_")
+    kept = kept.select(*group, F.col("k_.nodes_.id").alias(id_), F.col("k_.nodes_.n_matching").alias("n_matching"), F.col("k_.nodes_.mean_").alias("mean_"))
     lacks = F.greatest(F.lit(0.0), (F.lit(0.5) - F.col("n_matching") / (frames - 1)) * 0.2)
-    kept = nodes.groupBy(*group).applyInPandas(run, schema)
     return kept.select(*group, id_, "n_matching", (F.col("mean_") - lacks).alias("score"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,23 +50,25 @@ def position_jumps(track: DataFrame, keys: list[str], order: str, x: str, y: str
     last = F.max("row_").over(Window.partitionBy(*keys))
     rows = rows.withColumn("rest_", F.coalesce(F.first("still_", ignorenulls=True).over(series.onward(along)), last))
     ends = rows.select(*keys, F.col("row_").alias("rest_"), F.col(order).alias("order_"), F.col("x_").alias("rx_"), F.col("y_").alias("ry_"), *(F.col(c).alias(f"r_{c}") for c in ("x1", "y1", "x2", "y2")))
-    walk = rows.join(ends, [*keys, "rest_"]).select(*keys, "row_", "rest_", "order_", "x_", "y_", "rx_", "ry_", (JUMP * F.col("scale_")).alias("far_"), F.coalesce(iou(box(), box("r_")) > SAME, F.lit(False)).alias("same_"))
+    same = F.coalesce(iou(box(), box("r_")) > SAME, F.lit(False))
+    place = F.struct("row_", "rest_", "x_", "y_", "rx_", "ry_", (JUMP * F.col("scale_")).alias("far_"), same.alias("same_"), "order_")
 
-    def run(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("row_", ignore_index=True)
-        px, py, rx, ry, far, same, rest, own = (track[c].to_numpy() for c in ("x_", "y_", "rx_", "ry_", "far_", "same_", "rest_", "row_"))
-        at_x, at_y, until, found = px[0], py[0], -1, []
-        for i in range(len(track)):
-            if own[i] <= until or (px[i] - at_x) ** 2 + (py[i] - at_y) ** 2 <= far[i] ** 2:
+    def run(track: list) -> list[int]:
+        at_x, at_y, until, found = track[0]["x_"], track[0]["y_"], -1, []
+        for k, p in enumerate(track):
+            if p["row_"] <= until or (p["x_"] - at_x) ** 2 + (p["y_"] - at_y) ** 2 <= p["far_"] ** 2:
                 continue
-            at_x, at_y = rx[i], ry[i]
-            if not same[i]:
-                found.append(i)
-                until = rest[i]
-        return track.iloc[found][[*keys, "order_"]]
+            at_x, at_y = p["rx_"], p["ry_"]
+            if not p["same_"]:
+                found.append(k)
+                until = p["rest_"]
+        return found
 
-    schema = walk.select(*keys, "order_").schema
-    return walk.groupBy(*keys).applyInPandas(run, schema).withColumnRenamed("order_", order)
+    # As many tasks as the session shuffles to: the work is in Python, however few bytes it is.
+    tasks = int(track.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    walks = rows.join(ends, [*keys, "rest_"]).repartition(tasks, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(place)).alias("walk_"))
+    found = walks.withColumn("at_", F.explode(F.udf(run, "array<int>", useArrow=True)("walk_")))
+    return found.select(*keys, F.get("walk_", F.col("at_")).getField("order_").alias(order))
 
 
 def merged_keystates(found: DataFrame, flow: DataFrame, keys: list[str], order: str, score: str) -> DataFrame:

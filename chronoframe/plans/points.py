@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions import points as pt
 from chronoframe.functions.boxes import camera_point, plane_foot
-from chronoframe.operators import clouds, hulls
+from chronoframe.operators import clouds, hulls, robust
 from chronoframe.operators import detections as dt
 from chronoframe.plans.geometry import GROUP
 from chronoframe.plans.registry import query, tidy
@@ -131,3 +131,18 @@ def trimmed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of each cell of a transform over its estimates, without those more than 1.2 deviations away."""
     c = frames(spark, sf_dir).select("episode_id", (F.col("k") % 4).alias("cell"), "value")
     return dt.trimmed_mean(c, ["episode_id", "cell"], "value", float("-inf"), 1.2).withColumn("mean_value", tidy("mean_value"))
+
+
+@query()
+def floor_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plane that most points of an episode agree with, and the upright frame on it where it is a floor. Draws go by a hash that SQL lacks."""
+    found = robust.robust_planes(space(spark, sf_dir), ["episode_id"], 0.05).withColumn("rotation", robust.upright_rotation())
+    cells = [F.round(F.get(F.get("rotation", F.lit(i)), F.lit(j)), 6).alias(f"r{i}{j}") for i in range(3) for j in range(3)]
+    return found.select("episode_id", *(F.round(c, 6).alias(c) for c in ("nx", "ny", "nz", "d")), "inliers", "n", *cells)
+
+
+@query()
+def trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line that most values of an object agree with over an episode's frames. Draws go by a hash that SQL lacks."""
+    f = frames(spark, sf_dir).select("episode_id", "object", "frame_idx", "value")
+    return robust.robust_lines(f, ["episode_id", "object"], "frame_idx", "value").select("episode_id", "object", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "inliers", "n")
