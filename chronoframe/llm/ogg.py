@@ -24,6 +24,8 @@ FRAME = 192
 #: lacing values of a page: packets go on from one page to the next.
 PACKET, STREAMS, RATE, SEGMENTS = 20 * FRAME, 2, 8000, 40
 HEADER = struct.Struct("<4sBBqIIIB")
+#: The header packet of a logical stream: magic, logical streams, samples a second, samples of all streams.
+TOLD = struct.Struct("<4sBIQ")
 CONTINUED, FIRST, LAST = 1, 2, 4
 
 _REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
@@ -61,7 +63,7 @@ def write(payload: bytes, packet: int = PACKET, streams: int = STREAMS, rate: in
     firsts: list[bytes] = []
     for s, packets in enumerate(dealt):
         serial, number, granule, pages = s + 1, 0, 0, []
-        head = b"PCM8" + struct.pack("<BIQ", streams, rate, len(payload))
+        head = TOLD.pack(b"PCM8", streams, rate, len(payload))
         firsts.append(page(serial, 0, FIRST | (0 if packets else LAST), 0, lace(len(head)), head))
         lacing, body, flags, done = b"", bytearray(), 0, -1
         for k, data in enumerate(packets):
@@ -86,9 +88,11 @@ def write(payload: bytes, packet: int = PACKET, streams: int = STREAMS, rate: in
 
 @dataclass
 class LogicalStream:
-    """packets: (bytes, seconds at its end or None if its page does not say) after the header packet."""
+    """packets: (bytes, seconds at its end or None if its page does not say) after the header packet, which tells streams, rate and samples."""
 
-    header: bytes = b""
+    streams: int = 0
+    rate: int = 0
+    samples: int = 0
     packets: list[tuple[bytes, float | None]] = field(default_factory=list)
     granule: int = 0
     pages: int = 0
@@ -99,11 +103,27 @@ class DamagedStream(ValueError):
     pass
 
 
-def read(media: bytes, rate: int = RATE) -> dict[int, LogicalStream]:
-    """Logical streams by serial number. DamagedStream if a page is cut off, out of order or fails its checksum."""
+def _told(header: bytes, serial: int) -> tuple[int, int, int]:
+    """Streams, rate and samples that a header packet tells."""
+    if len(header) != TOLD.size or header[:4] != b"PCM8":
+        raise DamagedStream(f"stream {serial} has no header of 8-bit samples")
+    _, streams, rate, samples = TOLD.unpack(header)
+    if not streams or not rate:
+        raise DamagedStream(f"the header of stream {serial} tells no streams or no rate")
+    return streams, rate, samples
+
+
+def read(media: bytes | None) -> dict[int, LogicalStream]:
+    """Logical streams by serial number; timestamps go by the rate of their header.
+
+    DamagedStream if there is nothing to read, a page is cut off, out of order or fails its checksum, headers differ, or the streams
+    or samples are not as many as they tell.
+    """
     streams: dict[int, LogicalStream] = {}
     open_packets: dict[int, bytearray] = {}
     at = 0
+    if not media:
+        raise DamagedStream("no stream")
     while at < len(media):
         if len(media) < at + HEADER.size:
             raise DamagedStream(f"page cut off at byte {at}")
@@ -132,12 +152,13 @@ def read(media: bytes, rate: int = RATE) -> dict[int, LogicalStream]:
         if not stream.pages:
             if len(complete) != 1:
                 raise DamagedStream(f"stream {serial} has no header packet")
-            stream.header, complete = complete[0], complete[1:]
+            stream.streams, stream.rate, stream.samples = _told(complete[0], serial)
+            complete = complete[1:]
         # The granule position is that of the page's last complete packet: count back from it.
         stamp = granule
         stamped: list[tuple[bytes, float | None]] = []
         for data in reversed(complete):
-            stamped.append((data, stamp / rate if granule >= 0 else None))
+            stamped.append((data, stamp / stream.rate if granule >= 0 else None))
             stamp -= len(data)
         stream.packets += reversed(stamped)
         stream.granule = max(stream.granule, granule)
@@ -145,6 +166,15 @@ def read(media: bytes, rate: int = RATE) -> dict[int, LogicalStream]:
         at = end
     if open_packets or not all(s.ended for s in streams.values()):
         raise DamagedStream("a stream has no end")
+    headers = {(s.streams, s.rate, s.samples) for s in streams.values()}
+    if len(headers) > 1:
+        raise DamagedStream("headers differ")
+    [(number, _, samples)] = headers
+    if len(streams) != number:
+        raise DamagedStream(f"{len(streams)} of {number} streams")
+    held = sum(len(data) for s in streams.values() for data, _ in s.packets)
+    if held != samples:
+        raise DamagedStream(f"{held} of {samples} samples")
     return streams
 
 
@@ -190,7 +220,7 @@ def store(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def load(stored: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, media, payload, feature, damage) of every stored stream.
 
-    A stream that can't be read keeps its row: payload and feature are null and ``damage`` says why.
+    A stream that can't be read, a null or empty one too, keeps its row: payload and feature are null and ``damage`` says why.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +230,7 @@ def load(stored: DataFrame, key: str = "doc_id") -> DataFrame:
                 payloads, features, damage = [], [], []
                 for media in part.column("media").to_pylist():
                     try:
-                        streams = read(media or b"")
+                        streams = read(media)
                         payload = payload_of(streams)
                         found = (payload, described(streams, payload), None)
                     except DamagedStream as why:

@@ -96,3 +96,47 @@ def test_repeated_and_null_keys_stay(spark):
 def test_awkward(awkward, nothing):
     assert ogg.load(ogg.store(awkward)).filter("damage is null").count() == awkward.count()
     assert ogg.load(ogg.store(nothing)).count() == 0
+
+
+def pages(media: bytes) -> list[tuple[int, bytes]]:
+    """(serial, page) of each page."""
+    out, at = [], 0
+    while at < len(media):
+        head = ogg.HEADER.unpack_from(media, at)
+        end = at + ogg.HEADER.size + head[7] + sum(media[at + ogg.HEADER.size : at + ogg.HEADER.size + head[7]])
+        out.append((head[4], media[at:end]))
+        at = end
+    return out
+
+
+@pytest.mark.parametrize("lost", [1, 2])
+def test_a_lost_stream_is_told(lost):
+    media = ogg.write(bytes(i % 251 for i in range(24_000)))
+    with pytest.raises(ogg.DamagedStream, match="1 of 2 streams"):
+        ogg.read(b"".join(p for serial, p in pages(media) if serial != lost))
+
+
+def test_headers_are_held_against_the_packets():
+    (_, one), (_, two), *rest = pages(ogg.write(bytes(24_000)))
+    (_, other), *_ = pages(ogg.write(bytes(24_001)))
+    (_, faster), *_ = pages(ogg.write(bytes(24_000), rate=16_000))
+    tail = b"".join(p for _, p in rest)
+    for first in (other, faster):
+        with pytest.raises(ogg.DamagedStream, match="headers differ"):
+            ogg.read(first + two + tail)
+    (_, a), (_, b), *_ = pages(ogg.write(bytes(24_001)))
+    with pytest.raises(ogg.DamagedStream, match="24000 of 24001 samples"):
+        ogg.read(a + b + tail)
+    with pytest.raises(ogg.DamagedStream, match="no header"):
+        ogg.read(ogg.page(1, 0, ogg.FIRST | ogg.LAST, 0, ogg.lace(4), b"junk"))
+    assert ogg.payload_of(ogg.read(one + two + tail)) == bytes(24_000)
+
+
+def test_timestamps_go_by_the_headers_rate():
+    streams = ogg.read(ogg.write(bytes(24_000), rate=16_000))
+    assert sum(s.packets[-1][1] for s in streams.values()) == 24_000 / 16_000 and {s.rate for s in streams.values()} == {16_000}
+
+
+def test_null_and_empty_media_are_damage(spark):
+    stored = spark.createDataFrame([(1, 0, None), (2, 0, bytearray())], "doc_id long, n_bytes long, media binary")
+    assert [(r.payload, r.feature, r.damage) for r in ogg.load(stored).collect()] == [(None, None, "no stream")] * 2
