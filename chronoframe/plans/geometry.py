@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions import boxes as bx
-from chronoframe.functions import masks
+from chronoframe.functions import masks, rle
 from chronoframe.operators import detections as dt
 from chronoframe.plans.registry import query
-from chronoframe.plans.views import BOXES, boxes, frames
+from chronoframe.plans.views import BOXES, FRAMES, boxes, frames
 
 GROUP = ["episode_id", "g"]
 DETS = f"""{BOXES}, dets AS (SELECT *, (frame_idx // 10)::INTEGER AS g FROM boxes)"""
@@ -152,6 +152,36 @@ def rle_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(spark, sf_dir).select("episode_id", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
 
 
+LISTS = f"""{RLE}, lists AS (SELECT episode_id, list_transform(string_split(counts, ','), lambda n: n::BIGINT) AS c FROM rle)"""
+_SIZE = " + ".join(f"(d < -{1 << rle.BITS * n - 1} OR d >= {1 << rle.BITS * n - 1})::INTEGER" for n in range(1, 6))
+
+
+@query(f"""WITH {LISTS}, diffs AS (SELECT episode_id, i, CASE WHEN i > 3 THEN c[i] - c[i - 2] ELSE c[i] END AS d FROM lists, LATERAL (SELECT unnest(range(1, len(c) + 1)) AS i) t),
+sized AS (SELECT *, {_SIZE} + 1 AS size FROM diffs),
+chars AS (SELECT episode_id, i, list_aggregate(list_transform(range(0, size), lambda k: chr((((d >> (k * {rle.BITS})::INTEGER) & 31) + CASE WHEN k < size - 1 THEN {rle.MORE} ELSE 0 END + {rle.FIRST})::INTEGER)), 'string_agg', '') AS t FROM sized)
+SELECT episode_id, string_agg(t, '' ORDER BY i) AS text, (SELECT array_to_string(c, ',') FROM lists l WHERE l.episode_id = chars.episode_id) AS counts FROM chars GROUP BY 1""")
+def compressed_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each episode's mask as compressed text, and the run lengths read back from it."""
+    texts = encoded(spark, sf_dir).select("episode_id", rle.compressed(F.col("counts")).alias("text"))
+    back = rle.decompressed(texts, ["episode_id"], "text")
+    return texts.join(back, "episode_id").select("episode_id", "text", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
+
+
+@query(f"""WITH {FRAMES}, m AS (SELECT episode_id, frame_idx AS p, (gripper < 0)::INTEGER AS bit FROM frames), n AS (SELECT episode_id, (max(p) // 5 + 1)::INTEGER AS w FROM m GROUP BY 1),
+cells AS (SELECT episode_id, w, unnest(range(0, (w + 4) * 9)) AS q FROM n),
+bits AS (SELECT c.episode_id, q, coalesce(m.bit, 0) AS bit FROM cells c LEFT JOIN m ON m.episode_id = c.episode_id AND q % 9 BETWEEN 2 AND 6 AND q // 9 >= 1 AND m.p = (q // 9 - 1) * 5 + q % 9 - 2),
+i AS (SELECT *, sum(c) OVER (PARTITION BY episode_id ORDER BY q) AS island FROM (SELECT *, CASE WHEN bit = lag(bit) OVER (PARTITION BY episode_id ORDER BY q) THEN 0 ELSE 1 END AS c FROM bits)),
+r AS (SELECT episode_id, island, count(*) AS n FROM i GROUP BY 1, 2)
+SELECT episode_id, string_agg(n::VARCHAR, ',' ORDER BY island) AS counts FROM r GROUP BY 1""")
+def uncropped_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each episode's mask as a crop of five rows, in a picture with a margin of two rows and one column before it and two rows and three columns after it."""
+    e = encoded(spark, sf_dir)
+    w = F.ceil(F.aggregate("counts", F.lit(0).cast("long"), lambda s, n: s + n) / 5)
+    one, two, seven = F.lit(1), F.lit(2), F.lit(7)
+    whole = rle.uncropped(e, ["episode_id"], "counts", (one, two, one + w, seven), w + 4, F.lit(9))
+    return whole.select("episode_id", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
+
+
 @query(f"WITH {RLE} SELECT episode_id, area FROM rle")
 def rle_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(spark, sf_dir).select("episode_id", masks.rle_area(F.col("counts")).alias("area"))
