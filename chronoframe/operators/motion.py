@@ -101,9 +101,12 @@ def close_objects(distances: DataFrame, part: str, order: str, name: str, distan
 
 
 def occlusion(areas: DataFrame, keys: list[str], area: str, occluded: float = 0.85, noise: float = 1.1) -> DataFrame:
-    """Adds whether an area is well below, or above, its object's mean."""
-    mean = F.avg(area).over(Window.partitionBy(*keys))
-    return areas.withColumn("mean_", mean).withColumn("occluded", F.col(area) < occluded * F.col("mean_")).withColumn("noise", F.col(area) > noise * F.col("mean_")).drop("mean_")
+    """Adds whether an area is well below, or above, its object's mean.
+
+    An area right on a limit is neither: it must pass the limit by a shade, for sums of the same numbers in another order differ by less.
+    """
+    mean, shade = F.avg(area).over(Window.partitionBy(*keys)), 1e-12 * F.abs("mean_")
+    return areas.withColumn("mean_", mean).withColumn("occluded", F.col(area) < occluded * F.col("mean_") - shade).withColumn("noise", F.col(area) > noise * F.col("mean_") + shade).drop("mean_")
 
 
 def carried_nodes(nodes: DataFrame, part: str, order: str, name: str, values: list[str]) -> DataFrame:
