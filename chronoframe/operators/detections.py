@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions.boxes import area, box, inside_share, iou
+from chronoframe.operators.groups import listed, marks
 from chronoframe.operators.hulls import extreme_points
 
+CORNERS = ("x1", "y1", "x2", "y2")
+
 
 def best_of(df: DataFrame, keys: list[str], score: str, *ties: str) -> DataFrame:
     """The row with the highest score of each key; the first by ``ties``."""
@@ -83,28 +85,32 @@ def final_groups(probabilities: list[tuple[str, str, float]], least: float = 0.6
     return groups
 
 
-def kept_by_nms(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, score: np.ndarray, threshold: float) -> np.ndarray:
-    """Indexes kept by greedy suppression, best score first (the earlier on ties); an undefined IoU keeps."""
+def kept_by_nms(boxes: np.ndarray, threshold: float) -> np.ndarray:
+    """1 for boxes (groups, rows in order, x1 y1 x2 y2) that no kept one before overlaps by more than the threshold, else 0; an undefined IoU keeps."""
+    x1, y1, x2, y2 = np.moveaxis(boxes, 2, 0)
     size = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
-    kept: list[int] = []
-    for i in np.argsort(-score, kind="stable"):
-        k = np.array(kept, int)
-        both = np.maximum(np.minimum(x2[i], x2[k]) - np.maximum(x1[i], x1[k]), 0) * np.maximum(np.minimum(y2[i], y2[k]) - np.maximum(y1[i], y1[k]), 0)
-        union = size[i] + size[k] - both
-        if not np.any(both[union > 0] / union[union > 0] > threshold):
-            kept.append(int(i))
-    return np.array(sorted(kept), int)
+    kept = np.ones(size.shape, bool)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for i in range(1, size.shape[1]):
+            k, own = np.s_[:, :i], np.s_[:, i, None]
+            both = np.maximum(np.minimum(x2[own], x2[k]) - np.maximum(x1[own], x1[k]), 0) * np.maximum(np.minimum(y2[own], y2[k]) - np.maximum(y1[own], y1[k]), 0)
+            union = size[own] + size[k] - both
+            kept[:, i] = ~(kept[k] & (union > 0) & (both / union > threshold)).any(axis=1)
+    return kept
 
 
-def nms(df: DataFrame, group: list[str], id_: str, threshold: float) -> DataFrame:
-    """Greedy non-maximum suppression in each group (a frame's detections, which are few)."""
+def _suppressed(df: DataFrame, group: list[str], id_: str, threshold: float) -> DataFrame:
+    """(group, rows_, kept_): the rows of each group, best score first (the smaller id on ties, undefined scores last), and 1 for each that suppression keeps."""
+    undefined = F.lit(float("inf"))
+    order = F.coalesce(F.nanvl(-F.col("score").cast("double"), undefined) + 0.0, undefined)
+    rows = listed(df, group, [order, F.col(id_)], {"id_": F.col(id_), **{c: F.col(c) for c in (*CORNERS, "score")}})
+    return rows.withColumn("kept_", marks(lambda b: kept_by_nms(b, threshold), [F.col("rows_")[c].cast("array<double>") for c in CORNERS]))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_, ignore_index=True)
-        return pdf.iloc[kept_by_nms(*(pdf[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2", "score")), threshold)]
 
-    rows = df.select(*group, id_, "x1", "y1", "x2", "y2", "score")
-    return rows.groupBy(*group).applyInPandas(run, rows.schema)
+def nms(df: DataFrame, group: list[str], id_: str, threshold: float) -> DataFrame:
+    """Greedy non-maximum suppression in each group (a frame's detections, which are few)."""
+    kept = _suppressed(df, group, id_, threshold).select(*group, F.explode(F.arrays_zip("rows_", "kept_")).alias("k_")).filter("k_.kept_ = 1")
+    return kept.select(*group, F.col("k_.rows_.id_").alias(id_), *(F.col(f"k_.rows_.{c}").alias(c) for c in (*CORNERS, "score")))
 
 
 def clean_objects(df: DataFrame, keys: list[str], value: str, score: str, least: float = 0.2) -> DataFrame:
@@ -155,9 +161,11 @@ def contained(df: DataFrame, group: list[str], id_: str, share: float = 0.8) ->
 
 def proposal_groups(df: DataFrame, group: list[str], id_: str, threshold: float = 0.5) -> DataFrame:
     """(group, leader, id): going by id, a row that no leader so far overlaps by more than ``threshold`` leads all rows that it overlaps so."""
-    leaders = nms(df.withColumn("score", -F.col(id_).cast("double")), group, id_, threshold)
-    pairs = overlaps(leaders.drop("score"), df.select(*group, id_, "x1", "y1", "x2", "y2"), group).filter(F.col("iou") > threshold)
-    return pairs.select(*group, F.col(id_).alias("leader"), F.col(f"r_{id_}").alias(id_))
+    found = _suppressed(df.dropna(subset=group).withColumn("score", -F.col(id_).cast("double")), group, id_, threshold)
+    led = found.select(*group, "rows_", F.explode(F.arrays_zip("rows_", "kept_")).alias("z_")).filter("z_.kept_ = 1")
+    pairs = led.select(*group, F.col("z_.rows_").alias("l_"), F.explode("rows_").alias("m_"))
+    share = F.coalesce(iou(box("l_."), box("m_.")), F.lit(0.0))
+    return pairs.filter(share > threshold).select(*group, F.col("l_.id_").alias("leader"), F.col("m_.id_").alias(id_))
 
 
 def dense_scores(df: DataFrame, points: DataFrame, group: list[str], id_: str, weights: tuple[float, float] = (2.0, 1.0), least: float = 0.2) -> DataFrame:
