@@ -83,7 +83,7 @@ def density_clusters(df: DataFrame, group: list[str], id_: str, values: list[str
     """
     if "cluster" in df.columns:
         raise ValueError("df has a column cluster already")
-    dims, tables = len(values), Tables(df.sparkSession)
+    dims, tables = len(values), Tables(df.sparkSession, shuffled=True)
     keys, cell, own = [f"g{k}" for k in range(len(group))], [f"c{k}" for k in range(dims)], [f"v{k}" for k in range(dims)]
     wanted = F.col(least).cast("long") if isinstance(least, str) else F.lit(int(least)).cast("long")
     # Adding zero makes one of the two zeros.
@@ -120,10 +120,10 @@ def density_clusters(df: DataFrame, group: list[str], id_: str, values: list[str
     # A crowded cell's points bear its node: as many rows as it has points, so the join is by counts again.
     nodes = placed.select(*keys, *own, "w", node.alias("node_"))
     sizes = nodes.groupBy(*keys, "node_").agg(F.count("*").alias("size_"))
-    of_points = hot_join(nodes, known.join(sizes, [*keys, "node_"]), [*keys, "node_"], "size_", total).select(*keys, *own, "w", "cluster")
+    of_points = hot_join(nodes, known.join(sizes, [*keys, "node_"]).hint("merge"), [*keys, "node_"], "size_", total).select(*keys, *own, "w", "cluster")
     of_points = tables.keep(of_points, "clusters")
     mine = [f"_{c}_of_row" for c in (*keys, *own)]
-    matched = df.select("*", *(c.alias(m) for c, m in zip(named, mine, strict=True)))
+    matched = df.hint("merge").select("*", *(c.alias(m) for c, m in zip(named, mine, strict=True)))
     hot, of_row = F.col("w") > matched.count() / HOT_SHARE, [F.col(c).alias(m) for c, m in zip((*keys, *own), mine, strict=True)]
     # Equal points with more than one row in HOT_SHARE are HOT_SHARE at most: their rows are not shuffled.
     few = F.broadcast(of_points.filter(hot).select(*of_row, "cluster"))

@@ -22,7 +22,7 @@ def fixed_boxes(detections: DataFrame, group: list[str], order: str, score: str,
     0.15 widen the box. Areas all alike give the first box, no cluster the first that is left, nothing left a box of zeros. Rows without a score, a corner or a group
     don't count; an object without any other row has no row here. ``order`` is a whole number, unique in its group.
     """
-    tables = Tables(detections.sparkSession)
+    tables = Tables(detections.sparkSession, shuffled=True)
     needed = " and ".join(f"{c} is not null" for c in (*group, order, *CORNERS)) + f" and {score} is not null and not isnan({score})"
     rows = detections.filter(needed).select(*group, F.col(order).alias("at_"), *(F.col(c).cast("double").alias(c) for c in CORNERS), F.col(score).cast("double").alias("score_"), spread.alias("spread_"))
     rows = tables.keep(rows.withColumn("area_", area(box())), "rows")
@@ -59,5 +59,5 @@ def fixed_boxes(detections: DataFrame, group: list[str], order: str, score: str,
     all_alike = F.when(F.col("lo_") == F.col("hi_"), plain("first_", "score_"))
     kept = F.when(F.col("left_").isNotNull(), plain("left_", "score_"))
     nothing = zero.cast("struct<x1:double,y1:double,x2:double,y2:double,score:double>")
-    whole = shape.join(count, group, "left").join(best, group, "left").withColumn("b_", F.coalesce(all_alike, "best_", kept, nothing))
+    whole = shape.join(count, group, "left").join(best.hint("merge"), group, "left").withColumn("b_", F.coalesce(all_alike, "best_", kept, nothing))
     return whole.select(*group, *(F.col(f"b_.{c}").alias(c) for c in (*CORNERS, "score")))

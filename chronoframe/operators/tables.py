@@ -16,15 +16,16 @@ class Tables:
     """Parquet tables of one result in the folder that ``spark.checkpoint.dir`` names; they go when the application ends.
 
     Without that setting a local master takes a folder of its own; a cluster is refused, for executors don't share disks.
+    Where ``shuffled``, no join broadcasts them unasked: Spark guesses their size by their files, and columns of numbers in order take many times that in memory.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, shuffled: bool = False):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="chronoframe-")
-        self.spark, self.root = spark, f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+        self.spark, self.root, self.shuffled = spark, f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}", shuffled
         self._files(self.root, "mkdirs")
         self._files(self.root, "deleteOnExit")
 
@@ -35,7 +36,8 @@ class Tables:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df``, run once and read from its files from now on."""
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+        kept = self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+        return kept.hint("merge") if self.shuffled else kept
 
     def drop(self, *names: str) -> None:
         for name in names:
@@ -65,6 +67,7 @@ def components(edges: DataFrame, keys: list[str], tables: Tables, name: str) ->
     total = now.count()
     while total:
         both = now.unionByName(now.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        both = both.hint("merge") if tables.shuffled else both
         least = both.groupBy(*keys, "u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
         large = hot_join(both, least, [*keys, "u"], "n", 2 * total).filter("v > u").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
         large = tables.keep(large.distinct(), f"{name}-large")
