@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than one row in HOT_SHARE; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
+#: Rows of a table that a task takes where steps make several of each.
+TASK_ROWS = 50_000
+
+
+def dealt(rows: DataFrame, keys: list[str], per: int = TASK_ROWS) -> DataFrame:
+    """``rows`` dealt by ``keys`` to a task for every ``per`` of them, and one for each core at least: what a task holds does not grow with the table.
+
+    Unasked, Spark merges partitions by the bytes that are shuffled, not by what the steps after that make of them. The rows are counted first,
+    which costs little for a stored table.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // per))
+    return rows.repartition(tasks, *keys)
 
 
 class Tables:

@@ -37,10 +37,10 @@ distances AS (SELECT episode_id, object, frame_idx,
 
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of each frame's point to the box where each object was last seen before."""
-    b = boxes(spark, sf_dir)
-    objects = b.select("episode_id", "object").distinct()
-    seen = b.select("episode_id", "frame_idx", F.col("object").alias("shown"), "event_id", "k", "x1", "y1", "x2", "y2")
-    grid = seen.join(objects, "episode_id").select(
+    b = boxes(spark, sf_dir, spread=True).filter("episode_id is not null")
+    objects = F.collect_set("object").over(Window.partitionBy("episode_id"))
+    seen = b.select("episode_id", "frame_idx", F.col("object").alias("shown"), "event_id", "k", "x1", "y1", "x2", "y2", objects.alias("objects"))
+    grid = seen.withColumn("object", F.explode("objects")).select(
         "episode_id", "object", "frame_idx", F.col("k").cast("double").alias("px"), (F.col("event_id") % 100).cast("double").alias("py"),
         F.when(F.col("shown") == F.col("object"), F.struct("x1", "y1", "x2", "y2")).alias("b"),
     )
