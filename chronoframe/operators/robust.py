@@ -33,9 +33,10 @@ def _agreeing(points: DataFrame, models: DataFrame, group: list[str], gap: Calla
     """Rows that agree with their group's best model: most rows within ``threshold``, then drawn first."""
     rows = points.withColumn("threshold_", threshold)
     tried = rows.join(models, group).select("*", F.posexplode("models").alias("h_", "m_")).filter(gap(F.col("m_")) <= F.col("threshold_"))
-    counts = tried.groupBy(*group, "h_").agg(F.count("*").alias("n_"))
-    best = counts.groupBy(*group).agg(F.max(F.struct("n_", (-F.col("h_")).alias("h_"))).alias("b_"))
-    chosen = best.join(models, group).select(*group, F.get("models", -F.col("b_.h_")).alias("m_"))
+    # A model goes with its number, so that no model is made twice.
+    counts = tried.groupBy(*group, "h_", "m_").agg(F.count("*").alias("n_"))
+    best = counts.groupBy(*group).agg(F.max(F.struct("n_", (-F.col("h_")).alias("h_"), "m_")).alias("b_"))
+    chosen = best.select(*group, "b_.m_")
     return rows.join(chosen, group).filter(gap(F.col("m_")) <= F.col("threshold_")).drop("threshold_")
 
 

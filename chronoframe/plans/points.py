@@ -9,6 +9,7 @@ from chronoframe.functions import points as pt
 from chronoframe.functions.boxes import camera_point, plane_foot
 from chronoframe.operators import clouds, hulls, robust
 from chronoframe.operators import detections as dt
+from chronoframe.operators.tables import dealt
 from chronoframe.plans.geometry import GROUP
 from chronoframe.plans.registry import query, tidy
 from chronoframe.plans.views import FRAMES, frames
@@ -16,8 +17,8 @@ from chronoframe.plans.views import FRAMES, frames
 SPACE = f"""{FRAMES}, space AS (SELECT event_id, episode_id, (frame_idx // 10)::INTEGER AS g, object, k / 100.0 AS x, (event_id % 100) / 100.0 AS y, value / 100 AS z FROM frames)"""
 
 
-def space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir).select(
+def space(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    return frames(spark, sf_dir, spread).select(
         "event_id", "episode_id", F.floor(F.col("frame_idx") / 10).cast("int").alias("g"), "object",
         (F.col("k") / 100).alias("x"), ((F.col("event_id") % 100) / 100).alias("y"), (F.col("value") / 100).alias("z"),
     )
@@ -136,7 +137,7 @@ def trimmed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def floor_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plane that most points of an episode agree with, and the upright frame on it where it is a floor. Draws go by a hash that SQL lacks."""
-    found = robust.robust_planes(space(spark, sf_dir), ["episode_id"], 0.05).withColumn("rotation", robust.upright_rotation())
+    found = robust.robust_planes(space(spark, sf_dir, spread=True), ["episode_id"], 0.05).withColumn("rotation", robust.upright_rotation())
     cells = [F.round(F.get(F.get("rotation", F.lit(i)), F.lit(j)), 6).alias(f"r{i}{j}") for i in range(3) for j in range(3)]
     return found.select("episode_id", *(F.round(c, 6).alias(c) for c in ("nx", "ny", "nz", "d")), "inliers", "n", *cells)
 
@@ -144,5 +145,5 @@ def floor_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line that most values of an object agree with over an episode's frames. Draws go by a hash that SQL lacks."""
-    f = frames(spark, sf_dir).select("episode_id", "object", "frame_idx", "value")
-    return robust.robust_lines(f, ["episode_id", "object"], "frame_idx", "value").select("episode_id", "object", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "inliers", "n")
+    f = frames(spark, sf_dir, spread=True).select("episode_id", "object", "frame_idx", "value")
+    return robust.robust_lines(dealt(f, ["episode_id", "object"]), ["episode_id", "object"], "frame_idx", "value").select("episode_id", "object", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "inliers", "n")
