@@ -12,9 +12,9 @@ from chronoframe.operators.neighbours import nearest_gaps
 AXES = ("x", "y", "z")
 
 
-def cloud_gaps(points: DataFrame, group: list[str], name: str) -> DataFrame:
+def cloud_gaps(points: DataFrame, group: list[str], name: str, tasks: int | None = None) -> DataFrame:
     """(group, a, b, mean_gap, gap) for each ordered pair of a group's clouds: from each point of either to the nearest of the other, mean and least."""
-    nearest = nearest_gaps(points, group, name)
+    nearest = nearest_gaps(points, group, name, tasks=tasks)
     one_way = nearest.groupBy(*group, "a", "b").agg(F.sum(F.col("gap") * F.col("w")).alias("sum_"), F.sum("w").alias("n_"), F.min("gap").alias("gap"))
     back = one_way.select(*group, F.col("a").alias("b"), F.col("b").alias("a"), F.col("sum_").alias("r_sum"), F.col("n_").alias("r_n"))
     both = one_way.join(back, [*group, "a", "b"])
@@ -63,7 +63,7 @@ def relation_3d(contact: float, close: float) -> Column:
     )
 
 
-def edges_3d(points: DataFrame, group: list[str], name: str, contact: float, close: float) -> DataFrame:
+def edges_3d(points: DataFrame, group: list[str], name: str, contact: float, close: float, tasks: int | None = None) -> DataFrame:
     """(group, start, end, edge_type, dist): one edge at most for each ordered pair of a group's clouds.
 
     Each ordered pair tells the edge from b (start) to a; where it is ``under``, that from a to b instead, which goes before
@@ -75,7 +75,7 @@ def edges_3d(points: DataFrame, group: list[str], name: str, contact: float, clo
     pair = [*group, "a", "b"]
     told = shares(points, shapes, hulls(points, [*group, name]), group, name)
     below = told.select(*group, F.col("a").alias("b"), F.col("b").alias("a"), F.col("above").alias("below"))
-    found = cloud_gaps(points, group, name).join(told, pair).join(below, pair).join(a, [*group, "a"]).join(b, [*group, "b"])
+    found = cloud_gaps(points, group, name, tasks).join(told, pair).join(below, pair).join(a, [*group, "a"]).join(b, [*group, "b"])
     way = [F.col(f"b_{c}") - F.col(f"a_{c}") for c in AXES]
     size = norm(*way)
     found = found.withColumns({n: F.try_divide(w, size) for n, w in zip(("nx", "ny", "nz"), way, strict=True)})

@@ -18,14 +18,15 @@ def _placed(points: DataFrame, group: list[str], name: str, axes: tuple[str, ...
     own = points.groupBy(*group, name, *axes).agg(F.count("*").alias("w_"))
     for c in axes:
         own = own.filter(F.col(c).isNotNull())
-    bounds = [f(c).alias(f"{n}_{c}") for c in axes for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    shape = own.groupBy(*group, name).agg(F.count("*").alias("n_"), *bounds)
+    cloud = Window.partitionBy(*group, name)
+    own = own.withColumns({"n_": F.count("*").over(cloud), **{f"{n}_{c}": f(c).over(cloud) for c in axes for f, n in ((F.min, "lo"), (F.max, "hi"))}})
+    own = own.dropna(subset=[*group, name])
     splits = F.least(F.lit(MOST), F.ceil(F.pow(F.col("n_") / PER, F.lit(1 / len(axes)))).cast("int"))
     cell = F.lit(0)
     for c in axes:
         share = F.coalesce(F.try_divide(F.col(c) - F.col(f"lo_{c}"), F.col(f"hi_{c}") - F.col(f"lo_{c}")), F.lit(0.0))
         cell = cell * MOST + F.least(F.floor(share * splits).cast("int"), splits - 1)
-    return own.join(shape, [*group, name]).select(*group, name, *axes, "w_", cell.alias("cell_"))
+    return own.select(*group, name, *axes, "w_", cell.alias("cell_"))
 
 
 def _near_cells(placed: DataFrame, group: list[str], name: str, axes: tuple[str, ...], whole: bool) -> DataFrame:
@@ -44,21 +45,25 @@ def _near_cells(placed: DataFrame, group: list[str], name: str, axes: tuple[str,
     return pairs.withColumn("least_", least).filter(near <= F.col("least_") * (1 + 1e-12)).select(*group, "a", "cell_", "b", "r_cell_")
 
 
-def _met(points: DataFrame, group: list[str], name: str, axes: tuple[str, ...], whole: bool) -> DataFrame:
+def _met(points: DataFrame, group: list[str], name: str, axes: tuple[str, ...], whole: bool, tasks: int | None = None) -> DataFrame:
+    """Where ``tasks`` is given, points meet in so many tasks; else Spark merges them by bytes, though each point meets many."""
     placed = _placed(points, group, name, axes)
     cells = _near_cells(placed, group, name, axes, whole)
+    own = placed.withColumnRenamed(name, "a")
     other = placed.select(*group, F.col(name).alias("b"), F.col("cell_").alias("r_cell_"), *(F.col(c).alias(f"r_{c}") for c in axes))
-    met = placed.withColumnRenamed(name, "a").join(cells, [*group, "a", "cell_"]).join(other, [*group, "b", "r_cell_"])
+    if tasks:
+        own, other = own.repartition(tasks, *group, "a", "cell_"), other.repartition(tasks, *group, "b", "r_cell_")
+    met = own.join(cells, [*group, "a", "cell_"]).join(other, [*group, "b", "r_cell_"])
     squared = sum(((F.col(c) - F.col(f"r_{c}")) * (F.col(c) - F.col(f"r_{c}")) for c in axes), F.lit(0.0))
     return met.withColumn("squared_", squared)
 
 
-def nearest_gaps(points: DataFrame, group: list[str], name: str, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+def nearest_gaps(points: DataFrame, group: list[str], name: str, axes: tuple[str, ...] = ("x", "y", "z"), tasks: int | None = None) -> DataFrame:
     """(group, a, b, axes, w, gap): from each different point of cloud a, which holds it ``w`` times, to the nearest of cloud b of its group.
 
     Points with a null coordinate are left out, and so are rows whose group or name is null.
     """
-    met = _met(points, group, name, axes, False)
+    met = _met(points, group, name, axes, False, tasks)
     return met.groupBy(*group, "a", "b", *axes).agg(F.min("w_").alias("w"), F.sqrt(F.min("squared_")).alias("gap"))
 
 

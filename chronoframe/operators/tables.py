@@ -14,14 +14,17 @@ HOT_SHARE = 1000
 TASK_ROWS = 50_000
 
 
-def dealt(rows: DataFrame, keys: list[str], per: int = TASK_ROWS) -> DataFrame:
-    """``rows`` dealt by ``keys`` to a task for every ``per`` of them, and one for each core at least: what a task holds does not grow with the table.
+def tasks_for(rows: DataFrame, per: int | None = None) -> int:
+    """A task for every ``per`` rows (TASK_ROWS), and one for each core at least. The rows are counted, which costs little for a stored table."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // (per or TASK_ROWS)))
 
-    Unasked, Spark merges partitions by the bytes that are shuffled, not by what the steps after that make of them. The rows are counted first,
-    which costs little for a stored table.
+
+def dealt(rows: DataFrame, keys: list[str], per: int | None = None) -> DataFrame:
+    """``rows`` dealt by ``keys`` to ``tasks_for`` them: what a task holds does not grow with the table.
+
+    Unasked, Spark merges partitions by the bytes that are shuffled, not by what the steps after that make of them.
     """
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // per))
-    return rows.repartition(tasks, *keys)
+    return rows.repartition(tasks_for(rows, per), *keys)
 
 
 class Tables:

@@ -9,7 +9,7 @@ from chronoframe.functions import points as pt
 from chronoframe.functions.boxes import camera_point, plane_foot
 from chronoframe.operators import clouds, hulls, robust
 from chronoframe.operators import detections as dt
-from chronoframe.operators.tables import dealt
+from chronoframe.operators.tables import dealt, tasks_for
 from chronoframe.plans.geometry import GROUP
 from chronoframe.plans.registry import query, tidy
 from chronoframe.plans.views import FRAMES, frames
@@ -81,7 +81,9 @@ clouds AS (SELECT w.episode_id, w.g, w.a, w.b, (w.s + v.s) / (w.n + v.n) AS mean
 
 @query(f"WITH {SPACE}, {GAPS} SELECT episode_id, g, a, b, round(mean_gap, 6) AS mean_gap, round(gap, 6) AS gap FROM clouds")
 def cloud_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clouds.cloud_gaps(space(spark, sf_dir), GROUP, "object").withColumns({c: F.round(c, 6) for c in ("mean_gap", "gap")})
+    s = space(spark, sf_dir, spread=True)
+    tasks = tasks_for(s)
+    return clouds.cloud_gaps(s.repartition(tasks, *GROUP), GROUP, "object", tasks).withColumns({c: F.round(c, 6) for c in ("mean_gap", "gap")})
 
 
 @query(f"""WITH {WHOLE}, {hull_sql("whole", "episode_id")}, {HELD.format(on="q.episode_id = f.episode_id")},
@@ -114,7 +116,9 @@ told AS (SELECT episode_id, g, CASE WHEN edge_type = 'under' THEN a ELSE b END A
 SELECT episode_id, g, "start", "end", CASE WHEN bool_or(edge_type = 'under') THEN 'on top of' ELSE any_value(edge_type) END AS edge_type, round(max(gap), 6) AS dist FROM told GROUP BY 1, 2, 3, 4""")
 def sg_edges_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations between the clouds of a group's objects."""
-    return clouds.edges_3d(space(spark, sf_dir), GROUP, "object", 0.2, 0.5).withColumn("dist", F.round("dist", 6))
+    s = space(spark, sf_dir, spread=True)
+    tasks = tasks_for(s)
+    return clouds.edges_3d(s.repartition(tasks, *GROUP), GROUP, "object", 0.2, 0.5, tasks).withColumn("dist", F.round("dist", 6))
 
 
 @query(f"""WITH {SPACE}, n AS (SELECT episode_id, (x * 100)::INTEGER % 10 AS cell, degrees(acos(greatest(-1, least(1, y / nullif(sqrt(x * x + y * y + z * z), 0))))) < 40 AS ok FROM space)
