@@ -20,7 +20,8 @@ def _placed(points: DataFrame, group: list[str], name: str, axes: tuple[str, ...
         own = own.filter(F.col(c).isNotNull())
     cloud = Window.partitionBy(*group, name)
     own = own.withColumns({"n_": F.count("*").over(cloud), **{f"{n}_{c}": f(c).over(cloud) for c in axes for f, n in ((F.min, "lo"), (F.max, "hi"))}})
-    own = own.dropna(subset=[*group, name])
+    for c in (*group, name):
+        own = own.filter(F.col(c).isNotNull())
     splits = F.least(F.lit(MOST), F.ceil(F.pow(F.col("n_") / PER, F.lit(1 / len(axes)))).cast("int"))
     cell = F.lit(0)
     for c in axes:
