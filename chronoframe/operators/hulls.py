@@ -7,6 +7,8 @@ that of its tasks' extreme points. A hull is its half-spaces, so membership is a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -161,6 +163,25 @@ def extreme_points(points: DataFrame, group: list[str], axes: tuple[str, ...] =
     return rows.mapInArrow(run, rows.schema).select("g_.*", *axes)
 
 
+KIND = pa.list_(pa.struct([("n", pa.list_(pa.float64())), ("d", pa.float64())]))
+
+
+def _faces(clouds: pa.Array) -> list[list[dict]]:
+    return [[{"n": f[:-1].tolist(), "d": f[-1]} for f in half_spaces(np.unique(np.array(p), axis=0))] if p else [] for p in clouds.to_pylist()]
+
+
+def faces_of(points: Column, axes: tuple[str, ...] = ("x", "y", "z")) -> Column:
+    """The half-spaces of the hull of an array of few points (structs); null where all are in one plane (or line, for two axes)."""
+
+    @F.arrow_udf("array<struct<n:array<double>,d:double>>")
+    def run(clouds: pa.Array) -> pa.Array:
+        return pa.array([f or None for f in _faces(clouds)], KIND)
+
+    sound = lambda p: reduce(and_, (p[c].isNotNull() & ~F.isnan(p[c].cast("double")) & (F.abs(p[c].cast("double")) < float("inf")) for c in axes))
+    known = F.transform(F.filter(points, sound), lambda p: F.array(*(p[c].cast("double") for c in axes)))
+    return run(F.when(F.size(known) > len(axes), known))
+
+
 def hulls(points: DataFrame, group: list[str], axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """(group, faces) of each group whose points are not all in one plane (or line, for two axes): its half-spaces n * p <= d.
 
@@ -170,12 +191,10 @@ def hulls(points: DataFrame, group: list[str], axes: tuple[str, ...] = ("x", "y"
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = extreme_points(points, group, axes).repartition(tasks, *group).groupBy(*group).agg(F.collect_list(F.array(*axes)).alias("p_")).filter(F.size("p_") > len(axes))
     rows = spans.select(F.struct(*group).alias("g_"), "p_")
-    kind = pa.list_(pa.struct([("n", pa.list_(pa.float64())), ("d", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            faces = [[{"n": f[:-1].tolist(), "d": f[-1]} for f in half_spaces(np.unique(np.array(p), axis=0))] for p in batch.column("p_").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("g_"), pa.array(faces, kind)], names=["g_", "faces"])
+            yield pa.RecordBatch.from_arrays([batch.column("g_"), pa.array(_faces(batch.column("p_")), KIND)], names=["g_", "faces"])
 
     schema = f"g_ {rows.schema['g_'].dataType.simpleString()}, faces array<struct<n:array<double>,d:double>>"
     return rows.mapInArrow(run, schema).filter(F.size("faces") > 0).select("g_.*", "faces")

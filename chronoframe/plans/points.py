@@ -12,7 +12,7 @@ from chronoframe.operators import detections as dt
 from chronoframe.operators.tables import dealt, tasks_for
 from chronoframe.plans.geometry import GROUP
 from chronoframe.plans.registry import query, tidy
-from chronoframe.plans.views import FRAMES, frames
+from chronoframe.plans.views import FRAMES, frames, table
 
 SPACE = f"""{FRAMES}, space AS (SELECT event_id, episode_id, (frame_idx // 10)::INTEGER AS g, object, k / 100.0 AS x, (event_id % 100) / 100.0 AS y, value / 100 AS z FROM frames)"""
 
@@ -82,8 +82,7 @@ clouds AS (SELECT w.episode_id, w.g, w.a, w.b, (w.s + v.s) / (w.n + v.n) AS mean
 @query(f"WITH {SPACE}, {GAPS} SELECT episode_id, g, a, b, round(mean_gap, 6) AS mean_gap, round(gap, 6) AS gap FROM clouds")
 def cloud_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = space(spark, sf_dir, spread=True)
-    tasks = tasks_for(s)
-    return clouds.cloud_gaps(s.repartition(tasks, *GROUP), GROUP, "object", tasks).withColumns({c: F.round(c, 6) for c in ("mean_gap", "gap")})
+    return clouds.cloud_gaps(s, GROUP, "object", tasks_for(table(spark, sf_dir, "events"))).withColumns({c: F.round(c, 6) for c in ("mean_gap", "gap")})
 
 
 @query(f"""WITH {WHOLE}, {hull_sql("whole", "episode_id")}, {HELD.format(on="q.episode_id = f.episode_id")},
@@ -117,8 +116,7 @@ SELECT episode_id, g, "start", "end", CASE WHEN bool_or(edge_type = 'under') THE
 def sg_edges_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations between the clouds of a group's objects."""
     s = space(spark, sf_dir, spread=True)
-    tasks = tasks_for(s)
-    return clouds.edges_3d(s.repartition(tasks, *GROUP), GROUP, "object", 0.2, 0.5, tasks).withColumn("dist", F.round("dist", 6))
+    return clouds.edges_3d(s, GROUP, "object", 0.2, 0.5, tasks_for(table(spark, sf_dir, "events"))).withColumn("dist", F.round("dist", 6))
 
 
 @query(f"""WITH {SPACE}, n AS (SELECT episode_id, (x * 100)::INTEGER % 10 AS cell, degrees(acos(greatest(-1, least(1, y / nullif(sqrt(x * x + y * y + z * z), 0))))) < 40 AS ok FROM space)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions import polygons
 from chronoframe.operators import detections as dt
-from chronoframe.operators import groups, metrics, motion, segments, tables
+from chronoframe.operators import clouds, groups, metrics, motion, segments, tables
 from chronoframe.operators.tables import Tables
 from chronoframe.plans import catalogue, detection
 
@@ -162,3 +162,38 @@ def test_f14_f15_points_meet_in_tasks_of_as_many_rows_at_every_size(spark, small
     for cell in ("a#", "b#"):
         assert re.search(rf"hashpartitioning\([^)]*{cell}[^)]*cell_[^)]*, 10\), REPARTITION_BY_NUM", plan(found))
     assert want and rows_sorted(found) == want
+
+
+@pytest.mark.parametrize(("name", "shuffles"), [("cloud_distance", 1), ("sg_edges_3d", 2)])
+def test_f14_groups_of_few_points_stay_together(spark, small, name, shuffles, monkeypatch):
+    """They are shuffled as events, and once more as clouds where Python sees them, never in a join; larger groups, here of more than 8 points or none, give the same."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    found = catalogue.QUERIES[name](spark, small)
+    few = [line for line in plan(found).splitlines() if line.startswith("   :")]
+    assert sum("Exchange" in line for line in few) == shuffles and not any("Join" in line for line in few)
+    want = rows_sorted(found)
+    for most in (8, 0):
+        monkeypatch.setattr(clouds, "FEW", most)
+        assert want and rows_sorted(catalogue.QUERIES[name](spark, small)) == want
+
+
+def test_f14_odd_rows_of_few_points(spark, monkeypatch):
+    """Equal points, unknown coordinates, flat clouds and clouds in a hull, clouds without a point, rows without a group or name, and one group of many points."""
+    draw = np.random.default_rng(5)
+    rows = [(g, "abc"[k % 3], *map(float, draw.integers(0, 4, 3))) for g in range(6) for k in range(1 + 5 * g)]
+    rows += [(7, "a", float(x), float(y), float(z)) for x in (0, 9) for y in (0, 9) for z in (0, 9)] + [(7, "b", 5.0, 5.0, 8.95), (7, "b", 5.0, None, 5.0), (7, "c", None, None, None), (7, "c", None, 1.0, 1.0)]
+    rows += [(8, "a", float(k), 0.0, 0.0) for k in range(5)] + [(8, "b", 2.0, 0.1, 0.0), (None, "a", 1.0, 1.0, 1.0), (None, "b", 1.0, 1.0, 1.0), (8, None, 1.0, 1.0, 1.0)]
+    rows += [(9, "ab"[k % 2], *map(float, draw.integers(0, 9, 3))) for k in range(200)]
+    df = spark.createDataFrame(rows, "g long, o string, x double, y double, z double")
+
+    def told():
+        gaps = {(r.g, r.a, r.b): (r.mean_gap, r.gap) for r in clouds.cloud_gaps(df, ["g"], "o").collect()}
+        edges = clouds.edges_3d(df, ["g"], "o", 1.0, 5.0, 3).collect()
+        return gaps, {(r.g, r.start, r.end): (r.edge_type, r.dist) for r in edges}
+
+    gaps, edges = told()
+    assert (7, "a", "c") not in gaps and (7, "b", "a") in gaps and edges[8, "b", "a"][0] and (9, "a", "b") in gaps
+    monkeypatch.setattr(clouds, "FEW", 0)
+    all_gaps, all_edges = told()
+    assert edges == {k: (kind, pytest.approx(v, abs=1e-9)) for k, (kind, v) in all_edges.items()}
+    assert gaps == {k: pytest.approx(v, abs=1e-9) for k, v in all_gaps.items()}
